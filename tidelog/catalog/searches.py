@@ -97,13 +97,13 @@ def search_combined(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "search_page2_cursor",
     f"WITH {LOGS_SQL} SELECT {COLUMNS_SQL} FROM logs WHERE level = 'info' "
-    f"{NEWEST} LIMIT 500 OFFSET 500",
+    f"{NEWEST} LIMIT 100 OFFSET 100",
 )
 def search_page2_cursor(spark: SparkSession, folder: str) -> DataFrame:
     logs = event_logs(spark, folder)
-    first = search_page(logs, LogQuery(level="info", limit=500))
+    first = search_page(logs, LogQuery(level="info", limit=100))
     cursor = decode_cursor(first.next_cursor)
-    return search(logs, LogQuery(level="info", limit=500, cursor=cursor))
+    return search(logs, LogQuery(level="info", limit=100, cursor=cursor))
 
 
 DENSE_SQL = LOGS_SQL.replace(

@@ -77,7 +77,7 @@ def cursor_position(token: Column) -> Column:
     )
     digits = F.try_variant_get(body, "$.id", "string")
     row_id = F.when(
-        (F.schema_of_variant(number) == "STRING") & digits.rlike(r"^\d+$"),
+        (F.schema_of_variant(number) == "STRING") & digits.rlike(r"^\d+(?![\s\S])"),
         digits.try_cast("long"),
     )
     return F.when(

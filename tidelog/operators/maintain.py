@@ -65,13 +65,15 @@ def expire(
     rollups = _keep_days(manifest.rollups, lambda day: day >= first)
     outcomes = {s: at for s, at in manifest.outcomes.items() if parse_iso(at) >= cutoff}
     segment = f"expire-{manifest.version + 1:012d}"
-    if exact and any(first in found for found in logs.values()):
+    if exact:
         boundary = store.read_table("logs", S.LOG, _only(logs, first))
-        kept = apply_filters(boundary, time_range(boundary, cutoff, None))
-        files = -(-_count(logs, [first]) // ROWS_PER_FILE)
-        logs = _keep_days(logs, lambda day: day != first)
-        rollups = _keep_days(rollups, lambda day: day != first)
-        logs, rollups = _add(store, segment, clustered(kept, read_layout(), files), logs, rollups)
+        if not apply_filters(boundary, time_range(boundary, None, cutoff)).isEmpty():
+            kept = apply_filters(boundary, time_range(boundary, cutoff, None))
+            files = -(-_count(logs, [first]) // ROWS_PER_FILE)
+            logs = _keep_days(logs, lambda day: day != first)
+            rollups = _keep_days(rollups, lambda day: day != first)
+            kept = clustered(kept, read_layout(), files)
+            logs, rollups = _add(store, segment, kept, logs, rollups)
     if (logs, rollups, outcomes) == (manifest.logs, manifest.rollups, manifest.outcomes):
         return None
     dropped = _count(manifest.logs) - _count(logs)

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidelog.functions.cursor import cursor_token, decode_cursor
-from tidelog.functions.timeutil import MICROSECOND
+from tidelog.functions.timeutil import MICROSECOND, UTC
 from tidelog.operators.filters import Scan, matching, scan_of
 from tidelog.operators.numbering import number_rows
 from tidelog.plans.params import LogQuery
 from tidelog.schema import LOG_COLUMNS
 
+_FIRST = datetime.min.replace(tzinfo=UTC)
+_LAST = datetime.max.replace(tzinfo=UTC)
 # Lengths of the time slices a page is looked for in, newest first; after the
 # last one comes everything older.
 SLICES = (timedelta(hours=1), timedelta(hours=8), timedelta(days=3), timedelta(days=24))
@@ -82,17 +84,16 @@ def time_slices(
     query: LogQuery, newest: datetime | None
 ) -> Iterator[tuple[datetime | None, datetime | None]]:
     """Disjoint ranges, newest first, that cover the range of the query."""
-    ends = [query.until]
-    if query.cursor is not None:
-        ends.append(query.cursor.timestamp + MICROSECOND)
-    if newest is not None:
-        ends.append(newest + MICROSECOND)
-    until = min((end for end in ends if end is not None), default=None)
+    latest = [m for m in (query.cursor and query.cursor.timestamp, newest) if m is not None]
+    ends = [moment + MICROSECOND for moment in latest if moment < _LAST]
+    ends += [] if query.until is None else [query.until]
+    until = min(ends, default=None)
+    oldest = _FIRST if query.since is None else query.since
     if until is not None:
         for length in SLICES:
-            start = until - length
-            if query.since is not None and start <= query.since:
+            if until - oldest <= length:
                 break
+            start = until - length
             yield start, until
             until = start
     if until is None or query.since is None or query.since < until:
