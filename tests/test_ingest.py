@@ -5,6 +5,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators import layout
 from tidelog.operators.aggregate import merge_rollups, minute_rollup
 from tidelog.operators.maintain import compact_logs, compact_rollups
 from tidelog.operators.report import reconcile, throughput, visibility_lag
@@ -195,3 +196,17 @@ def test_reports_over_a_store(setup):
     assert [r["message"] for r in snapshot.search(LogQuery(q="M29")).logs] == ["m29"]
     query = AggregateQuery("2026-08-10T00:00:00Z", "2026-08-11T00:00:00Z", "1d")
     assert [r["count"] for r in snapshot.aggregate(query).collect()] == [30]
+
+
+def test_a_backlog_of_many_days_is_clustered(setup, monkeypatch):
+    store, source, _ = setup
+    for name in "abcd":
+        stamps = [f"2026-0{1 + i % 7}-{1 + i % 28:02d}T10:00:00Z" for i in range(200)]
+        write(source, name, [[entry(i, stamp, message=f"{name}{i}") for i, stamp in enumerate(stamps)]])
+    monkeypatch.setattr(layout, "MAX_BATCH_FILES", 10)
+    ingest_batch(store, read_requests(store.spark, source), 0, as_of=NOW)
+    logs = store.snapshot().logs()
+    rows = [r["message"] for r in logs.orderBy("id").select("message").collect()]
+    assert rows == [f"{name}{i}" for name in "abcd" for i in range(200)]
+    assert len(store.snapshot().day_rows()) == 28
+    assert len(logs.inputFiles()) <= 28 + 4

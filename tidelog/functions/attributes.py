@@ -7,18 +7,32 @@ from pyspark.sql import functions as F
 
 # Largest integer up to which every integer is exact as a double.
 _EXACT_INTEGER = 9_007_199_254_740_992
+# Kinds whose text is always canonical; a double holds any 15 digits exactly.
+_PLAIN_KINDS = r"^(STRING|BOOLEAN|DECIMAL\((\d|1[0-5]),\d+\))$"
 
 
 def number_text(number: Column) -> Column:
-    """Plain decimal text of a double: no exponent, no trailing zeros, no ``-0``."""
-    text = number.cast("string")
-    exponent_form = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
-    sign = F.regexp_extract(text, exponent_form, 1)
-    fraction = F.regexp_extract(text, exponent_form, 3)
+    """Plain decimal text of a double: fewest digits that read back as the same
+    double, no exponent, no trailing zeros, no ``-0``.
+
+    Java's own text of a double may carry a digit too many, and rounding that
+    text once more may miss; hence the tries with 15 and 16 digits, the latter
+    also cut off, before all 17.
+    """
+
+    def written(digits: int) -> Column:
+        return F.format_string(f"%.{digits - 1}e", number)
+
+    full = written(17)
+    text = full
+    for shorter in (F.regexp_replace(full, r"\de", "e"), written(16), written(15)):
+        text = F.when(shorter.try_cast("double") == number, shorter).otherwise(text)
+    form = r"^(-?)(\d)\.(\d+)e([+-]\d+)$"
+    sign = F.regexp_extract(text, form, 1)
     digits = F.concat(
-        F.regexp_extract(text, exponent_form, 2), F.when(fraction == "0", "").otherwise(fraction)
+        F.regexp_extract(text, form, 2), F.rtrim(F.regexp_extract(text, form, 3), F.lit("0"))
     )
-    exponent = F.regexp_extract(text, exponent_form, 4).try_cast("int")
+    exponent = F.regexp_extract(text, form, 4).try_cast("int")
     whole = F.greatest(exponent + 1, F.lit(0))
     large = F.when(
         F.length(digits) > whole,
@@ -27,54 +41,71 @@ def number_text(number: Column) -> Column:
         ),
     ).otherwise(F.rpad(digits, whole, F.lit("0")))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    return (
-        F.when(number == 0, F.lit("0"))
-        .when(exponent.isNull(), F.regexp_replace(text, r"\.0$", ""))
-        .otherwise(F.concat(sign, F.when(exponent < 0, small).otherwise(large)))
+    return F.when(number == 0, F.lit("0")).otherwise(
+        F.concat(sign, F.when(exponent < 0, small).otherwise(large))
     )
 
 
 def scalar_text(value: Column) -> Column:
     """Text of a VARIANT scalar the way a JSON ``->>`` lookup shows it."""
+    return F.when(is_plain(value), value.cast("string")).otherwise(
+        number_text(F.try_variant_get(value, "$", "double"))
+    )
+
+
+def is_plain(value: Column) -> Column:
+    """Whether the text Spark gives a VARIANT scalar is the canonical text already.
+
+    That is so for strings, booleans, and numbers whose digits a double holds.
+    """
     kind = F.schema_of_variant(value)
-    return (
-        F.when(kind.isin("STRING", "BOOLEAN") | _small_integer(value, kind), value.cast("string"))
-        .otherwise(number_text(F.try_variant_get(value, "$", "double")))
+    integer = F.try_variant_get(value, "$", "long")
+    return kind.rlike(_PLAIN_KINDS) | (
+        (kind == "BIGINT") & integer.between(-_EXACT_INTEGER, _EXACT_INTEGER)
     )
 
 
-def attribute_text(members: Column) -> Column:
-    """MAP<STRING, VARIANT> to MAP<STRING, STRING> of scalar texts."""
-    return F.transform_values(members, lambda _, v: scalar_text(v))
-
-
-def attribute_json(attributes: Column, members: Column) -> Column:
-    """Canonical JSON of a flat object; numbers are written like their text."""
-    rewritten = F.concat(
-        F.lit("{"),
-        F.array_join(
-            F.transform(
-                F.map_entries(members),
-                lambda e: F.concat(
-                    _quoted(e["key"]),
-                    F.lit(":"),
-                    F.when(
-                        F.schema_of_variant(e["value"]) == "STRING",
-                        _quoted(e["value"].cast("string")),
-                    ).otherwise(scalar_text(e["value"])),
-                ),
-            ),
-            ",",
+def is_scalar(value: Column) -> Column:
+    """Whether a VARIANT is a string, number or boolean."""
+    kind = F.schema_of_variant(value)
+    return kind.isin("STRING", "BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
+
+
+def all_plain(members: Column) -> Column:
+    return F.forall(F.map_values(members), is_plain)
+
+
+def attribute_text(attributes: Column, members: Column, plain: Column) -> Column:
+    """Flat VARIANT object to MAP<STRING, STRING> of scalar texts.
+
+    ``members`` is the object as MAP<STRING, VARIANT>, ``plain`` is
+    :func:`all_plain` of it; plain objects take one cast.
+    """
+    rewritten = F.transform_values(members, lambda _, v: scalar_text(v))
+    return F.when(plain, attributes.try_cast("map<string,string>")).otherwise(rewritten)
+
+
+def attribute_json(attributes: Column, members: Column, plain: Column) -> Column:
+    """Canonical JSON of a flat VARIANT object; numbers are written like their text."""
+    pairs = F.transform(
+        F.map_entries(members),
+        lambda e: F.concat(
+            _quoted(e["key"]),
+            F.lit(":"),
+            F.when(
+                F.schema_of_variant(e["value"]) == "STRING", _quoted(e["value"].cast("string"))
+            ).otherwise(scalar_text(e["value"])),
         ),
-        F.lit("}"),
     )
-    needs_rewrite = F.exists(F.map_values(members), lambda v: ~_plain_json(v))
-    return F.when(needs_rewrite, rewritten).otherwise(F.to_json(attributes))
+    rewritten = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    return F.when(plain, F.to_json(attributes)).otherwise(rewritten)
 
 
 def attribute_map(json_text: Column) -> Column:
     """JSON text of a flat object to MAP<STRING, STRING> of scalar texts."""
-    return attribute_text(F.try_parse_json(json_text).try_cast("map<string,variant>"))
+    parsed = F.try_parse_json(json_text)
+    members = parsed.try_cast("map<string,variant>")
+    return attribute_text(parsed, members, all_plain(members))
 
 
 def canonical_attributes(logs: DataFrame) -> DataFrame:
@@ -83,32 +114,24 @@ def canonical_attributes(logs: DataFrame) -> DataFrame:
     Text that is not a JSON object stays as it is and has no attribute texts.
     """
     given = F.coalesce(F.col("attributes"), F.lit("{}"))
-    parsed = logs.withColumn("attributes", given).withColumn("_object", F.try_parse_json(given))
-    members = F.col("_object").try_cast("map<string,variant>")
+    steps = (
+        logs.withColumn("attributes", given)
+        .withColumn("_object", F.try_parse_json("attributes"))
+        .withColumn("_members", F.col("_object").try_cast("map<string,variant>"))
+        .withColumn("_plain", all_plain(F.col("_members")))
+    )
+    parts = (F.col("_object"), F.col("_members"), F.col("_plain"))
+    is_object = F.col("_members").isNotNull()
     return (
-        parsed.withColumn("_members", members)
-        .withColumn("attr_text", attribute_text(F.col("_members")))
+        steps.withColumn("attr_text", F.when(is_object, attribute_text(*parts)))
         .withColumn(
             "attributes",
-            F.coalesce(
-                F.when(F.col("_members").isNotNull(), attribute_json(F.col("_object"), F.col("_members"))),
-                F.col("attributes"),
-            ),
+            F.when(is_object, attribute_json(*parts)).otherwise(F.col("attributes")),
         )
-        .drop("_object", "_members")
+        .drop("_object", "_members", "_plain")
     )
 
 
-def _small_integer(value: Column, kind: Column) -> Column:
-    integer = F.try_variant_get(value, "$", "long")
-    return (kind == "BIGINT") & integer.between(-_EXACT_INTEGER, _EXACT_INTEGER)
-
-
-def _plain_json(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return kind.isin("STRING", "BOOLEAN") | _small_integer(value, kind)
-
-
 def _quoted(text: Column) -> Column:
     listed = F.to_json(F.array(text))
     return F.substring(listed, F.lit(2), F.length(listed) - 2)

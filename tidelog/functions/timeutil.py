@@ -49,7 +49,9 @@ def format_iso(moment: datetime) -> str:
 
 def iso_to_timestamp(text: Column) -> Column:
     """ISO-8601 text column to TIMESTAMP, NULL when it is not a valid one."""
-    with_seconds = F.regexp_replace(text, r"T(\d{2}:\d{2})(Z|[+-])", r"T$1:00$2")
+    with_seconds = F.when(F.substring(text, 17, 1) == ":", text).otherwise(
+        F.concat(F.substring(text, 1, 16), F.lit(":00"), F.substring(text, 17, 6))
+    )
     return F.when(text.rlike(ISO_PATTERN), with_seconds.try_cast("timestamp"))
 
 

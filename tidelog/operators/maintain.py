@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from dataclasses import replace
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
@@ -19,22 +19,11 @@ from tidelog.functions.attributes import canonical_attributes
 from tidelog.functions.timeutil import EPOCH, MICROSECOND, UTC, parse_iso, utc_day, utc_instant
 from tidelog.operators.aggregate import merge_rollups, minute_rollup, with_day
 from tidelog.operators.filters import apply_filters, time_range
+from tidelog.operators.layout import ROWS_PER_FILE, clustered, read_layout
 from tidelog.plans.params import retention_days
+from tidelog.session import partitions_for
 from tidelog.sources.store import LogStore, Manifest
 
-ROWS_PER_FILE = 5_000_000
-
-
-def read_layout() -> list[Column]:
-    """Order of rows in compacted files: narrow ranges of day, service and time each."""
-    return [F.col("day"), F.col("service"), F.desc("timestamp"), F.desc("id")]
-
-
-def clustered(rows: DataFrame, order: list[Column], files: int) -> DataFrame:
-    """Sorted files of even size; a hot day or service is spread over several."""
-    return rows.repartitionByRange(max(files, 1), *order).sortWithinPartitions(*order)
-
-
 def expiry_cutoff(now: datetime, days: object = None) -> datetime:
     return now.astimezone(UTC) - timedelta(days=retention_days(days))
 
@@ -131,7 +120,7 @@ def backfill(
     segment = f"{name}-{manifest.version + 1:012d}"
     rows = flat.withColumn("timestamp", utc_instant(flat, "timestamp"))
     rows = canonical_attributes(rows)
-    files = files or int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or partitions_for(flat)
     rows = clustered(with_day(rows, "timestamp"), read_layout(), files)
     logs, rollups = _add(store, segment, rows, manifest.logs, manifest.rollups)
     written = store.read_table("logs", S.LOG, _only(logs, *logs.get(segment, {}), segment=segment))

@@ -10,18 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.session import BROADCAST_ROWS, cut_lineage
+from tidelog.session import BROADCAST_ROWS, cut_lineage, partitions_for
 
 # monotonically_increasing_id() holds the partition above bit 33, the row below.
 _ROW_BITS = 33
 
 
-def partition_count(df: DataFrame, partitions: int | None) -> int:
-    if partitions is not None:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def offsets(totals: DataFrame, order: list, value: str, offset: str) -> DataFrame:
     """Sum of ``value`` over the rows before each row.
 
@@ -52,7 +46,7 @@ def number_rows(
     borders; the sorted rows are therefore stored once, and both the totals and
     the numbers come from the stored rows.
     """
-    count = partition_count(df, partitions)
+    count = partitions or partitions_for(df)
     placed = (
         df.repartitionByRange(count, *order)
         .sortWithinPartitions(*order)
@@ -77,7 +71,7 @@ def running_total(
     partitions: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over all rows up to and including each row along ``order``."""
-    count = partition_count(df, partitions)
+    count = partitions or partitions_for(df)
     placed = df.repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id())
     placed = cut_lineage(placed)
     totals = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
-from tidelog.functions.attributes import attribute_json, attribute_text
+from tidelog.functions.attributes import all_plain, attribute_json, attribute_text, is_scalar
 from tidelog.functions.timeutil import iso_to_timestamp, time_literal
 
 FIELDS = ("timestamp", "level", "service", "message", "attributes")
@@ -105,8 +105,10 @@ def _fields(entries: DataFrame, entry: str, kept: list[str]) -> DataFrame:
     ]
     members = F.col("_attributes").try_cast("map<string,variant>")
     found = entries.select(*kept, F.col(entry).alias("_entry"), *fields)
-    return found.withColumn("_members", members).withColumn(
-        "_flat", F.forall(F.map_values("_members"), _is_scalar)
+    return (
+        found.withColumn("_members", members)
+        .withColumn("_plain", all_plain(F.col("_members")))
+        .withColumn("_flat", F.col("_plain") | F.forall(F.map_values("_members"), is_scalar))
     )
 
 
@@ -117,22 +119,14 @@ def _typed(fields: DataFrame) -> list[Column]:
         value = F.col(f"_{name}")
         return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
-    members, flat = F.col("_members"), F.col("_flat")
-    absent = F.col("_attributes").isNull()
+    flat, absent = F.col("_flat"), F.col("_attributes").isNull()
+    parts = (F.col("_attributes"), F.col("_members"), F.col("_plain"))
     empty = F.create_map().cast("map<string,string>")
-    texts = F.when(absent, empty).when(flat, attribute_text(members))
-    json_text = F.when(absent, "{}").when(flat, attribute_json(F.col("_attributes"), members))
+    texts = F.when(absent, empty).when(flat, attribute_text(*parts))
+    json_text = F.when(absent, "{}").when(flat, attribute_json(*parts))
     return [
         iso_to_timestamp(text("timestamp")).alias("timestamp"),
         *(text(name).alias(name) for name in ("level", "service", "message")),
         json_text.alias("attributes"),
         texts.alias("attr_text"),
     ]
-
-
-def _is_scalar(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return (
-        kind.isin("STRING", "BIGINT", "DOUBLE", "FLOAT", "BOOLEAN")
-        | kind.startswith("DECIMAL")
-    )

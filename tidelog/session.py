@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Size of a partition when this library chooses how many there are, and the most it makes.
+PARTITION_BYTES = 64 * 1024 * 1024
+MAX_PARTITIONS = 50_000
 # At most this many rows of a metadata table are broadcast; above it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -47,3 +50,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def partitions_for(df: DataFrame) -> int:
+    """A partition count that grows with the data, by the optimizer's size estimate."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(configured, min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))

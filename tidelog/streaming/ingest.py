@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.timeutil import EPOCH, MICROSECOND, UTC, format_iso
 from tidelog.operators.aggregate import minute_rollup, with_day
+from tidelog.operators.layout import batch_layout
 from tidelog.operators.numbering import join_metadata, number_split_rows
 from tidelog.operators.validate import check_entries, request_outcomes, split_checked
 from tidelog.sources.requests import SPLIT, read_requests, request_entries
@@ -74,20 +75,20 @@ def ingest_batch(
         valid = valid.withColumn("_at", F.monotonically_increasing_id())
         numbered, total = number_split_rows(valid, SPLIT, "_at")
         span = Observation()
+        days: dict[str, int] = {}
         if total:
+            store.write_rollups(with_day(minute_rollup(valid), "bucket_start"), segment)
+            days = store.rollup_rows(segment)
             start = F.lit(manifest.next_id).cast("long")
             logs = with_day(numbered.withColumn("id", start + F.col("number")), "timestamp")
-            store.write_logs(
-                logs.observe(
-                    span,
-                    F.min(F.unix_micros("timestamp")).alias("oldest"),
-                    F.max(F.unix_micros("timestamp")).alias("newest"),
-                ),
-                segment,
+            logs = logs.observe(
+                span,
+                F.min(F.unix_micros("timestamp")).alias("oldest"),
+                F.max(F.unix_micros("timestamp")).alias("newest"),
             )
-            store.write_rollups(with_day(minute_rollup(valid), "bucket_start"), segment)
+            tasks = checked.rdd.getNumPartitions()
+            store.write_logs(batch_layout(logs, tasks, days), segment)
         store.write_outcomes(_outcomes(checked), segment)
-        days = store.rollup_rows(segment) if total else {}
         if sum(days.values()) != total:
             raise RuntimeError(f"batch {segment}: {total} logs, {sum(days.values())} in the rollup")
     finally:
