@@ -158,6 +158,7 @@ MOMENTS = [
     datetime(1960, 2, 29, 0, 0, 0, 1, tzinfo=UTC),
     datetime(2024, 11, 3, 5, 59, 59, tzinfo=UTC),
     datetime(2024, 3, 10, 2, 30, tzinfo=UTC),
+    datetime(9998, 12, 31, 23, 59, 59, 999999, tzinfo=UTC),
 ]
 WIDTHS = {"1m": 60, "5m": 300, "1h": 3600, "1d": 86400}
 

@@ -17,6 +17,7 @@ from tidelog.operators.aggregate import (
     minute_rollup,
 )
 from tidelog.operators.calendar import day_calendar, days_present
+from tidelog.operators.filters import apply_filters, time_range
 from tidelog.operators.maintain import kept_rows
 from tidelog.operators.numbering import assign_ids
 from tidelog.operators.render import render_buckets
@@ -58,7 +59,10 @@ def _rollup(name: str, width: str, group: str | None = None, condition: str = "T
     def build(spark: SparkSession, folder: str) -> DataFrame:
         logs = event_logs(spark, folder)
         wanted = AggregateQuery(since=SINCE, until=UNTIL, bucket=width, group_by=group, **filters)
-        return aggregate_rollup(minute_rollup(logs), logs, wanted)
+        return aggregate_rollup(
+            lambda since, until: minute_rollup(apply_filters(logs, time_range(logs, since, until))),
+            logs, wanted,
+        )
 
 
 for _width in WIDTHS:

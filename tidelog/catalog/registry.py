@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.timeutil import whole_quotient
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -57,4 +59,4 @@ def event_logs(spark: SparkSession, folder: str, events: DataFrame | None = None
 
 
 def div(column: str, by: int) -> Column:
-    return F.floor(F.col(column) / by).cast("long")
+    return whole_quotient(F.col(column), F.lit(by))

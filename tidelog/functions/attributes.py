@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ _EXACT_INTEGER = 9_007_199_254_740_992
 _PLAIN_KINDS = r"^(STRING|BOOLEAN|DECIMAL\((\d|1[0-5]),\d+\))$"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def number_text(number: Column) -> Column:
     """Plain decimal text of a double: fewest digits that read back as the same
     double, no exponent, no trailing zeros, no ``-0``.
@@ -19,38 +26,41 @@ def number_text(number: Column) -> Column:
     text once more may miss; hence the tries with 15 and 16 digits, the latter
     also cut off, before all 17.
     """
+    full = F.format_string("%.16e", number)
+    tries = F.array(
+        F.format_string("%.14e", number), F.format_string("%.15e", number),
+        F.regexp_replace(full, r"\de", "e"), full,
+    )
+    fits = F.filter(tries, lambda text: text.try_cast("double") == number)
+    return F.when(number == 0, F.lit("0")).otherwise(bind(F.try_element_at(fits, F.lit(1)), _without_exponent))
 
-    def written(digits: int) -> Column:
-        return F.format_string(f"%.{digits - 1}e", number)
 
-    full = written(17)
-    text = full
-    for shorter in (F.regexp_replace(full, r"\de", "e"), written(16), written(15)):
-        text = F.when(shorter.try_cast("double") == number, shorter).otherwise(text)
+def _without_exponent(text: Column) -> Column:
     form = r"^(-?)(\d)\.(\d+)e([+-]\d+)$"
-    sign = F.regexp_extract(text, form, 1)
-    digits = F.concat(
-        F.regexp_extract(text, form, 2), F.rtrim(F.regexp_extract(text, form, 3), F.lit("0"))
-    )
+    sign, first, rest = (F.regexp_extract(text, form, part) for part in (1, 2, 3))
     exponent = F.regexp_extract(text, form, 4).try_cast("int")
-    whole = F.greatest(exponent + 1, F.lit(0))
-    large = F.when(
-        F.length(digits) > whole,
-        F.concat_ws(
-            ".", F.substring(digits, F.lit(1), whole), F.substring(digits, whole + 1, F.length(digits))
-        ),
-    ).otherwise(F.rpad(digits, whole, F.lit("0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    return F.when(number == 0, F.lit("0")).otherwise(
-        F.concat(sign, F.when(exponent < 0, small).otherwise(large))
-    )
+    digits = F.concat(first, F.rtrim(rest, F.lit("0")))
+
+    def place_point(parts: Column) -> Column:
+        digits, whole = parts["digits"], parts["exponent"] + 1
+        large = F.when(
+            F.length(digits) > whole,
+            F.concat_ws(
+                ".", F.substring(digits, F.lit(1), whole),
+                F.substring(digits, whole + 1, F.length(digits)),
+            ),
+        ).otherwise(F.rpad(digits, whole, F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits)
+        return F.when(whole <= 0, small).otherwise(large)
+
+    parts = F.struct(digits.alias("digits"), exponent.alias("exponent"))
+    return F.concat(sign, bind(parts, place_point))
 
 
 def scalar_text(value: Column) -> Column:
     """Text of a VARIANT scalar the way a JSON ``->>`` lookup shows it."""
-    return F.when(is_plain(value), value.cast("string")).otherwise(
-        number_text(F.try_variant_get(value, "$", "double"))
-    )
+    number = F.try_variant_get(value, "$", "double")
+    return F.when(is_plain(value), value.cast("string")).otherwise(bind(number, number_text))
 
 
 def is_plain(value: Column) -> Column:
@@ -101,11 +111,15 @@ def attribute_json(attributes: Column, members: Column, plain: Column) -> Column
     return F.when(plain, F.to_json(attributes)).otherwise(rewritten)
 
 
+def object_members(json_text: Column) -> Column:
+    """JSON text of an object to MAP<STRING, VARIANT>; NULL where it is none."""
+    return F.try_parse_json(json_text).try_cast("map<string,variant>")
+
+
 def attribute_map(json_text: Column) -> Column:
     """JSON text of a flat object to MAP<STRING, STRING> of scalar texts."""
-    parsed = F.try_parse_json(json_text)
-    members = parsed.try_cast("map<string,variant>")
-    return attribute_text(parsed, members, all_plain(members))
+    members = object_members(json_text)
+    return attribute_text(F.try_parse_json(json_text), members, all_plain(members))
 
 
 def canonical_attributes(logs: DataFrame) -> DataFrame:

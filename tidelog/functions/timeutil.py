@@ -30,6 +30,11 @@ ISO_PATTERN = (
 _ISO = re.compile(ISO_PATTERN, re.ASCII)
 
 
+def whole_quotient(number: Column, by: Column) -> Column:
+    """Integer division of integers, cut towards zero; never goes through a double."""
+    return F.call_function("div", number, by)
+
+
 def is_ntz(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.TimestampNTZType)
 
@@ -102,9 +107,8 @@ def day_of(df: DataFrame, name: str) -> Column:
     """UTC calendar day of a timestamp column."""
     if is_ntz(df, name):
         return F.to_date(F.col(name))
-    return F.date_from_unix_date(
-        F.floor(F.unix_micros(F.col(name)) / F.lit(DAY_MICROS)).cast("int")
-    )
+    micros, day = F.unix_micros(F.col(name)), F.lit(DAY_MICROS)
+    return F.date_from_unix_date(whole_quotient(micros - F.pmod(micros, day), day).cast("int"))
 
 
 def iso_text(df: DataFrame, name: str, digits: int = 3) -> Column:

@@ -10,7 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.attributes import attribute_map
+from tidelog.functions.attributes import bind, object_members, scalar_text
 from tidelog.functions.cursor import LogCursor
 from tidelog.functions.text import contains_text
 from tidelog.functions.timeutil import MICROSECOND, is_ntz, time_literal, utc_day
@@ -53,9 +53,12 @@ def attribute_equals(df: DataFrame, attributes: Mapping[str, str]) -> list[Colum
     """String equality on attribute texts; keys are literal names, not paths."""
     if not attributes:
         return []
-    stored = "attr_text" in df.columns
-    texts = F.col("attr_text") if stored else attribute_map(F.col("attributes"))
-    return [F.try_element_at(texts, F.lit(k)) == F.lit(v) for k, v in attributes.items()]
+    if "attr_text" in df.columns:
+        return [F.try_element_at("attr_text", F.lit(k)) == F.lit(v) for k, v in attributes.items()]
+    members = object_members(F.col("attributes"))
+    return [
+        bind(F.try_element_at(members, F.lit(k)), scalar_text) == F.lit(v) for k, v in attributes.items()
+    ]
 
 
 def before_cursor(df: DataFrame, cursor: LogCursor | None) -> list[Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidelog.functions.cursor import cursor_token, decode_cursor
-from tidelog.functions.timeutil import MICROSECOND, UTC
+from tidelog.functions.timeutil import MICROSECOND, UTC, whole_quotient
 from tidelog.operators.filters import Scan, matching, scan_of
 from tidelog.operators.numbering import number_rows
 from tidelog.plans.params import LogQuery
@@ -112,7 +112,7 @@ def paged_export(logs: DataFrame, query: LogQuery, partitions: int | None = None
     total = ranked.count()
     ends_page = (F.col("_rank") % query.limit == query.limit - 1) & (F.col("_rank") < total - 1)
     return ranked.select(
-        F.floor(F.col("_rank") / query.limit).cast("long").alias("page"),
+        whole_quotient(F.col("_rank"), F.lit(query.limit)).alias("page"),
         *LOG_COLUMNS,
         F.when(ends_page, cursor_token(ranked)).alias("next_cursor"),
     )
