@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidelog.functions.attributes import attribute_map, canonical_attributes, number_text
+from tidelog.functions.attributes import canonical_attributes, number_text
 from tidelog.functions.cursor import (
     LogCursor,
     cursor_position,
@@ -97,7 +97,7 @@ def test_attribute_texts(spark):
     members = ",".join(f'"n{i}":{text}' for i, text in enumerate(NUMBERS))
     body = "{" + members + r',"s":"x\"y\\","b":false,"a.b":"dot","q\"k":1e3,"e":""}'
     df = spark.createDataFrame([(body,)], "attributes string")
-    texts = df.select(attribute_map(F.col("attributes"))).first()[0]
+    texts = canonical_attributes(df).first()["attr_text"]
     assert {k: texts[f"n{i}"] for i, k in enumerate(NUMBERS)} == NUMBERS
     assert texts["s"] == 'x"y\\' and texts["b"] == "false" and texts["a.b"] == "dot"
     assert texts['q"k'] == "1000" and texts["e"] == ""

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 _EXACT_INTEGER = 9_007_199_254_740_992
 # Kinds whose text is always canonical; a double holds any 15 digits exactly.
 _PLAIN_KINDS = r"^(STRING|BOOLEAN|DECIMAL\((\d|1[0-5]),\d+\))$"
+# In the schema text of an object: a value of any other kind than those and integers.
+_OTHER_KINDS = r": (?!STRING|BOOLEAN|BIGINT|DECIMAL\((\d|1[0-5]),)"
+# In JSON text: digits enough for an integer that a double may not hold.
+_LONG_INTEGER = r"\d{16}"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,22 +85,60 @@ def is_scalar(value: Column) -> Column:
     return kind.isin("STRING", "BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
 
 
-def all_plain(members: Column) -> Column:
-    return F.forall(F.map_values(members), is_plain)
+def object_members(json_text: Column) -> Column:
+    """JSON text of an object to MAP<STRING, VARIANT>; NULL where it is none."""
+    return F.try_parse_json(json_text).try_cast("map<string,variant>")
 
 
-def attribute_text(attributes: Column, members: Column, plain: Column) -> Column:
-    """Flat VARIANT object to MAP<STRING, STRING> of scalar texts.
+def with_attributes(rows: DataFrame, value: str) -> DataFrame:
+    """Adds ``is_object``, ``is_flat``, ``attributes`` and ``attr_text`` for a VARIANT column.
 
-    ``members`` is the object as MAP<STRING, VARIANT>, ``plain`` is
-    :func:`all_plain` of it; plain objects take one cast.
+    ``attributes`` is canonical JSON, with numbers written like their text, and
+    ``attr_text`` the map of scalar texts; both are NULL unless the object is
+    flat. Objects whose schema and JSON text show nothing that needs rewriting
+    take two casts; only the others are looked at value by value. Helper
+    columns are columns so that each is computed once.
     """
-    rewritten = F.transform_values(members, lambda _, v: scalar_text(v))
-    return F.when(plain, attributes.try_cast("map<string,string>")).otherwise(rewritten)
+    steps = rows.withColumns(
+        {"_kinds": F.schema_of_variant(value), "_json": F.to_json(F.col(value))}
+    )
+    steps = steps.withColumn("is_object", F.coalesce(F.col("_kinds").startswith("OBJECT"), F.lit(False)))
+    plain = ~F.col("_kinds").rlike(_OTHER_KINDS) & ~F.col("_json").rlike(_LONG_INTEGER)
+    steps = steps.withColumn("_plain", F.col("is_object") & plain)
+    odd = F.col("is_object") & ~F.col("_plain")
+    steps = steps.withColumn(
+        "_members", F.when(odd, F.col(value).try_cast("map<string,variant>"))
+    )
+    members = F.col("_members")
+    steps = steps.withColumn(
+        "is_flat",
+        F.col("_plain") | F.coalesce(F.forall(F.map_values(members), is_scalar), F.lit(False)),
+    )
+    texts = F.when(F.col("_plain"), F.col(value).try_cast("map<string,string>")).when(
+        F.col("is_flat"), F.transform_values(members, lambda _, v: scalar_text(v))
+    )
+    json_text = F.when(F.col("_plain"), F.col("_json")).when(
+        F.col("is_flat"), _rewritten_json(members)
+    )
+    return steps.withColumns({"attributes": json_text, "attr_text": texts}).drop(
+        "_kinds", "_json", "_plain", "_members"
+    )
+
+
+def canonical_attributes(logs: DataFrame) -> DataFrame:
+    """``attributes`` as canonical JSON, and ``attr_text`` beside it; NULL becomes ``{}``.
+
+    Text that is not a flat JSON object stays as it is and has no attribute texts.
+    """
+    given = F.coalesce(F.col("attributes"), F.lit("{}"))
+    parsed = logs.withColumn("_given", given).withColumn("_object", F.try_parse_json("_given"))
+    read = with_attributes(parsed, "_object")
+    return read.withColumn("attributes", F.coalesce("attributes", "_given")).drop(
+        "_given", "_object", "is_object", "is_flat"
+    )
 
 
-def attribute_json(attributes: Column, members: Column, plain: Column) -> Column:
-    """Canonical JSON of a flat VARIANT object; numbers are written like their text."""
+def _rewritten_json(members: Column) -> Column:
     pairs = F.transform(
         F.map_entries(members),
         lambda e: F.concat(
@@ -107,43 +149,7 @@ def attribute_json(attributes: Column, members: Column, plain: Column) -> Column
             ).otherwise(scalar_text(e["value"])),
         ),
     )
-    rewritten = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-    return F.when(plain, F.to_json(attributes)).otherwise(rewritten)
-
-
-def object_members(json_text: Column) -> Column:
-    """JSON text of an object to MAP<STRING, VARIANT>; NULL where it is none."""
-    return F.try_parse_json(json_text).try_cast("map<string,variant>")
-
-
-def attribute_map(json_text: Column) -> Column:
-    """JSON text of a flat object to MAP<STRING, STRING> of scalar texts."""
-    members = object_members(json_text)
-    return attribute_text(F.try_parse_json(json_text), members, all_plain(members))
-
-
-def canonical_attributes(logs: DataFrame) -> DataFrame:
-    """``attributes`` as canonical JSON, and ``attr_text`` beside it; NULL becomes ``{}``.
-
-    Text that is not a JSON object stays as it is and has no attribute texts.
-    """
-    given = F.coalesce(F.col("attributes"), F.lit("{}"))
-    steps = (
-        logs.withColumn("attributes", given)
-        .withColumn("_object", F.try_parse_json("attributes"))
-        .withColumn("_members", F.col("_object").try_cast("map<string,variant>"))
-        .withColumn("_plain", all_plain(F.col("_members")))
-    )
-    parts = (F.col("_object"), F.col("_members"), F.col("_plain"))
-    is_object = F.col("_members").isNotNull()
-    return (
-        steps.withColumn("attr_text", F.when(is_object, attribute_text(*parts)))
-        .withColumn(
-            "attributes",
-            F.when(is_object, attribute_json(*parts)).otherwise(F.col("attributes")),
-        )
-        .drop("_object", "_members", "_plain")
-    )
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
 def _quoted(text: Column) -> Column:

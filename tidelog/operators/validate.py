@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
-from tidelog.functions.attributes import all_plain, attribute_json, attribute_text, is_scalar
+from tidelog.functions.attributes import with_attributes
 from tidelog.functions.timeutil import iso_to_timestamp, time_literal
 
 FIELDS = ("timestamp", "level", "service", "message", "attributes")
@@ -18,8 +18,7 @@ CHECKED = ("timestamp", "level", "service", "message", "attributes", "attr_text"
 def to_records(entries: DataFrame, entry: str = "entry") -> DataFrame:
     """Typed columns of a VARIANT entry; NULL where a field is absent or unfit."""
     kept = [name for name in entries.columns if name != entry]
-    fields = _fields(entries, entry, kept)
-    return fields.select(*kept, *_typed(fields))
+    return _fields(entries, entry, kept).select(*kept, *CHECKED)
 
 
 def check_entries(
@@ -31,15 +30,11 @@ def check_entries(
     is the clock for the future check, one moment for the whole batch.
     """
     kept = [name for name in entries.columns if name != entry]
-    fields = _fields(entries, entry, kept)
     now = F.current_timestamp() if as_of is None else time_literal(as_of)
-    typed = fields.select(
-        *kept, "_entry", "_timestamp", "_attributes", "_members", "_flat", *_typed(fields)
-    )
     latest = F.unix_millis(now) + S.MAX_FUTURE_MINUTES * 60_000
     # A value with a timestamp field is an object; only the others need a look.
     not_object = F.col("_timestamp").isNull() & ~F.schema_of_variant("_entry").startswith("OBJECT")
-    attributes_object = F.col("_attributes").isNull() | F.col("_members").isNotNull()
+    given = F.col("_attributes").isNotNull()
     reason = (
         F.when(F.col("_entry").isNull(), F.lit(None).cast("string"))
         .when(not_object, S.NOT_OBJECT)
@@ -48,10 +43,10 @@ def check_entries(
         .when(~F.coalesce(F.col("level").isin(*S.LEVELS), F.lit(False)), S.BAD_LEVEL)
         .when(F.coalesce(F.length("service"), F.lit(0)) == 0, S.EMPTY_SERVICE)
         .when(F.coalesce(F.length("message"), F.lit(0)) == 0, S.EMPTY_MESSAGE)
-        .when(~attributes_object, S.ATTRIBUTES_NOT_FLAT)
-        .when(~F.col("_flat"), S.ATTRIBUTE_VALUE)
+        .when(given & ~F.col("is_object"), S.ATTRIBUTES_NOT_FLAT)
+        .when(given & ~F.col("is_flat"), S.ATTRIBUTE_VALUE)
     )
-    return typed.select(*kept, reason.alias("reason"), *CHECKED)
+    return _fields(entries, entry, kept).select(*kept, reason.alias("reason"), *CHECKED)
 
 
 def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,38 +90,28 @@ def request_outcomes(
 
 
 def _fields(entries: DataFrame, entry: str, kept: list[str]) -> DataFrame:
-    """The five fields of each entry as VARIANTs, and what the checks need of them.
+    """Each entry's fields as VARIANTs and as typed log columns.
 
-    Steps that several columns use are columns of their own, so each is
-    computed once per row.
+    A field of the wrong type is NULL; absent attributes are an empty object.
     """
-    fields = [
-        F.try_variant_get(entry, f"$.{name}", "variant").alias(f"_{name}") for name in FIELDS
-    ]
-    members = F.col("_attributes").try_cast("map<string,variant>")
-    found = entries.select(*kept, F.col(entry).alias("_entry"), *fields)
-    return (
-        found.withColumn("_members", members)
-        .withColumn("_plain", all_plain(F.col("_members")))
-        .withColumn("_flat", F.col("_plain") | F.forall(F.map_values("_members"), is_scalar))
-    )
-
-
-def _typed(fields: DataFrame) -> list[Column]:
-    """Log columns; a field of the wrong type is NULL, absent attributes are empty."""
+    fields = [F.try_variant_get(entry, f"$.{name}", "variant").alias(f"_{name}") for name in FIELDS]
 
     def text(name: str) -> Column:
         value = F.col(f"_{name}")
         return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
-    flat, absent = F.col("_flat"), F.col("_attributes").isNull()
-    parts = (F.col("_attributes"), F.col("_members"), F.col("_plain"))
-    empty = F.create_map().cast("map<string,string>")
-    texts = F.when(absent, empty).when(flat, attribute_text(*parts))
-    json_text = F.when(absent, "{}").when(flat, attribute_json(*parts))
-    return [
-        iso_to_timestamp(text("timestamp")).alias("timestamp"),
-        *(text(name).alias(name) for name in ("level", "service", "message")),
-        json_text.alias("attributes"),
-        texts.alias("attr_text"),
-    ]
+    absent = F.col("_attributes").isNull()
+    found = entries.select(*kept, F.col(entry).alias("_entry"), *fields)
+    return (
+        with_attributes(found, "_attributes")
+        .withColumns({name: text(name) for name in ("timestamp", "level", "service", "message")})
+        .withColumns(
+            {
+                "timestamp": iso_to_timestamp(F.col("timestamp")),
+                "attributes": F.when(absent, "{}").otherwise(F.col("attributes")),
+                "attr_text": F.when(absent, F.create_map().cast("map<string,string>")).otherwise(
+                    F.col("attr_text")
+                ),
+            }
+        )
+    )

@@ -21,6 +21,7 @@ def local_session(cpus: int | str = 8, app: str = "tidelog") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus).replace("*", "8"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.maxConcurrentOutputFileWriters", "16")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
