@@ -58,14 +58,13 @@ def test_twenty_requests_become_one_batch(setup):
     assert [tuple(r) for r in rows] == [(i + 1, f"m{i}") for i in range(1000)], "reading order"
     outcomes = snapshot.outcomes().collect()
     assert len(outcomes) == 20 and {(r["accepted"], r["status"]) for r in outcomes} == {(50, 200)}
-    assert [r["request_id"].rsplit("#")[-1] for r in snapshot.outcomes().orderBy(F.length("request_id"), "request_id").collect()] == [str(i) for i in range(20)]
+    assert {r["request_id"].rsplit("#")[-1] for r in outcomes} == {str(i) for i in range(20)}
 
 
 def test_micro_batches_and_late_logs(setup):
     store, source, checkpoint = setup
     for number in range(4):
-        day = 10 - 3 * number
-        stamp = f"2026-{8 - number}-{day:02d}T10:00:59.999999Z".replace("-8-", "-08-").replace("-7-", "-07-").replace("-6-", "-06-").replace("-5-", "-05-")
+        stamp = f"2026-0{8 - number}-{10 - 3 * number:02d}T10:00:59.999999Z"
         write(source, f"f{number}", [[entry(i, stamp) for i in range(30)], [5, entry(1, stamp)]])
     write(source, "old", [[entry(1, "1969-12-31T23:59:59.5Z")]])
     run(store, source, checkpoint, maxFilesPerTrigger=2)

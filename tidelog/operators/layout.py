@@ -20,6 +20,12 @@ def clustered(rows: DataFrame, order: list[Column], files: int) -> DataFrame:
     return rows.repartitionByRange(max(files, 1), *order).sortWithinPartitions(*order)
 
 
+def rollup_layout(rollups: DataFrame) -> DataFrame:
+    """Rollup rows sorted and brought together by day; adaptive execution sets the file count."""
+    keys = ["day", "bucket_start", "service", "level"]
+    return rollups.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def batch_layout(logs: DataFrame, tasks: int, days: dict[str, int]) -> DataFrame:
     """Logs of a batch as they are written.
 

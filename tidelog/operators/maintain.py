@@ -19,7 +19,7 @@ from tidelog.functions.attributes import canonical_attributes
 from tidelog.functions.timeutil import EPOCH, MICROSECOND, UTC, parse_iso, utc_day, utc_instant
 from tidelog.operators.aggregate import merge_rollups, minute_rollup, with_day
 from tidelog.operators.filters import apply_filters, time_range
-from tidelog.operators.layout import ROWS_PER_FILE, clustered, read_layout
+from tidelog.operators.layout import ROWS_PER_FILE, clustered, read_layout, rollup_layout
 from tidelog.plans.params import retention_days
 from tidelog.session import partitions_for
 from tidelog.sources.store import LogStore, Manifest
@@ -154,14 +154,14 @@ def _add(
     if not written:
         return logs, rollups
     stored = store.read_table("logs", S.LOG, {segment: list(written)})
-    store.write_rollups(with_day(minute_rollup(stored), "bucket_start"), segment)
+    store.write_rollups(rollup_layout(with_day(minute_rollup(stored), "bucket_start")), segment)
     return {**logs, segment: written}, {**rollups, segment: sorted(written)}
 
 
 def _replace_rollups(
     store: LogStore, manifest: Manifest, segment: str, minutes: DataFrame, wanted: list[str], kind: str
 ) -> Manifest:
-    store.write_rollups(with_day(minutes, "bucket_start"), segment)
+    store.write_rollups(rollup_layout(with_day(minutes, "bucket_start")), segment)
     days = store.rollup_rows(segment)
     expected = _count(manifest.logs, wanted)
     if sum(days.values()) != expected:

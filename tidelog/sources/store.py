@@ -99,7 +99,8 @@ class LogStore:
     def commits(self) -> DataFrame:
         """The history of commits, one row per manifest version."""
         if not self._manifest_files():
-            return self.spark.createDataFrame([], T.StructType([T.StructField("version", T.LongType()), *S.COMMIT.fields]))
+            empty = T.StructType([T.StructField("version", T.LongType()), *S.COMMIT.fields])
+            return self.spark.createDataFrame([], empty)
         shape = T.StructType(
             [T.StructField("version", T.LongType()), T.StructField("commit", S.COMMIT)]
         )
