@@ -57,7 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def partitions_for(df: DataFrame) -> int:
-    """A partition count that grows with the data, by the optimizer's size estimate."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """A partition count that grows with the data, by the optimizer's size estimate.
+
+    Small data gets one partition per core, or the configured shuffle partitions if fewer.
+    """
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = min(configured, spark.sparkContext.defaultParallelism)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(configured, min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))
+    return max(least, min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))
