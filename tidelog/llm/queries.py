@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import bpe
+from tidelog.llm import bpe, decontaminate, fingerprint
 from tidelog.llm.catalog import query
 from tidelog.llm.common import table
 
@@ -15,3 +16,36 @@ RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @query("op1_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), "doc_id", "text", RANK_FILE, public_tokenizers.PATTERN)
+
+
+@query("op3_fingerprints")
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, folder, "documents"), "doc_id", "text")
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op8_decontaminate",
+    f"""WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
+    b AS (SELECT item_id, ws, least(len(ws), 10) AS l FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+    win AS (SELECT DISTINCT item_id, l, array_to_string(ws[i : i + l - 1], ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, len(ws) - l + 2)) AS i FROM b)),
+    hits AS (SELECT doc_id, i, p.l, item_id
+             FROM (SELECT doc_id, i, l, array_to_string(ws[i : i + l - 1], ' ') AS phrase
+                   FROM (SELECT d.*, x.l, unnest(range(1, len(ws) - x.l + 2)) AS i FROM d, (SELECT DISTINCT l FROM win) x)) p
+             JOIN win ON win.l = p.l AND win.phrase = p.phrase),
+    hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS place FROM hits) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+)
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
