@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, fingerprint
+from tidelog.llm import bpe, decontaminate, fingerprint, language, pages
 from tidelog.llm.catalog import query
-from tidelog.llm.common import table
+from tidelog.llm.common import fold, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -49,3 +49,16 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op2_html_extraction")
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"), "page_id", "url", "html")
+
+
+@query("op7_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.train(docs, "text", "lang", fold("doc_id", 3) != 1)
+    found = language.predict(docs, "doc_id", "text", model)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
