@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, fingerprint, language, pages
+from tidelog.llm import bpe, decontaminate, fingerprint, language, neardup, pages
 from tidelog.llm.catalog import query
 from tidelog.llm.common import fold, table
 
@@ -62,3 +62,22 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language.train(docs, "text", "lang", fold("doc_id", 3) != 1)
     found = language.predict(docs, "doc_id", "text", model)
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op4_minhash_dedup",
+    r"""WITH RECURSIVE w AS (
+      SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws
+      FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS shingle
+          FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL)
+             JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+    reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN link ON a = seen),
+    least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)""",
+)
+def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", size=4, percent=80)
