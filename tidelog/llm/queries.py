@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, fingerprint, language, neardup, pages
+from tidelog.llm import bpe, decontaminate, fingerprint, language, neardup, pages, secrets
 from tidelog.llm.catalog import query
 from tidelog.llm.common import fold, table
 
@@ -81,3 +81,17 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 )
 def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", size=4, percent=80)
+
+
+@query("op5_secret_scan")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"), "doc_id", "text")
+    names = F.array(*[F.lit(k) for k in secrets.KINDS])
+    spans = F.zip_with(
+        F.zip_with("starts", "ends", lambda s, e: F.concat_ws(":", s.cast("string"), e.cast("string"))),
+        "kinds", lambda place, kind: F.concat_ws(":", F.get(names, kind), place),
+    )
+    found = found.withColumn("named", spans)
+    counted = [F.size(F.filter("kinds", lambda k, n=n: k == n)).cast("long").alias(f"n_{secrets.KINDS[n]}") for n in range(3)]
+    base = F.array_join(F.filter("named", lambda s: ~s.startswith("model:")), ",")
+    return found.select("doc_id", *counted, F.sha2(base, 256).alias("base_sha256"), F.array_join("named", ",").alias("spans"))
