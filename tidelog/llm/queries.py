@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, fingerprint, language, neardup, pages, secrets
+from tidelog.llm import bpe, decontaminate, fingerprint, language, lm, neardup, pages, secrets
 from tidelog.llm.catalog import query
 from tidelog.llm.common import fold, table
 
@@ -92,6 +92,11 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "kinds", lambda place, kind: F.concat_ws(":", F.get(names, kind), place),
     )
     found = found.withColumn("named", spans)
-    counted = [F.size(F.filter("kinds", lambda k, n=n: k == n)).cast("long").alias(f"n_{secrets.KINDS[n]}") for n in range(3)]
+    counted = [F.expr(f"CAST(size(filter(kinds, k -> k = {n})) AS BIGINT) AS n_{secrets.KINDS[n]}") for n in range(3)]
     base = F.array_join(F.filter("named", lambda s: ~s.startswith("model:")), ",")
     return found.select("doc_id", *counted, F.sha2(base, 256).alias("base_sha256"), F.array_join("named", ",").alias("spans"))
+
+
+@query("op10_lm_scoring")
+def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"), "doc_id", "text", fold("doc_id", 5) != 1)
