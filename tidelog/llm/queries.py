@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, fingerprint, language, lm, neardup, pages, secrets
+from tidelog.llm import bpe, decontaminate, fingerprint, language, lm, neardup, pages, secrets, substrings
 from tidelog.llm.catalog import query
 from tidelog.llm.common import fold, table
 
@@ -100,3 +100,9 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_lm_scoring")
 def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"), "doc_id", "text", fold("doc_id", 5) != 1)
+
+
+@query("op6_substring_removal")
+def substring_removal(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, folder, "documents"), "doc_id", "text", size=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
