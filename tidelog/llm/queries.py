@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, fingerprint, language, lm, neardup, pages, secrets, substrings
+from tidelog.llm import bpe, decontaminate, fingerprint, language, lm, neardup, pages, passages, secrets, substrings
 from tidelog.llm.catalog import query
 from tidelog.llm.common import fold, table
 
@@ -106,3 +106,10 @@ def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 def substring_removal(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, folder, "documents"), "doc_id", "text", size=400)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_passage_dedup")
+def passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, folder, "documents"), "doc_id", "text", length=50, size=5, percent=80)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), "n_links", "component_id", spans.alias("spans"))
