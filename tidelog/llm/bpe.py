@@ -226,18 +226,20 @@ def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFr
     return by_batch(df.select(key, ids), f"{key} {dict(df.dtypes)[key].replace('bigint', 'long')}, bytes binary", work)
 
 
-def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
-    """Per row ``n_tokens`` and the digests of the ids and of the bytes decoded from them, in one pass."""
+def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Per row ``n_tokens`` and the digests of the ids and of the bytes decoded from them, in one pass;
+    with ``with_ids`` the ids as well."""
     ranks = _rank_file(df, path)
 
     def work(batch: pa.RecordBatch) -> dict:
         lines, decoded = _codec(ranks.value, pattern).code(batch.column(1).to_pylist())
         return {
             key: batch.column(0),
+            "ids": _as_ids(lines) if with_ids else None,
             "n_tokens": [x.count(" ") + 1 if x else 0 for x in lines],
             "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in lines],
             "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decoded],
         }
 
     schema = f"{key} {dict(df.dtypes)[key].replace('bigint', 'long')}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return by_batch(df.select(key, text), schema, work)
+    return by_batch(df.select(key, text), schema + ", ids array<int>" * with_ids, work)

@@ -7,7 +7,7 @@ A word of a text scores by its log frequency; a word never seen scores by the me
 of its longest n-grams of which any is known.
 
 Prediction is a map over all rows with the model broadcast (at most
-``MODEL_TERMS`` words and as many n-grams, the most frequent ones); nothing is
+``MODEL_TERMS`` terms twice over, the most frequent ones); nothing is
 shuffled. Only the text is an input.
 
 Defined results: a null text, one without any letter, or one met by an empty model
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import by_batch
+from tidelog.llm.common import by_batch, stored
 
 PER_LANGUAGE = 1500
 MODEL_TERMS = 200_000
@@ -70,21 +70,21 @@ def train(docs: DataFrame, text: str, lang: str, where: Column | None = None) ->
         return {"lang": names, "size": sizes, "term": terms, "n": list(found.values())}
 
     counted = by_batch(sample, "lang string, size int, term string, n long", count).groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "terms")
     totals = {(r.lang, r["size"]): r.n for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    terms = counted.groupBy("size", "term").agg(
-        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("by")
-    )
-    top = terms.where((F.col("size") > 0) | (F.col("n") > 1)).orderBy(F.desc("n"), "size", "term").limit(2 * MODEL_TERMS)
     langs = sorted({name for name, _ in totals})
-    table: dict[str, int] = {}
-    values: list[list[float]] = []
-    for r in top.toLocalIterator():
-        row = [np.log(0.5 / (totals.get((name, r["size"]), 0) + 1)) for name in langs]
-        for x in r.by:
-            row[langs.index(x.lang)] = np.log(x.n / totals[x.lang, r["size"]])
-        table[("" if r["size"] else "=") + r.term] = len(values)
-        values.append(row)
-    return {"langs": langs, "rows": table, "values": np.array(values, dtype=np.float32).reshape(-1, max(1, len(langs)))}
+    if not langs:
+        return {"langs": [], "rows": {}, "values": np.zeros((0, 1), dtype=np.float32)}
+    by = [F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, name in enumerate(langs)]
+    terms = counted.groupBy("size", "term").agg(F.sum("n").alias("n"), *by)
+    # Words met once tell little; their n-grams do.
+    top = terms.where("size > 0 OR n > 1").orderBy(F.desc("n"), "size", "term").limit(2 * MODEL_TERMS).toPandas()
+    sizes = top["size"].to_numpy()
+    of = np.array([[totals.get((name, size), 0) for name in langs] for size in range(LONGEST + 1)], dtype=np.float64)[sizes]
+    found = top[[f"n{i}" for i in range(len(langs))]].to_numpy(dtype=np.float64)
+    values = np.where(found > 0, np.log(np.maximum(found, 1) / np.maximum(of, 1)), np.log(0.5 / (of + 1)))
+    rows = {("" if size else "=") + term: i for i, (size, term) in enumerate(zip(sizes.tolist(), top["term"], strict=True))}
+    return {"langs": langs, "rows": rows, "values": values.astype(np.float32)}
 
 
 class Scorer:

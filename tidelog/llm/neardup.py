@@ -200,7 +200,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row ``key``, ``n_shingles``, ``component_id`` (least key of its component) and ``kept`` (one row of each component).
+    """Per row ``key``, ``n_shingles``, ``component_id`` (least key of its component), ``kept`` (one row of each
+    component) and ``digest`` (MD5 of the text).
 
     Two texts are linked if their shingle sets share ``percent`` of their union.
     """
@@ -229,9 +230,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 5, percent
     if not again.isEmpty():
         labels = components(links.unionByName(again))
 
-    placed_rows = rows.select("row", "key", "n_shingles").join(member, "row", "left").join(labels, "node", "left")
-    placed_rows = placed_rows.select("row", "key", "n_shingles", F.coalesce("label", "node", "row").alias("label"))
+    placed_rows = rows.select("row", "key", "n_shingles", "digest").join(member, "row", "left").join(labels, "node", "left")
+    placed_rows = placed_rows.select("row", "key", "n_shingles", "digest", F.coalesce("label", "node", "row").alias("label"))
     first = placed_rows.groupBy("label").agg(F.min(F.struct("key", "row")).alias("first"))
     return placed_rows.join(first, "label").select(
-        F.col("key").alias(key), "n_shingles", F.col("first.key").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept")
+        F.col("key").alias(key), "n_shingles", F.col("first.key").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "digest"
     )

@@ -59,7 +59,7 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = language.train(docs, "text", "lang", fold("doc_id", 3) != 1)
+    model = language.train(docs, "text", "lang", F.coalesce(fold("doc_id", 3) != 1, F.lit(True)))
     found = language.predict(docs, "doc_id", "text", model)
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
@@ -80,7 +80,8 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     FROM documents d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)""",
 )
 def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", size=4, percent=80)
+    found = neardup.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", size=4, percent=80)
+    return found.drop("digest")
 
 
 @query("op5_secret_scan")
