@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,7 +21,24 @@ BROADCAST_ROWS = 50_000
 SLICE_ROWS = 1000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session: they need not have it installed."""
+    context = spark.sparkContext
+    if any(os.path.basename(path) == "tidelog.zip" for path in context.listFiles):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidelog-"), "tidelog.zip")
+    with zipfile.ZipFile(path, "w") as file:
+        for folder, _, names in os.walk(os.path.join(root, "tidelog")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    file.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -44,6 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def by_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``work`` on every slice of rows; it gives the output columns by name."""
+    ship(df.sparkSession)
     names = [part.split()[0] for part in schema.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
     kinds = [_arrow_type(part.split()[1], types) for part in schema.split(", ")]
