@@ -249,7 +249,7 @@ def _by_suffix_order(contents: DataFrame, size: int, keep_first: bool, kind: str
         for batch in slices(batches):
             key_type = batch.schema.field(1).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(waiting) >= GROUP_CHUNKS // 4 and row[0] != waiting[-1][0]:
+                if waiting and len(waiting) >= GROUP_CHUNKS // 4 and row[0] != waiting[-1][0]:
                     yield solve(waiting)
                     waiting = []
                 waiting.append(row)
@@ -269,26 +269,32 @@ def _by_counting(contents: DataFrame, size: int, keep_first: bool, kind: str) ->
     def ranges(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {name: [] for name in ("row", "low", "high", "core", "cover")}
         for row, left, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            last = len(content) - size  # start of the last string
-            for low in range(0, last + 1, RANGE):
-                high = min(low + RANGE - 1, last)
-                # Strings agree only at the same place around the anchor, so that place is part of what is counted.
-                for name, value in (("row", row), ("low", low), ("high", high), ("core", digest(b"%d " % (low - left) + content[high : low + size])), ("cover", digest(b"%d %d " % (low - left, high - left) + content[low : high + size]))):
+            # Ranges are fixed by the anchor; texts that begin or end near it have only some of the starts.
+            for begin in range(-reach, 1, RANGE):
+                end = min(begin + RANGE - 1, 0)
+                low, high = max(begin, -left), min(end, len(content) - left - size)
+                if low > high:
+                    continue
+                core = digest(b"%d " % begin + content[left + end : left + begin + size])
+                whole = (low, high) == (begin, end)
+                cover = digest(b"%d " % begin + content[left + low : left + high + size] + (b"" if whole else b" %d" % row))
+                for name, value in (("row", row), ("low", left + low), ("high", left + high), ("core", core), ("cover", cover)):
                     out[name].append(value)
         return out
 
     contents = stored(contents.withColumn("row", F.monotonically_increasing_id()), "hot")
     rows = stored(by_batch(contents.select("row", "left", "content"), "row long, low int, high int, core binary, cover binary", ranges), "ranges")
     cores = rows.groupBy("core").agg(F.count("*").alias("n_core")).where("n_core > 1")
-    covers = rows.groupBy("cover").agg(F.count("*").alias("n_cover"))
-    open_rows = stored(rows.join(cores, "core").join(covers, "cover").select("row", "low", "high", "n_cover"), "open")
+    covers = rows.groupBy("cover").agg(F.count("*").alias("n_cover"), F.min("row").alias("one"))
+    open_rows = stored(rows.join(cores, "core").join(covers, "cover").select("row", "low", "high", "n_cover", "one"), "open")
     place = F.col("place") - F.col("left")
     own = contents.select("row", "key", "mark", "place", "left", "content", "n")
+    done = None
     if keep_first:
         fine = open_rows
-        done = None
     else:
-        fine = open_rows.where("n_cover = 1")
+        # Of ranges that are equal throughout, one is compared further, with those that differ.
+        fine = open_rows.where("row = one")
         done = open_rows.where("n_cover > 1").join(own, "row").select("key", "mark", (place + F.col("low")).alias("start"), (place + F.col("high") + size).alias("end"))
 
     def strings(batch: pa.RecordBatch) -> dict:
