@@ -69,11 +69,11 @@ def store_times(spark, rows: int) -> tuple[dict[str, float], float]:
     snapshot = store.snapshot()
     wanted = {
         "store_agg_rollup": lambda: drain(snapshot.aggregate(AggregateQuery(**SPAN, bucket="1m", group_by="service"))),
-        "store_agg_raw": lambda: drain(snapshot.aggregate(AggregateQuery(**SPAN, bucket="1m", q="message 7"))),
+        "store_agg_raw": lambda: drain(snapshot.aggregate(AggregateQuery(**SPAN, bucket="1m", q="entry 7"))),
         "store_agg_attr": lambda: drain(snapshot.aggregate(AggregateQuery(**SPAN, bucket="1m", attributes={"worker": "3"}))),
         "store_search_newest": lambda: snapshot.search(LogQuery(limit=1000)),
-        "store_search_service": lambda: snapshot.search(LogQuery(service="benchmark-7", limit=1000)),
-        "store_search_text": lambda: snapshot.search(LogQuery(q="MESSAGE 77", attributes={"worker": "13"}, limit=100)),
+        "store_search_service": lambda: snapshot.search(LogQuery(service="unit-7", limit=1000)),
+        "store_search_text": lambda: snapshot.search(LogQuery(q="ENTRY 77", attributes={"worker": "13"}, limit=100)),
     }
     times.update({name: best(work) for name, work in wanted.items()})
     return times, rows / times["store_ingest"]

@@ -18,16 +18,16 @@ from tidelog.operators.aggregate import (
 from tidelog.plans.params import AggregateQuery
 
 UTC = timezone.utc
-SUITE = "aggregate-integration-suite"
-RANGE = {"since": "2026-08-10T10:00:00Z", "until": "2026-08-10T10:02:00Z"}
+SUITE = "meter"
+RANGE = {"since": "2031-03-04T10:00:00Z", "until": "2031-03-04T10:02:00Z"}
 
 
 @pytest.fixture(scope="module", params=["timestamp", "timestamp_ntz"])
 def three(spark, request):
     rows = [
-        ("2026-08-10 10:00:10", "info", SUITE, "one"),
-        ("2026-08-10 10:00:30", "error", SUITE, "two"),
-        ("2026-08-10 10:01:10", "error", SUITE, "three"),
+        ("2031-03-04 10:00:10", "info", SUITE, "one"),
+        ("2031-03-04 10:00:30", "error", SUITE, "two"),
+        ("2031-03-04 10:01:10", "error", SUITE, "three"),
     ]
     df = spark.createDataFrame(rows, "timestamp string, level string, service string, message string")
     return df.withColumn("timestamp", F.col("timestamp").cast(request.param)).withColumn(
@@ -62,7 +62,7 @@ def test_text_and_attributes_go_to_the_raw_path(three):
 
 
 def at(text):
-    return datetime.fromisoformat(f"2026-08-10T{text}+00:00")
+    return datetime.fromisoformat(f"2031-03-04T{text}+00:00")
 
 
 @pytest.mark.parametrize(

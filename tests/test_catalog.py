@@ -6,6 +6,7 @@ import pytest
 from oracle import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tidelog.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -16,14 +17,15 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert differences(queries()[name](spark, FOLDER), con, oracle_sql()[name]) == []
 
 
 def test_entry(spark):
     assert entry(spark).columns == ["bucket_start", "group_value", "count"]
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
 @pytest.mark.parametrize("name", ["search_text", "agg_1d", "store_aggregate", "visibility_lag", "validate_accepted"])

@@ -190,8 +190,7 @@ def test_reports_over_a_store(setup):
     status = reconcile(snapshot.logs(), snapshot.rollups()).select("status").distinct().collect()
     assert [r[0] for r in status] == ["CONSISTENT"]
     assert throughput(store.commits(), 2, 30).first()["logs_per_second"] == 15.0
-    logs = snapshot.logs().withColumn("segment", F.lit("ingest-0000000000"))
-    assert visibility_lag(logs, store.commits()).first()["logs"] == 30
+    assert visibility_lag(snapshot.logs(segment=True), store.commits()).first()["logs"] == 30
     assert [r["message"] for r in snapshot.search(LogQuery(q="M29")).logs] == ["m29"]
     query = AggregateQuery("2026-08-10T00:00:00Z", "2026-08-11T00:00:00Z", "1d")
     assert [r["count"] for r in snapshot.aggregate(query).collect()] == [30]

@@ -10,15 +10,15 @@ from tidelog.operators.search import paged_export, search, search_page, search_p
 from tidelog.plans.params import LogQuery
 
 UTC = timezone.utc
-SUITE = "query-integration-suite"
+SUITE = "kitchen"
 
 
 @pytest.fixture(scope="module", params=["timestamp", "timestamp_ntz"])
 def three(spark, request):
     rows = [
-        (1, "2026-08-10 10:00:00", "info", SUITE, "Payment started", '{"region":"eu"}'),
-        (2, "2026-08-10 10:01:00", "error", SUITE, "Payment failed", '{"region":"eu"}'),
-        (3, "2026-08-10 10:02:00", "warn", SUITE, "Gateway slow", '{"region":"us"}'),
+        (1, "2031-03-04 10:00:00", "info", SUITE, "Kettle filled", '{"region":"eu"}'),
+        (2, "2031-03-04 10:01:00", "error", SUITE, "Kettle spilled", '{"region":"eu"}'),
+        (3, "2031-03-04 10:02:00", "warn", SUITE, "Tap dripping", '{"region":"us"}'),
     ]
     names = "id long, timestamp string, level string, service string, message string, attributes string"
     df = spark.createDataFrame(rows, names)
@@ -31,25 +31,25 @@ def messages(page):
 
 def test_newest_first(three):
     page = search_page(three, LogQuery(service=SUITE))
-    assert messages(page) == ["Gateway slow", "Payment failed", "Payment started"]
+    assert messages(page) == ["Tap dripping", "Kettle spilled", "Kettle filled"]
     assert page.next_cursor is None
 
 
 def test_combined_filters(three):
-    query = LogQuery(level="error", attributes={"region": "eu"}, q="payment")
-    assert [r["message"] for r in search(three, query).collect()] == ["Payment failed"]
+    query = LogQuery(level="error", attributes={"region": "eu"}, q="kettle")
+    assert [r["message"] for r in search(three, query).collect()] == ["Kettle spilled"]
 
 
 def test_since_inclusive_until_exclusive(three):
-    query = LogQuery(since="2026-08-10T10:01:00Z", until="2026-08-10T10:02:00Z")
-    assert messages(search_page(three, query)) == ["Payment failed"]
+    query = LogQuery(since="2031-03-04T10:01:00Z", until="2031-03-04T10:02:00Z")
+    assert messages(search_page(three, query)) == ["Kettle spilled"]
 
 
 def test_two_pages(three):
     first = search_page(three, LogQuery(service=SUITE, limit=2))
-    assert messages(first) == ["Gateway slow", "Payment failed"]
+    assert messages(first) == ["Tap dripping", "Kettle spilled"]
     second = search_page(three, LogQuery(service=SUITE, limit=2, cursor=first.next_cursor))
-    assert messages(second) == ["Payment started"] and second.next_cursor is None
+    assert messages(second) == ["Kettle filled"] and second.next_cursor is None
 
 
 def test_full_last_page_has_no_cursor(three):

@@ -167,8 +167,8 @@ def outcomes(spark: SparkSession, folder: str) -> DataFrame:
       TIMESTAMP '2024-02-15' - to_seconds(event_id % 600) AS timestamp,
       CASE event_id % 4 WHEN 0 THEN 'debug' WHEN 1 THEN 'info' WHEN 2 THEN 'warn'
         ELSE 'error' END AS level,
-      concat('benchmark-', event_id % 20) AS service,
-      concat('benchmark log message ', event_id % 100) AS message,
+      concat('unit-', event_id % 20) AS service,
+      concat('sample entry ', event_id % 100) AS message,
       concat('{"region":"region-', event_id % 4, '","worker":', event_id % 16,
         ',"sampled":', event_id % 2 = 0, '}') AS attributes
     FROM events""",

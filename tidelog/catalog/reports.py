@@ -128,9 +128,14 @@ def accepted_rate(spark: SparkSession, folder: str) -> DataFrame:
     "visibility_lag",
     f"""WITH {LOGS_SQL}, spans AS (
       SELECT id // 10 AS segment, count(*) AS logs, min(timestamp) AS oldest,
-             max(timestamp) AS newest FROM logs GROUP BY 1)
+             max(timestamp) AS newest,
+             quantile_cont(CAST(epoch_us(timestamp) // 1000 AS DOUBLE), [0.5, 0.05, 0.01]) AS ages
+      FROM logs GROUP BY 1)
     SELECT segment, logs,
       round((epoch_us(newest) + 7000000 - epoch_us(oldest)) / 1e6, 6) AS max_lag_s,
+      round(((epoch_us(newest) + 7000000) // 1000 - ages[1]) / 1e3, 6) AS p50_lag_s,
+      round(((epoch_us(newest) + 7000000) // 1000 - ages[2]) / 1e3, 6) AS p95_lag_s,
+      round(((epoch_us(newest) + 7000000) // 1000 - ages[3]) / 1e3, 6) AS p99_lag_s,
       round(7.0::DOUBLE, 6) AS min_lag_s,
       (epoch_us(newest) + 7000000 - epoch_us(oldest)) / 1e6 <= 3600 AS within_bound FROM spans""",
 )
@@ -140,4 +145,4 @@ def freshness(spark: SparkSession, folder: str) -> DataFrame:
     commits = logs.groupBy("segment").agg(
         (F.max("timestamp") + F.expr("INTERVAL 7 SECONDS")).alias("committed_at")
     )
-    return rounded(visibility_lag(logs, commits, 3600), "max_lag_s", "min_lag_s")
+    return rounded(visibility_lag(logs, commits, 3600), "max_lag_s", "p50_lag_s", "p95_lag_s", "p99_lag_s", "min_lag_s")

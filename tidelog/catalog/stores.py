@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,7 @@ from tidelog.operators.maintain import (
     flatten,
     rebuild_rollups,
 )
-from tidelog.operators.report import reconcile
+from tidelog.operators.report import reconcile, throughput, visibility_lag
 from tidelog.plans.params import AggregateQuery, LogQuery
 from tidelog.schema import LOG_COLUMNS
 from tidelog.session import new_dir
@@ -80,6 +84,55 @@ def ingested(store: LogStore, folder: str) -> None:
     stream.awaitTermination()
 
 
+def worn(store: LogStore, folder: str) -> None:
+    """Ingested, compacted, and cleared of all that is old."""
+    ingested(store, folder)
+    compact_logs(store)
+    compact_rollups(store)
+    store.vacuum(timedelta(days=-1))
+
+
+@query(
+    "store_throughput",
+    """SELECT count(*) AS accepted, round(count(*) / 60.0, 9) AS logs_per_second,
+      'MET TARGET' AS status FROM events""",
+)
+def store_throughput(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs taken in, from the commits of a store that was compacted and vacuumed since."""
+    store = shared_store(spark, folder, worn)
+    report = throughput(store.commits(), 60, sum(store.snapshot().day_rows().values()))
+    return report.withColumn("logs_per_second", F.round("logs_per_second", 9))
+
+
+@query("store_visibility", "SELECT count(*) AS logs, true AS in_order, false AS within_bound FROM events")
+def store_visibility(spark: SparkSession, folder: str) -> DataFrame:
+    """Lags of streamed batches, from the store alone; the events are older than any bound."""
+    store = shared_store(spark, folder, ingested)
+    lags = visibility_lag(store.snapshot().logs(segment=True), store.commits())
+    names = ["min_lag_s", "p50_lag_s", "p95_lag_s", "p99_lag_s", "max_lag_s"]
+    rising = [F.col(a) <= F.col(b) + 0.002 for a, b in zip(names, names[1:], strict=False)]
+    return lags.agg(
+        F.sum("logs").alias("logs"), F.bool_and(reduce(and_, rising)).alias("in_order"),
+        F.bool_or("within_bound").alias("within_bound"),
+    )
+
+
+@query("store_next_id", "SELECT max(event_id) + 1 AS by_logs, max(event_id) + 1 AS by_manifest FROM events")
+def store_next_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The first free id after a restart, from the logs and from the manifest."""
+    snapshot = shared_store(spark, folder, backfilled).snapshot()
+    return snapshot.logs().agg((F.max("id") + 1).alias("by_logs")).withColumn(
+        "by_manifest", F.lit(snapshot.manifest.next_id).cast("long")
+    )
+
+
+@query("store_days", "SELECT CAST(ts AS DATE) AS day, count(*) AS logs FROM events GROUP BY 1")
+def store_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Days of the store and their rows, without reading the logs."""
+    rows = shared_store(spark, folder, compacted).snapshot().day_rows()
+    return spark.createDataFrame(list(rows.items()), "day date, logs long")
+
+
 @query("store_logs", f"WITH {STORED_SQL} SELECT {COLUMNS_SQL} FROM logs")
 def store_logs(spark: SparkSession, folder: str) -> DataFrame:
     logs = shared_store(spark, folder, backfilled).snapshot().logs()

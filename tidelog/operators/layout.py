@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 5_000_000
+LEAST_ROWS_PER_TASK = 50_000
 # Above this many files (tasks times days) a batch is brought together before the write.
 MAX_BATCH_FILES = 2_000
 
@@ -20,6 +21,11 @@ def clustered(rows: DataFrame, order: list[Column], files: int) -> DataFrame:
     return rows.repartitionByRange(max(files, 1), *order).sortWithinPartitions(*order)
 
 
+def compacted_files(rows: int, rows_per_file: int, cores: int) -> int:
+    """Files of a compaction: as many as the rows fill, or one per core if each still has a fair share."""
+    return max(-(-rows // rows_per_file), min(cores, -(-rows // LEAST_ROWS_PER_TASK)))
+
+
 def rollup_layout(rollups: DataFrame) -> DataFrame:
     """Rollup rows sorted and brought together by day; adaptive execution sets the file count."""
     keys = ["day", "bucket_start", "service", "level"]

@@ -19,7 +19,7 @@ from tidelog.functions.attributes import canonical_attributes
 from tidelog.functions.timeutil import EPOCH, MICROSECOND, UTC, parse_iso, utc_day, utc_instant
 from tidelog.operators.aggregate import merge_rollups, minute_rollup, with_day
 from tidelog.operators.filters import apply_filters, time_range
-from tidelog.operators.layout import ROWS_PER_FILE, clustered, read_layout, rollup_layout
+from tidelog.operators.layout import ROWS_PER_FILE, clustered, compacted_files, read_layout, rollup_layout
 from tidelog.plans.params import retention_days
 from tidelog.session import partitions_for
 from tidelog.sources.store import LogStore, Manifest
@@ -81,7 +81,8 @@ def compact_logs(
         return None
     segment = f"logs-{manifest.version + 1:012d}"
     old = store.read_table("logs", S.LOG, _only(manifest.logs, *wanted))
-    store.write_logs(clustered(old, read_layout(), -(-rows // rows_per_file)), segment)
+    files = compacted_files(rows, rows_per_file, store.spark.sparkContext.defaultParallelism)
+    store.write_logs(clustered(old, read_layout(), files), segment)
     written = store.log_rows(segment)
     if sum(written.values()) != rows:
         raise RuntimeError(f"compaction read {rows} rows and wrote {sum(written.values())}")
@@ -118,6 +119,9 @@ def backfill(
     """Add a flat log table, ids kept, to the store; new ids go on above its largest."""
     manifest = store.manifest()
     segment = f"{name}-{manifest.version + 1:012d}"
+    missing = flat.filter(F.col("timestamp").isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} rows have no timestamp")
     rows = flat.withColumn("timestamp", utc_instant(flat, "timestamp"))
     rows = canonical_attributes(rows)
     files = files or partitions_for(flat)

@@ -136,7 +136,12 @@ def reconcile(accepted: DataFrame, persisted: DataFrame, key: str = "service") -
 
 
 def throughput(commits: DataFrame, seconds: float, target: int) -> DataFrame:
-    """Logs per second over the scheduled window and the gap to a target total."""
+    """Logs per second over the scheduled window and the gap to a target total.
+
+    Of a store's commits only those of kind ``ingest`` count: the others move or drop rows.
+    """
+    if "kind" in commits.columns:
+        commits = commits.filter(F.col("kind") == "ingest")
     total = commits.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("accepted"))
     gap = F.col("accepted") - F.lit(target)
     return total.select(
@@ -153,18 +158,30 @@ def visibility_lag(logs: DataFrame, commits: DataFrame, bound_seconds: int = 20)
     """How long after its timestamp each segment's logs could be queried.
 
     ``logs`` carry ``segment`` and ``timestamp``; ``commits`` hold one row per
-    segment with ``committed_at``. ``late`` counts logs beyond the bound.
+    segment with ``committed_at``. Percentiles interpolate and are exact: the lags
+    of a segment are counted by value, in whole milliseconds, before its rows meet.
     """
-    span = logs.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("logs"),
-        F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"),
+    ages = logs.select("segment", epoch_micros(logs, "timestamp").alias("_at"))
+    ages = ages.withColumn("_ms", F.floor(F.col("_at") / 1000))
+    counted = ages.groupBy("segment", "_ms").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"), F.max("_at").alias("_high")
+    )
+    points = [0.5, 0.95, 0.99]
+    span = counted.groupBy("segment").agg(
+        F.sum("_n").alias("logs"), F.min("_low").alias("oldest"), F.max("_high").alias("newest"),
+        F.percentile("_ms", F.array(*[F.lit(1 - p) for p in points]), F.col("_n")).alias("_ages"),
+    )
+    stamped = commits.filter(F.col("kind").isin("ingest", "backfill")) if "kind" in commits.columns else commits
+    committed = span.join(
+        stamped.select("segment", epoch_micros(stamped, "committed_at").alias("_done")), "segment"
     )
-    committed = span.join(commits.select("segment", "committed_at"), "segment")
-    done = epoch_micros(committed, "committed_at")
-    longest = (done - epoch_micros(committed, "oldest")) / 1e6
-    shortest = (done - epoch_micros(committed, "newest")) / 1e6
+    longest, shortest = ((F.col("_done") - F.col(c)) / 1e6 for c in ("oldest", "newest"))
+    usual = [
+        ((F.floor(F.col("_done") / 1000) - F.col("_ages")[i]) / 1e3).alias(f"p{round(100 * p)}_lag_s")
+        for i, p in enumerate(points)
+    ]
     return committed.select(
-        "segment", "logs", longest.alias("max_lag_s"), shortest.alias("min_lag_s"),
+        "segment", "logs", longest.alias("max_lag_s"), *usual, shortest.alias("min_lag_s"),
         (longest <= bound_seconds).alias("within_bound"),
     )
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Size of a partition when this library chooses how many there are, and the most it makes.
+# Size of a partition when this library chooses how many there are; beyond so many of them they grow.
 PARTITION_BYTES = 64 * 1024 * 1024
-MAX_PARTITIONS = 50_000
+MANY_PARTITIONS, LARGE_PARTITION_BYTES = 20_000, 512 * 1024 * 1024
+# What Spark gives for tables whose size it cannot tell is beyond this.
+UNKNOWN_BYTES = 1 << 62
 # At most this many rows of a metadata table are broadcast; above it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -31,10 +34,15 @@ def local_session(cpus: int | str = 8, app: str = "tidelog") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; where unset, a new local one."""
+    """The folder the session names for checkpoints; where unset, a new local one in local mode.
+
+    On a cluster each executor has a disk of its own, so there a folder must be named.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[.*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidelog-")
         context.setCheckpointDir(folder)
     return folder
@@ -57,12 +65,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def partitions_for(df: DataFrame) -> int:
-    """A partition count that grows with the data, by the optimizer's size estimate.
+    """A partition count that grows with the bytes of the tables that ``df`` scans.
 
     Small data gets one partition per core, or the configured shuffle partitions if fewer.
     """
     spark = df.sparkSession
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = min(configured, spark.sparkContext.defaultParallelism)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(s for s in sizes if s < UNKNOWN_BYTES)
+    usual = -(-size // PARTITION_BYTES)
+    return max(least, min(usual, max(MANY_PARTITIONS, -(-size // LARGE_PARTITION_BYTES))))

@@ -36,10 +36,14 @@ def request_entries(requests: DataFrame) -> DataFrame:
     """One row per log entry with its array index; a bad request keeps one row.
 
     A body that does not parse, has no ``logs`` array or an empty one gives a
-    row whose ``index`` is NULL. The ``body`` column goes, the rest stays.
+    row whose ``index`` is NULL. The ``body`` column goes, the rest stays. Each
+    entry is a VARIANT of its own, so a request may be of any size; of repeated
+    keys the last one counts (a setting of the session, made here).
     """
+    requests.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [name for name in requests.columns if name != "body"]
-    logs = F.try_variant_get(F.try_parse_json("body"), "$.logs", "array<variant>")
+    logs = F.from_json("body", "logs array<variant>")["logs"]
+    logs = F.when(F.size(logs) > 0, logs)
     return requests.select(*kept, F.posexplode_outer(logs).alias("index", "entry"))
 
 

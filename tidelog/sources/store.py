@@ -26,6 +26,7 @@ from tidelog.plans.params import AggregateQuery, LogQuery
 from tidelog.sources import files
 
 _MANIFEST_DIGITS = 12
+_HISTORY = T.StructType([T.StructField("version", T.LongType()), *S.COMMIT.fields])
 
 
 @dataclass(frozen=True)
@@ -47,10 +48,16 @@ class Snapshot:
     store: "LogStore"
     manifest: Manifest
 
-    def logs(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
-        """Logs of the days that ``[since, until)`` touches; other days are not listed."""
+    def logs(
+        self, since: datetime | None = None, until: datetime | None = None, segment: bool = False
+    ) -> DataFrame:
+        """Logs of the days that ``[since, until)`` touches; other days are not listed.
+
+        With ``segment`` the name of the batch that wrote each row comes along.
+        """
         days = {seg: list(rows) for seg, rows in self.manifest.logs.items()}
-        return self.store.read_table("logs", S.LOG, _within(days, since, until))
+        shape = T.StructType([*S.LOG.fields, T.StructField("segment", T.StringType())]) if segment else S.LOG
+        return self.store.read_table("logs", shape, _within(days, since, until))
 
     def rollups(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
         """Minute deltas, not merged: one key may occur several times."""
@@ -97,19 +104,23 @@ class LogStore:
         return Manifest(**json.loads(files.read_text(self.spark, f"{self.root}/manifest/{max(names)}")))
 
     def commits(self) -> DataFrame:
-        """The history of commits, one row per manifest version."""
+        """The history of commits, one row per manifest version, those that are gone included."""
         if not self._manifest_files():
-            empty = T.StructType([T.StructField("version", T.LongType()), *S.COMMIT.fields])
-            return self.spark.createDataFrame([], empty)
+            return self.spark.createDataFrame([], _HISTORY)
         shape = T.StructType(
             [T.StructField("version", T.LongType()), T.StructField("commit", S.COMMIT)]
         )
-        return (
+        present = (
             self.spark.read.schema(shape)
             .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX")
             .json(f"{self.root}/manifest/*.json")
             .select("version", "commit.*")
         )
+        if not files.list_names(self.spark, f"{self.root}/history"):
+            return present
+        past = self.spark.read.schema(_HISTORY).parquet(f"{self.root}/history")
+        # A vacuum that was cut off leaves versions in both places.
+        return present.unionByName(past).dropDuplicates(["version"])
 
     def read_table(self, table: str, schema: T.StructType, days: dict[str, list[str]]) -> DataFrame:
         paths = [f"segment={seg}/day={day}" for seg in sorted(days) for day in sorted(days[seg])]
@@ -191,7 +202,7 @@ class LogStore:
         return manifest
 
     def vacuum(self, older_than: timedelta, now: datetime | None = None) -> int:
-        """Delete folders no reader can see any more, and old manifest versions.
+        """Delete folders no reader can see any more, and old manifest versions; their commits go to the history.
 
         Only what is older than ``older_than`` goes, so that a running reader
         or an unfinished write keeps its files. Returns the number of deletes.
@@ -215,6 +226,12 @@ class LogStore:
         for segment, changed in files.list_names(self.spark, f"{self.root}/outcomes"):
             if segment.removeprefix("segment=") not in live.outcomes and changed < before:
                 gone.append(f"outcomes/{segment}")
+        versions = [int(name[9:-5]) for name in gone if name.startswith("manifest/")]
+        if versions:
+            past = self.commits().filter(F.col("version") <= max(versions))
+            if files.list_names(self.spark, f"{self.root}/history"):
+                past = past.join(self.spark.read.schema(_HISTORY).parquet(f"{self.root}/history"), "version", "left_anti")
+            past.coalesce(1).write.mode("append").parquet(f"{self.root}/history")
         for path in gone:
             files.delete(self.spark, f"{self.root}/{path}")
         return len(gone)

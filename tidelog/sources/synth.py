@@ -19,7 +19,7 @@ SERVICES = 20
 
 
 def synthetic_columns(
-    index: Column, base: Column, services: int = SERVICES, prefix: str = "benchmark"
+    index: Column, base: Column, services: int = SERVICES, prefix: str = "unit"
 ) -> dict[str, Column]:
     """Log columns as a function of a row index; ``base`` is the latest timestamp."""
 
@@ -33,7 +33,7 @@ def synthetic_columns(
         "timestamp": base - age,
         "level": F.element_at(levels, (cycle(len(LEVELS)) + 1).cast("int")),
         "service": F.concat_ws("-", F.lit(prefix), cycle(services)),
-        "message": F.concat_ws(" ", F.lit("benchmark log message"), cycle(MESSAGES)),
+        "message": F.concat_ws(" ", F.lit("sample entry"), cycle(MESSAGES)),
         "attributes": F.to_json(
             F.struct(
                 F.concat_ws("-", F.lit("region"), cycle(REGIONS)).alias("region"),

@@ -38,7 +38,7 @@ def start_ingest(
     micro-batch (``maxFilesPerTrigger``, ``maxBytesPerTrigger``); more than
     that waits in the source folder.
     """
-    limits = limits or {"maxFilesPerTrigger": DEFAULT_MAX_FILES}
+    limits = {"maxFilesPerTrigger": DEFAULT_MAX_FILES} | limits
     requests = read_requests(store.spark, source, True, whole_files, **limits)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return (
@@ -61,7 +61,8 @@ def ingest_batch(
 
     A batch that was committed before is skipped; one that was cut off is
     written again over its own leftovers. Ids follow reading order and depend
-    only on the last commit and the requests, so a second try gives the same.
+    only on the last commit and the requests. ``as_of`` is the clock of the future
+    check; where it is not given, a second try reads the clock anew.
     """
     manifest = store.manifest()
     if manifest.streams.get(stream, -1) >= batch_id:
