@@ -42,11 +42,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` computed once and written to the shared folder: later steps read the
-    columns they need, and a lost executor costs only its running tasks."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    columns they need, and a lost executor costs only its running tasks. What stood
+    at ``path`` is replaced."""
+    path = path or new_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
