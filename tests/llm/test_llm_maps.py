@@ -1,0 +1,228 @@
+"""Operators that handle each row by itself: BPE, pages, language, secrets, fingerprints."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from tidelog.llm import bpe, fingerprint, language, pages, secrets
+from tidelog.llm.catalog import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+# Nulls, empty and blank texts, a long one, rows that repeat, odd white space.
+TEXTS = [None, "", " ", "a", "a", "It's 12 o'clock,  it's\n\n late \t!", "é²½ ـ x٣ 中文 \x1c\x85 z", "=" * 700, "ab" * 400, "word " * 3000]
+
+
+def documents(spark, texts=TEXTS, lang=None):
+    """The texts with ids from 0, and columns whose names the operators use within."""
+    rows = [(i, t, "x", "y", 1, (lang or {}).get(i)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, row string, key string, n long, lang string")
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def table(spark, name):
+    return spark.read.parquet(f"{FOLDER}/{name}.parquet")
+
+
+def test_bpe_encodes_as_the_tokenizer_and_decodes(spark, encoding):
+    docs = documents(spark)
+    ids = {r.doc_id: r.ids for r in bpe.encode(docs, "doc_id", "text", RANKS, public_tokenizers.PATTERN).collect()}
+    assert ids == {i: encoding.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
+    encoded = spark.createDataFrame([*ids.items(), (99, None)], "doc_id long, ids array<int>")
+    decoded = {r.doc_id: bytes(r.bytes) for r in bpe.decode(encoded, "doc_id", "ids", RANKS, public_tokenizers.PATTERN).collect()}
+    assert decoded == {i: (t or "").encode() for i, t in enumerate(TEXTS)} | {99: b""}
+
+
+def test_bpe_random_pieces(encoding):
+    r = random.Random(3)
+    codec = bpe.Codec(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    texts = ["".join(r.choice("abetn =-'éß中19\n ") for _ in range(r.randint(1, 400))) for _ in range(150)]
+    lines, decoded = codec.code(texts)
+    assert [list(map(int, x.split())) for x in lines] == [encoding.encode_ordinary(t) for t in texts]
+    assert decoded == [t.encode() for t in texts]
+
+
+def test_bpe_query(spark, encoding):
+    found = {r.doc_id: r for r in QUERIES["op1_byte_bpe"](spark, FOLDER).collect()}
+    texts = {r.doc_id: r.text or "" for r in table(spark, "documents").collect()}
+    assert found.keys() == texts.keys()
+    for i, text in texts.items():
+        ids = encoding.encode_ordinary(text)
+        digest = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert (found[i].n_tokens, found[i].ids_sha256, found[i].decoded_sha256) == (len(ids), digest, hashlib.sha256(text.encode()).hexdigest())
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
+<nav><ul><li><a href="/">Home</a></li></ul></nav><div class="sidebar"><p>Side text, which is long enough to count, surely it is, and more.</p></div>
+<div id="content"><h2>Title &amp; more</h2><p>First   paragraph, with commas, and <a href="x">one link</a>, long enough to be scored well.
+<p>Second one &lt;b&gt; with&nbsp;references, also long enough to be scored, and unclosed<br>here.<div class="ad">Buy now, buy this, it is cheap and good and long enough.</div>
+<pre>code  here</pre><form><input name=q><p>Search for it, this is a form.</p></form></div>
+<div class="comments"><p>I liked it, a lot, and I want to tell you all about it at length.</p></div><!-- <p>gone</p> --><footer><p>Foot, note, of this page, long enough to be scored.</p></footer></body></html>"""
+
+
+def test_page_text():
+    assert pages.main_text(PAGE) == (
+        "Title & more\n\nFirst paragraph, with commas, and one link, long enough to be scored well.\n\n"
+        "Second one <b> with references, also long enough to be scored, and unclosed here.\n\ncode here"
+    )
+    assert [pages.main_text(x) for x in (None, "", "<p>", "<div><nav>a</nav></div>", "plain text")] == ["", "", "", "", "plain text"]
+    assert pages.main_text("<html><body><header>H</header><article><h1>A</h1><p>b</p></article></body></html>") == "A\n\nb"
+
+
+def test_page_query(spark):
+    found = {r.page_id: r for r in QUERIES["op2_html_extraction"](spark, FOLDER).collect()}
+    rows = table(spark, "pages").collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        inner = r.html[r.html.index("<article>") + 9 :]
+        inner = inner[: inner.index("</article>")]
+        assert found[r.page_id].n_chars == len(found[r.page_id].text)
+        assert found[r.page_id].url == r.url
+        # In these pages the article element holds all of the text and nothing else.
+        plain = re.sub(r"\s+", "", re.sub(r"<[^>]*>", "", inner))
+        import html
+
+        assert re.sub(r"\s+", "", found[r.page_id].text) == re.sub(r"\s+", "", html.unescape(plain))
+
+
+def test_page_rows(spark):
+    rows = spark.createDataFrame([(1, "u", None, "a"), (1, "u", None, "a"), (2, None, PAGE * 30, "b")], "page_id long, url string, html string, text string")
+    found = pages.extract(rows, "page_id", "url", "html").collect()
+    assert sorted((r.page_id, r.n_chars > 0) for r in found) == [(1, False), (1, False), (2, True)]
+    assert pages.extract(rows.limit(0), "page_id", "url", "html").count() == 0
+
+
+def test_language_query(spark):
+    found = {r.doc_id: r for r in QUERIES["op7_language_id"](spark, FOLDER).collect()}
+    rows = [r for r in table(spark, "documents").collect() if r.lang and r.text]
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert {i for i, r in found.items() if r.held_out} == {i for i in found if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert np.mean([found[r.doc_id].lang_pred == r.lang for r in held]) > 0.97
+    assert all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_language_cases(spark):
+    texts = ["the cat and the dog"] * 3 + ["le chat et le chien"] * 2 + [None, "", "12 !!", "the unseenish cat", "中文"]
+    docs = documents(spark, texts, {0: "en", 1: "en", 2: "en", 3: "fr", 4: "fr", 8: None})
+    model = language.train(docs, "text", "lang")
+    found = [r.lang_pred for r in language.predict(docs, "doc_id", "text", model).orderBy("doc_id").collect()]
+    assert found[:9] == ["en"] * 3 + ["fr"] * 2 + ["und"] * 3 + ["en"] and found[9] in ("en", "fr")
+    empty = language.train(docs.limit(0), "text", "lang")
+    assert {r.lang_pred for r in language.predict(docs, "doc_id", "text", empty).collect()} == {"und"}
+
+
+BASE = {  # kind: pattern and the least length of the group
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+    "hex": (re.compile(r"[0-9a-f]+"), 0, 16),
+}
+
+
+def plain_spans(text):
+    found = []
+    for number, (kind, (pattern, group, least)) in enumerate(BASE.items()):
+        found += [(m.start(), number, kind, m.end()) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    return [f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found)]
+
+
+def test_secret_query(spark):
+    found = {r.doc_id: r for r in QUERIES["op5_secret_scan"](spark, FOLDER).collect()}
+    for r in table(spark, "documents").collect():
+        plain = plain_spans(r.text)
+        own = found[r.doc_id]
+        assert [s for s in own.spans.split(",") if s and not s.startswith("model:")] == plain
+        assert own.base_sha256 == hashlib.sha256(",".join(plain).encode()).hexdigest()
+        assert [own.n_assign, own.n_access, own.n_hex] == [sum(s.startswith(k) for s in plain) for k in BASE]
+
+
+def secret_texts(r, n, names=("api_key = {}", "token: '{}'", "PASSWORD={}", 'secret":"{}"')):
+    """A named key each, and addresses that are none, in words of no meaning; with the keys."""
+
+    def word():
+        return "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(1, 9)))
+
+    def number():
+        return f"{r.randint(10, 250)}.{r.randint(10, 250)}.{r.randint(100, 250)}.{r.randint(100, 250)}"
+
+    def text(key):
+        parts = [r.choice(names).format(key), number(), f"{word()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com"]
+        r.shuffle(parts)
+        return " ".join(x for p in parts for x in (word(), word(), word(), p, word(), word()))
+
+    keys = ["".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789+/") for _ in range(32)) for _ in range(n)]
+    return [text(k) for k in keys], keys
+
+
+def test_network_finds_what_the_patterns_miss_and_redacts(spark):
+    r = random.Random(5)
+    named, _ = secret_texts(r, 200)
+    bare, keys = secret_texts(r, 5, ("{}",))
+    texts = [*named, *bare, None, "", "token: short", "ſecret = abcdefghijklmnop"]
+    docs = documents(spark, texts)
+    found = secrets.scan(docs, "doc_id", "text").orderBy("doc_id").collect()
+    spans = [[t[s:e] for s, e in zip(x.starts, x.ends, strict=True)] for t, x in zip(texts, found, strict=True)]
+    hits = [k in " ".join(s) for k, s in zip(keys, spans[200:205], strict=True)]
+    assert sum(hits) >= 3
+    # Nothing but keys, and nothing in texts without one.
+    assert all(len(s) == 1 for s in spans[:200]) and all(len(s) <= 1 for s in spans[200:205]) and spans[205:] == [[]] * 4
+    cleaned = [r.text for r in secrets.redact(docs, "text").orderBy("doc_id").collect()]
+    assert [k not in t for k, t in zip(keys, cleaned[200:205], strict=True)] == hits and cleaned[205:] == texts[205:]
+    assert secrets.redact(docs, "text").columns == docs.columns
+
+
+def test_secrets_without_labels(spark):
+    docs = documents(spark, ["nothing here", None])
+    assert all(r.starts == [] for r in secrets.scan(docs, "doc_id", "text").collect())
+    assert secrets.scan(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def plain_fingerprints(rows):
+    """By sorting everything in one place."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    out = []
+    for (key, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        text, after = text or "", after or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        a, b, c = (fingerprint.digest(x.encode()) for x in (text, edited, after))
+        out.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
+    return out
+
+
+@pytest.mark.parametrize("keys", [range(10), [5, 5, 5, None, None, 1, 2, 3, 9, 9]])
+def test_fingerprints_of_neighbours(spark, keys):
+    rows = list(zip(keys, TEXTS, strict=True))
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, part string")
+    found = [tuple(r) for r in fingerprint.fingerprints(docs, "doc_id", "text").collect()]
+    assert sorted(found, key=str) == sorted(plain_fingerprints(rows), key=str)
+
+
+def test_fingerprints_of_few_rows(spark):
+    docs = documents(spark, ["abcdef"])
+    (row,) = fingerprint.fingerprints(docs, "doc_id", "text").collect()
+    assert row.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and row.near_next == 1.0
+    assert fingerprint.fingerprints(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_fingerprint_query(spark):
+    rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
+    found = [tuple(r) for r in QUERIES["op3_fingerprints"](spark, FOLDER).collect()]
+    assert sorted(found) == sorted(plain_fingerprints(rows))
+
+
+def test_fingerprint_counts_do_not_depend_on_chunks(monkeypatch):
+    data = bytes(random.Random(1).choices(range(97, 110), k=1000))
+    whole = fingerprint.counts(data)
+    monkeypatch.setattr(fingerprint, "CHUNK", 64)
+    assert (fingerprint.counts(data) == whole).all() and whole.sum() == 998 + 2 * 997
