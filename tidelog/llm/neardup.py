@@ -8,8 +8,7 @@ of 4e-7. A bucket compares its members with its first member, so it gives as man
 candidates as it has members. Candidates are screened by size and by the share of
 equal minima, far below the wanted similarity, then confirmed on the full sets.
 Where a bucket still holds several components, members of different components are
-compared too, after a screen by their number of common buckets: nothing within one
-component is compared twice.
+compared too, but only those whose shared shingles allow the similarity at all.
 
 A hot bucket or class is never gathered: minima and counts are combined before the
 shuffle, and joins by bucket can be split. What remains on the driver is counts.
@@ -23,19 +22,22 @@ an empty table gives no rows; only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import by_batch, stored
+from tidelog.llm.common import by_batch, slices, stored
 from tidelog.llm.components import components
 
 BANDS, ROWS = 80, 8
-# Minima kept, one byte each, to estimate the similarity of a candidate; an estimate
+# All minima are kept, one byte each, to estimate the similarity of a candidate; an estimate
 # may be this far below the wanted similarity (over six standard deviations).
-SKETCH, SLACK = 256, 0.18
+SKETCH, SLACK = BANDS * ROWS, 0.1
+# Members of a bucket compared with each other at a time.
+BLOCK = 300
 # Shingles hashed at a time, which bounds the memory for a long text.
 CHUNK = 512
 # Digests of candidate texts that are broadcast, 40 bytes each; with more the join shuffles.
@@ -168,10 +170,8 @@ def _screened(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     return by_batch(sized, "a long, b long", work)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have the similarity."""
-    pairs = stored(pairs, "candidates")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """Stored ``node`` and ``members`` (the whole set) for the given nodes, from their texts."""
     wanted = stored(classes.join(nodes, "node").select("node", "digest", F.col("key").alias("wanted_key")), "wanted")
     rows = docs.select(F.col(key).alias("own_key"), F.col(text).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
     if wanted.count() <= BROADCAST_TEXTS:
@@ -180,16 +180,21 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     texts = rows.join(wanted, same).select("node", "text").dropDuplicates(["node"])
 
     def sets(batch: pa.RecordBatch) -> dict:
-        return {"node": batch.column(0), "members": [shingles(raw, size).tobytes() for raw in batch.column(1).cast(pa.binary()).to_pylist()]}
+        found = [shingles(raw, size).astype(np.int64) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+        return {"node": batch.column(0), "members": found}
+
+    return stored(by_batch(texts, "node long, members array<long>", sets), "sets")
+
 
-    found = stored(by_batch(texts, "node long, members binary", sets), "sets")
-    a, b = (found.select(F.col("node").alias(f"node_{s}"), F.col("members").alias(f"members_{s}")) for s in "ab")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets have the similarity."""
+    a, b = (sets.select(F.col("node").alias(f"node_{s}"), F.col("members").alias(f"members_{s}")) for s in "ab")
     both = pairs.join(a, pairs.a == a.node_a).join(b, pairs.b == b.node_b).select("a", "b", "members_a", "members_b")
 
     def check(batch: pa.RecordBatch) -> dict:
         keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        for i in range(batch.num_rows):
+            x, y = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
             common = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * common >= percent * (len(x) + len(y) - common):
                 keep.append(i)
@@ -199,6 +204,71 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     return stored(by_batch(both, "u long, v long", check), "confirmed")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _across(rest: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket that their shared shingles and minima allow.
+
+    Of a set only the shingles that some other component holds too can be common to
+    such a pair. With k of them, a set of n can have at most k in common with another
+    one of m, so at most k / (n + m - k) of the union. A bucket is dealt in blocks: a
+    task gets two blocks at a time and gives the pairs that pass, each pair in the first
+    band that it shares.
+    """
+    labels = rest.select("node", "label").distinct()
+    each = sets.select("node", F.explode("members").alias("member")).join(labels, "node")
+    met = each.groupBy("member").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("member")
+    open_members = each.join(met, "member").groupBy("node").agg(F.count("*").alias("k"))
+    nodes = open_members.join(classes.select("node", F.col("n_shingles").alias("n"), "bands", "sketch"), "node")
+    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rest.join(blocks, "bucket").select("bucket", "node", "label", own.alias("own"), other.alias("other")).join(nodes, "node")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "n", "k", "bands", "sketch")
+    dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    least = percent / 100 - SLACK
+
+    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        _, x, y, own, node, label, n, k, bands, sketch = zip(*rows, strict=True)
+        own, node, label, n, k = (np.array(c) for c in (own, node, label, n, k))
+        bands = np.array(bands)
+        sketch = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(len(rows), SKETCH)
+        bucket = np.array([r[0] for r in rows[:1]])
+        band = int(np.argmax((bands == bucket).any(axis=0)))
+        first, second = (np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0]))
+        out_a, out_b = [], []
+        for i in first:
+            j = second if x[0] != y[0] else second[second > i]
+            j = j[label[j] != label[i]]
+            common = np.minimum(k[i], k[j])
+            j = j[100 * common >= percent * (n[i] + n[j] - common)]
+            j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+            j = j[(sketch[j] == sketch[i]).mean(axis=1) >= least]
+            out_a.append(np.minimum(node[i], node[j]))
+            out_b.append(np.maximum(node[i], node[j]))
+        return np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            a, b = compare(waiting)
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in slices(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and row[:3] != waiting[-1][:3]:
+                    yield done()
+                    waiting = []
+                waiting.append(row)
+        if waiting:
+            yield done()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row ``key``, ``n_shingles``, ``component_id`` (least key of its component), ``kept`` (one row of each
     component) and ``digest`` (MD5 of the text).
@@ -217,16 +287,17 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 5, percent
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     placed = stored(buckets.join(shared.select("bucket", "center"), "bucket"), "buckets")
     pairs = placed.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(_screened(pairs, reps, similarity), reps, docs, key, text, size, percent)
+    pairs = stored(_screened(pairs, reps, similarity), "candidates")
+    links = _confirmed(pairs, _sets(_ends(pairs), reps, docs, key, text, size), percent)
     labels = components(links)
 
     # Buckets that hold more than one component: members of different ones, but for the pairs with the center.
     labelled = placed.join(labels, "node", "left").select("bucket", "center", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     rest = stored(labelled.join(mixed, "bucket").where("node <> center").select("bucket", "node", "label"), "mixed")
-    x, y = (rest.select("bucket", F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "ab")
-    more = x.join(y, "bucket").where("label_a <> label_b AND a < b").select("a", "b").distinct()
-    again = _confirmed(_screened(more, reps, similarity), reps, docs, key, text, size, percent)
+    sets = _sets(rest.select("node").distinct(), reps, docs, key, text, size)
+    more = _across(rest, sets, reps, percent)
+    again = _confirmed(stored(more, "candidates"), sets, percent)
     if not again.isEmpty():
         labels = components(links.unionByName(again))
 
