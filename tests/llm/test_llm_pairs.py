@@ -237,3 +237,12 @@ def test_decontamination_beyond_the_vocabulary_bound(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "VOCABULARY_TERMS", 3)
     name = "op8_decontaminate"
     assert differences(QUERIES[name](spark, FOLDER), connect(FOLDER), ORACLES[name]) == []
+
+
+def test_stretches_are_fetched_once(spark):
+    """However many pairs ask for a stretch of a text."""
+    docs = documents(spark, [" ".join(f"w{i}" for i in range(100))]).selectExpr("doc_id AS key", "text", "xxhash64(text) AS mark")
+    texts = docs.selectExpr("key AS row", "key AS own", "mark AS own_mark")
+    wanted = spark.createDataFrame([(0, 5, 60)] * 500 + [(0, 7, 20)], "text long, low int, high int")
+    found = {(r.text, r.low, r.high): len(r.tokens) // 8 for r in passages._fetch(docs, texts, wanted, 5).collect()}
+    assert found == {(0, 5, 60): 56, (0, 7, 20): 14} and passages._fetch(docs, texts, wanted, 5).count() == 2
