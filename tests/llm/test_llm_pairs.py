@@ -246,3 +246,42 @@ def test_stretches_are_fetched_once(spark):
     wanted = spark.createDataFrame([(0, 5, 60)] * 500 + [(0, 7, 20)], "text long, low int, high int")
     found = {(r.text, r.low, r.high): len(r.tokens) // 8 for r in passages._fetch(docs, texts, wanted, 5).collect()}
     assert found == {(0, 5, 60): 56, (0, 7, 20): 14} and passages._fetch(docs, texts, wanted, 5).count() == 2
+
+
+def test_edited_passages_are_verified_wherever_the_edit_is():
+    r = np.random.default_rng(3)
+    for at in range(0, 50, 3):
+        a = r.integers(0, 1 << 60, 50, dtype=np.uint64)
+        b = a.copy()
+        b[at] = 7
+        noise = [" ".join(f"n{x}" for x in r.integers(0, 1 << 40, 60)) for _ in range(4)]
+        u, v = (passages.shingle_sequence(f"{x} {' '.join(map(str, y))} {z}".encode(), 5) for x, y, z in ((noise[0], a, noise[1]), (noise[2], b, noise[3])))
+        assert passages.best_stretch(u, v, 46, 80)
+
+
+def test_stretches_of_both_sides_and_after_a_failed_one():
+    r = np.random.default_rng(4)
+    passage, other, *pieces = (r.integers(0, 1 << 60, n, dtype=np.uint64) for n in (60, 90, *[20] * 6))
+    noise = lambda n: r.integers(0, 1 << 60, n, dtype=np.uint64)
+    # A passage that stands once in one text and twice in the other.
+    found = passages.stretches(np.concatenate([noise(30), passage, noise(30)]), np.concatenate([passage, noise(70), passage]), 46, 80)
+    assert {x[2:] for x in found} == {(0, 60), (130, 190)}
+    # Pieces that lie scattered in the other text share more than the passage does.
+    u = np.concatenate([*pieces, noise(100), passage])
+    v = np.concatenate([x for p in pieces for x in (p, noise(60))] + [passage])
+    assert any(x[0] <= 222 and x[1] >= 278 for x in passages.stretches(u, v, 46, 80))
+
+
+def test_members_of_a_group_are_compared_with_each_other(spark):
+    """A line that leads most groups stands first and last in texts that do not hold the passage."""
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = [], []
+    for _ in range(40):
+        line, shared = words(30), words(30)
+        first = len(texts)
+        texts += [words(60) + line + words(60), words(60) + shared[:10] + line + shared[10:] + words(60)]
+        texts += [words(60) + shared[:10] + line + shared[10:] + words(60), words(60) + line + words(60)]
+        pairs.append(first)
+    found = {x.doc_id: x for x in passages.repeated_passages(documents(spark, [" ".join(t) for t in texts]), "doc_id", "text").collect()}
+    assert all(found[i + 1].n_repeated == found[i + 2].n_repeated == 60 and found[i + 1].component_id == found[i + 2].component_id == i + 1 for i in pairs)
