@@ -1,6 +1,7 @@
 """Operators that compare texts: near-duplicates, repeated strings, passages, decontamination, components."""
 
 import hashlib
+import math
 import os
 import random
 from collections import Counter, defaultdict
@@ -285,3 +286,9 @@ def test_members_of_a_group_are_compared_with_each_other(spark):
         pairs.append(first)
     found = {x.doc_id: x for x in passages.repeated_passages(documents(spark, [" ".join(t) for t in texts]), "doc_id", "text").collect()}
     assert all(found[i + 1].n_repeated == found[i + 2].n_repeated == 60 and found[i + 1].component_id == found[i + 2].component_id == i + 1 for i in pairs)
+
+
+def test_windows_of_enough_functions_meet():
+    """At a similarity of 0.8 and with one window in common, all but one pair in a thousand."""
+    n = passages.FUNCTIONS
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(passages.ENOUGH)) < 1e-3
