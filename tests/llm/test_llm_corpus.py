@@ -58,6 +58,13 @@ def test_lm_cases(spark):
     assert len(untrained) == 7 and all(r.train_tokens == 0 and r.n_known == 0 for r in untrained)
 
 
+def test_lm_scores_of_long_spellings(spark):
+    """No least score: ten times as many unlikely characters cost ten times as much."""
+    docs = documents(spark, ["a b a", "a c", *("中文" * n for n in (200, 2000))])
+    found = {r.doc_id: r.score for r in lm.score(docs, "doc_id", "text", F.col("doc_id") < 2).collect()}
+    assert found[2] < -1000 and found[3] == pytest.approx(10 * found[2], rel=0.02)
+
+
 def test_probabilities_sum_to_one():
     """Of the spelling model: over all next characters in a context."""
     r = np.random.default_rng(1)
