@@ -81,6 +81,18 @@ def test_page_text():
     assert pages.main_text("<html><body><header>H</header><article><h1>A</h1><p>b</p></article></body></html>") == "A\n\nb"
 
 
+def test_page_figures_and_titled_sections():
+    page = """<html><body><article><h1>A</h1><p>First paragraph, long enough to be scored, with commas, and more.</p>
+    <figure><img src=x><figcaption>A caption</figcaption></figure><figure><pre>code</pre></figure>
+    <section id="related-work" class="section"><h2 id="community">Related</h2><p>Work before, long enough, is told here, with commas.</p></section>
+    <section id="notices"><h2>Notices</h2><p>kept</p></section><h2 id="social">Social</h2><div class="cookie-policy-history">also kept</div>
+    <div class="share">gone</div><div class="box newsletter"><p>gone too</p></div></article></body></html>"""
+    assert pages.main_text(page).split("\n\n") == [
+        "A", "First paragraph, long enough to be scored, with commas, and more.", "A caption", "code", "Related",
+        "Work before, long enough, is told here, with commas.", "Notices", "kept", "Social", "also kept",
+    ]
+
+
 def test_page_query(spark):
     found = {r.page_id: r for r in QUERIES["op2_html_extraction"](spark, FOLDER).collect()}
     rows = table(spark, "pages").collect()

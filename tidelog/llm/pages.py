@@ -33,16 +33,19 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 # Never article text.
-_DROPPED = frozenset("nav header footer aside form button select option input textarea script style noscript template iframe svg canvas object video audio menu dialog title head figure".split())
+_DROPPED = frozenset("nav header footer aside form button select option input textarea script style noscript template iframe svg canvas object video audio menu dialog title head".split())
 _LINKLESS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li td dd dt figcaption".split())
-_UNLIKELY = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|disqus|footer|footnav|gdpr|header|masthead|menu|nav(bar|igation)?|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|rss|share|sharing|shoutbox|sidebar|skyscraper|social|sponsor\w*|subscribe|subscription|toolbar|widget|alert|disclaimer|reader-comments?|signup|login)(?![a-z])"
-)
+_WORDS = r"(ads?|advert\w*|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|disqus|footer|footnav|gdpr|header|masthead|menu|nav(bar|igation)?|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|rss|share|sharing|shoutbox|sidebar|skyscraper|social|sponsor\w*|subscribe|subscription|toolbar|widget|alert|disclaimer|reader-comments?|signup|login)"
+_UNLIKELY = re.compile(rf"(?<![a-z]){_WORDS}(?![a-z])")
+# Within the article a whole name has to say so, and the id of a heading or of a section with a title never does.
+_UNLIKELY_NAME = re.compile(_WORDS)
+_CONTAINERS = frozenset("div section ul ol dl table p span".split())
 _UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 _ARTICLE = frozenset(("article", "main"))
 # Markup: comment or declaration, start or end tag with its attributes, in this order.
 _MARKUP = re.compile(r"<!--(?:>|->|.*?(?:-->|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TITLE = re.compile(r"\s*(?:<!--.*?-->\s*)*<h[1-6][\s>]", re.I | re.S)
 _COMMAS = re.compile("[,،、，]")
 # Points from which a sibling of the best container is kept, as a share of the best.
 SIBLING_SHARE = 0.2
@@ -63,14 +66,17 @@ class Node:
         self.article = tag in _ARTICLE or (parent is not None and parent.article)
 
 
-def _unlikely(tag: str, attributes: str) -> bool:
+def _unlikely(tag: str, attributes: str, article: bool = False, titled: bool = False) -> bool:
+    """Whether an element is left out; ``article``: it stands in one, ``titled``: a heading comes first in it."""
     if tag in _DROPPED:
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and _UNLIKELY.search(value):
+        if name in ("class", "id") and not article and _UNLIKELY.search(value):
+            return True
+        if name in ("class", "id") and article and tag in _CONTAINERS and not (titled and (name == "id" or tag == "section")) and any(_UNLIKELY_NAME.fullmatch(x) for x in value.split()):
             return True
         if name == "role" and value in _UNLIKELY_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -133,7 +139,7 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                 add(" ")
             elif tag == "a":
                 in_link = 0 if ending else 1
-            elif not ending and attributes and not top.dropped and _unlikely(tag, attributes):
+            elif not ending and attributes and not top.dropped and _unlikely(tag, attributes, top.article):
                 # What an inline notice or advert holds goes as well.
                 over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = over.end() if over else at
@@ -156,7 +162,7 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         if tag in ("html", "body") and top.parent is not None:
             continue
         order += 1
-        top = Node(tag, top, top.dropped or _unlikely(tag, attributes), order)
+        top = Node(tag, top, top.dropped or _unlikely(tag, attributes, top.article, bool(_TITLE.match(page, at))), order)
         in_link = 0
         if attributes.endswith("/") and tag not in _BARRIERS and tag != "p":
             top = top.parent
