@@ -194,6 +194,20 @@ def test_network_finds_what_the_patterns_miss_and_redacts(spark):
     assert secrets.redact(docs, "text").columns == docs.columns
 
 
+def test_keys_beyond_a_match_are_scored(spark):
+    r = random.Random(6)
+    named, _ = secret_texts(r, 150)
+    bare, _ = secret_texts(r, 4, ("{}",))
+    hexes = ["0123456789abcdef", "fedcba9876543210"]
+    longer = [k + h + "QzT7RkWp2LmXv9Ys" for k, h in zip(("Gh4JkL9pQw2ZxT8v", "Xw8Rt3YpLm6NbVq2"), hexes, strict=True)]
+    texts = [*named, *bare, *(f"take {k} then" for k in longer)]
+    docs = documents(spark, texts)
+    spans = {x.doc_id: [texts[x.doc_id][s:e] for s, k, e in zip(x.starts, x.kinds, x.ends, strict=True) if k == 3] for x in secrets.scan(docs, "doc_id", "text").collect()}
+    assert [spans[len(texts) - 2], spans[len(texts) - 1]] == [[k] for k in longer]
+    cleaned = {x.doc_id: x.text for x in secrets.redact(docs, "text").collect()}
+    assert all(cleaned[len(texts) - i] == "take [secret] then" for i in (1, 2))
+
+
 def test_secrets_without_labels(spark):
     docs = documents(spark, ["nothing here", None])
     assert all(r.starts == [] for r in secrets.scan(docs, "doc_id", "text").collect())
