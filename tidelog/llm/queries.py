@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, fingerprint, language, lm, neardup, pages, passages, secrets, substrings
+from tidelog.llm import bpe, decontaminate, fingerprint, language, lm, neardup, pages, passages, privacy, secrets, substrings
 from tidelog.llm.catalog import query
 from tidelog.llm.common import fold, table
 
@@ -114,3 +114,17 @@ def passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = passages.repeated_passages(table(spark, folder, "documents"), "doc_id", "text", length=50, size=5, percent=80)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), "n_links", "component_id", spans.alias("spans"))
+
+
+@query("op12_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = privacy.scan(table(spark, folder, "documents"), "doc_id", "text")
+    names = F.array(*[F.lit(k) for k in privacy.KINDS])
+    spans = F.transform(
+        F.arrays_zip("kinds", "starts", "ends", "added"),
+        lambda s: F.struct(F.concat_ws(":", F.get(names, s["kinds"]), s["starts"].cast("string"), s["ends"].cast("string")).alias("named"), s["kinds"].alias("kind"), s["added"].alias("added")),
+    )
+    found = found.select("doc_id", spans.alias("all"), F.filter(spans, lambda s: ~s["added"]).alias("base"))
+    counted = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{name}") for n, name in enumerate(privacy.KINDS)]
+    added = (F.size("all") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *counted, F.sha2(F.array_join("base.named", ","), 256).alias("base_sha256"), F.array_join("all.named", ",").alias("spans"), added)
