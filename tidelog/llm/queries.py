@@ -125,6 +125,6 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
         lambda s: F.struct(F.concat_ws(":", F.get(names, s["kinds"]), s["starts"].cast("string"), s["ends"].cast("string")).alias("named"), s["kinds"].alias("kind"), s["added"].alias("added")),
     )
     found = found.select("doc_id", spans.alias("all"), F.filter(spans, lambda s: ~s["added"]).alias("base"))
-    counted = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{name}") for n, name in enumerate(privacy.KINDS)]
+    counted = [F.expr(f"CAST(size(filter(base, s -> s.kind = {n})) AS BIGINT) AS n_{name}") for n, name in enumerate(privacy.KINDS)]
     added = (F.size("all") - F.size("base")).cast("long").alias("n_added")
     return found.select("doc_id", *counted, F.sha2(F.array_join("base.named", ","), 256).alias("base_sha256"), F.array_join("all.named", ",").alias("spans"), added)
