@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, fingerprint, language, lm, neardup, pages, passages, privacy, secrets, substrings
+from tidelog.llm import bpe, decontaminate, divergence, fingerprint, language, lm, neardup, pages, passages, privacy, secrets, substrings
 from tidelog.llm.catalog import query
 from tidelog.llm.common import fold, table
 
@@ -128,3 +128,31 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     counted = [F.expr(f"CAST(size(filter(base, s -> s.kind = {n})) AS BIGINT) AS n_{name}") for n, name in enumerate(privacy.KINDS)]
     added = (F.size("all") - F.size("base")).cast("long").alias("n_added")
     return found.select("doc_id", *counted, F.sha2(F.array_join("base.named", ","), 256).alias("base_sha256"), F.array_join("all.named", ",").alias("spans"), added)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_source_divergence",
+    f"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS ws FROM documents),
+    t AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+    kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+    n AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    grp AS (SELECT DISTINCT lang, source FROM d),
+    cell AS (SELECT grp.*, kept.term, coalesce(n.n, 0) AS n FROM grp JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+    size AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+    share AS (SELECT cell.*, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+                     1 + (1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+              FROM cell JOIN size USING (lang)),
+    pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+             FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+             LEFT JOIN share x ON x.lang = a.lang AND x.source = a.source
+             LEFT JOIN share y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+    term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM share WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+               FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"), "text", "lang", "source")
