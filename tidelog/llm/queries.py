@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, divergence, fingerprint, language, lm, neardup, pages, passages, privacy, secrets, substrings
+from tidelog.llm import bpe, decontaminate, divergence, fingerprint, language, lm, neardup, negatives, pages, passages, privacy, secrets, substrings
 from tidelog.llm.catalog import query
 from tidelog.llm.common import fold, table
 
@@ -116,6 +116,28 @@ def passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), "n_links", "component_id", spans.alias("spans"))
 
 
+@query(
+    "op11_hard_negatives",
+    """WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                     list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+              FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    a AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+    s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS al, v.r, v.vec_id, v.label,
+                 CAST(list_sum(list_transform(list_zip(a.q, v.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM a JOIN v ON a.r <> v.r),
+    pos AS (SELECT * FROM s WHERE label = al QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) <= 5),
+    neg AS (SELECT pos.anchor_id, pos.vec_id AS positive_id, pos.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY pos.ar, pos.r ORDER BY s.score DESC, s.vec_id, s.r) AS rank
+            FROM pos JOIN s ON s.ar = pos.ar AND s.label <> s.al AND 30 * pos.score <= 100 * s.score AND 100 * s.score <= 90 * pos.score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10""",
+)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, "vec_id", "embedding", "label", F.col("vec_id") % 100 == 0)
+
+
 @query("op12_pii")
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = privacy.scan(table(spark, folder, "documents"), "doc_id", "text")
