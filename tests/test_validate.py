@@ -2,10 +2,20 @@ import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog import schema as S
 from tidelog.functions.timeutil import format_iso
-from tidelog.operators.validate import check_entries, request_outcomes, validate
+from tidelog.operators.validate import (
+    accepted_logs,
+    check_entries,
+    check_requests,
+    rejected_entries,
+    request_outcomes,
+    split_checked,
+    to_records,
+    validate,
+)
 from tidelog.sources.requests import explode_requests, request_entries
 
 NOW = datetime(2031, 3, 4, 10, 0, tzinfo=timezone.utc)
@@ -64,6 +74,17 @@ CASES = [
     ([VALID], S.NOT_OBJECT),
     ("text", S.NOT_OBJECT),
     (entry(extra={"deep": [1]}), None),
+    (entry(service="5"), None),
+    (entry(service="true"), None),
+    (entry(service=False), S.EMPTY_SERVICE),
+    (entry(service={"a": 1}), S.EMPTY_SERVICE),
+    (entry(service='{"a":1}'), None),
+    (entry(message=["x"]), S.EMPTY_MESSAGE),
+    (entry(message="[1]"), None),
+    (entry(message=-1.5), S.EMPTY_MESSAGE),
+    (entry(level=5), S.BAD_LEVEL),
+    (entry(timestamp=[format_iso(NOW)]), S.BAD_TIMESTAMP),
+    (entry(attributes={"a": 12345678901234567890, "b": 1e300, "c": -0.0}), None),
 ]
 
 
@@ -83,6 +104,31 @@ def test_first_failing_reason(checked):
     assert found == {i: reason for i, (_, reason) in enumerate(CASES)}
 
 
+def test_checks_inside_a_request_are_those_of_its_entries(spark):
+    body = json.dumps({"logs": [case for case, _ in CASES]})
+    rows = requests(spark, body, "{}", '{"logs": []}').withColumn("note", F.lit("n"))
+    checked = check_requests(rows, NOW)
+    valid, rejected = split_checked(check_entries(request_entries(rows), NOW))
+    inside, apart = accepted_logs(checked), valid
+    assert inside.columns == apart.columns and inside.dtypes == apart.dtypes
+    assert inside.orderBy("index").collect() == apart.orderBy("index").collect() != []
+    assert rejected_entries(checked).orderBy("index").collect() == rejected.orderBy("index").collect() != []
+    assert checked.columns == ["request_id", "note", "checks"]
+
+
+def test_body_is_parsed_once(spark):
+    plan = accepted_logs(check_requests(requests(spark, "{}"), NOW))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_records_keep_the_type_of_a_field(spark):
+    body = json.dumps({"logs": [entry(level=5, service="7"), entry(level="odd", message=True), 3]})
+    found = to_records(request_entries(requests(spark, body))).orderBy("index")
+    assert [tuple(r) for r in found.select("level", "service", "message").collect()] == [
+        (None, "7", "row written"), ("odd", "ledger", None), (None, None, None),
+    ]
+
+
 def test_accepted_row_is_typed(checked):
     row = checked[0]
     assert row["timestamp"] == NOW.replace(tzinfo=None)
@@ -105,8 +151,9 @@ def test_request_outcomes(spark):
     both = json.dumps({"logs": [5, VALID, entry(message="")]})
     none = json.dumps({"logs": [entry(level="x"), entry(timestamp="bad", level="fatal")]})
     bodies = [both, none, "{}", '{"logs": []}', '{"logs": [', '{"logs": {}}', '[]', '{"logs": 5}']
-    checked = check_entries(request_entries(requests(spark, *bodies)), NOW)
-    rows = {r["request_id"]: r for r in request_outcomes(checked).collect()}
+    outcomes = request_outcomes(check_requests(requests(spark, *bodies), NOW))
+    assert "Exchange" not in outcomes._jdf.queryExecution().executedPlan().toString()
+    rows = {r["request_id"]: r for r in outcomes.collect()}
     assert (rows["r0"]["accepted"], rows["r0"]["status"], rows["r0"]["error"]) == (1, 200, None)
     assert [tuple(x) for x in rows["r0"]["rejected"]] == [(0, S.NOT_OBJECT), (2, S.EMPTY_MESSAGE)]
     assert (rows["r1"]["accepted"], rows["r1"]["status"]) == (0, 400)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tidelog.catalog.registry import LOGS_SQL, div, event_logs, query, table
 from tidelog.functions.timeutil import UTC, iso_text, time_literal, utc_wall_clock
-from tidelog.operators.validate import check_entries, request_outcomes, split_checked, to_records
+from tidelog.operators.validate import accepted_logs, check_requests, rejected_entries, request_outcomes, to_records
 from tidelog.session import partitions_for
-from tidelog.sources.requests import explode_requests, request_entries
+from tidelog.sources.requests import explode_requests
 from tidelog.sources.synth import synthetic_columns
 
 AS_OF = datetime(2024, 2, 15, tzinfo=UTC)
@@ -102,14 +102,22 @@ def bad_requests(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "to_records",
     f"""WITH {LOGS_SQL} SELECT id // 50 AS request_id, CAST(id % 50 AS INTEGER) AS index,
+      CASE WHEN id % 10 IN (1, 8) THEN NULL WHEN id % 10 = 2 THEN TIMESTAMP '2024-02-15 00:05:00.001'
+        WHEN id % 20 = 0 THEN TIMESTAMP '2024-02-15 00:05:00' ELSE timestamp END AS timestamp,
       CASE WHEN id % 10 = 8 THEN NULL WHEN id % 10 = 3 THEN 'critical' ELSE level END AS level,
       CASE WHEN id % 10 = 8 THEN NULL WHEN id % 10 IN (3, 4) THEN '' ELSE service END AS service,
-      CASE WHEN id % 10 = 8 THEN NULL WHEN id % 10 IN (4, 5) THEN '' ELSE message END AS message
+      CASE WHEN id % 10 = 8 THEN NULL WHEN id % 10 IN (4, 5) THEN '' ELSE message END AS message,
+      CASE WHEN id % 10 IN (6, 7) THEN NULL WHEN id % 10 IN (8, 9) THEN '{{}}' ELSE replace(attributes, ' ', '') END AS attributes,
+      CASE WHEN id % 10 NOT IN (6, 7, 8, 9) THEN attributes::JSON ->> 'k' END AS k
       FROM logs WHERE {GOOD_REQUEST_SQL}""",
 )
 def records(spark: SparkSession, folder: str) -> DataFrame:
     entries, _ = explode_requests(requests(spark, folder))
-    return to_records(entries).select("request_id", "index", "level", "service", "message")
+    found = to_records(entries)
+    return found.select(
+        "request_id", "index", utc_wall_clock(found, "timestamp").alias("timestamp"), "level", "service", "message",
+        "attributes", F.try_element_at("attr_text", F.lit("k")).alias("k"),
+    )
 
 
 @query(
@@ -119,8 +127,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
       WHERE {GOOD_REQUEST_SQL} AND {REASON_SQL} IS NOT NULL""",
 )
 def validate_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    checked = check_entries(request_entries(requests(spark, folder)), AS_OF)
-    return split_checked(checked)[1]
+    return rejected_entries(check_requests(requests(spark, folder), AS_OF))
 
 
 @query(
@@ -133,8 +140,7 @@ def validate_reasons(spark: SparkSession, folder: str) -> DataFrame:
       FROM logs WHERE {GOOD_REQUEST_SQL} AND {REASON_SQL} IS NULL""",
 )
 def validate_accepted(spark: SparkSession, folder: str) -> DataFrame:
-    checked = check_entries(request_entries(requests(spark, folder)), AS_OF)
-    valid = split_checked(checked)[0]
+    valid = accepted_logs(check_requests(requests(spark, folder), AS_OF))
     return valid.select(
         "request_id", "index", utc_wall_clock(valid, "timestamp").alias("timestamp"),
         "level", "service", "message", "attributes",
@@ -157,8 +163,7 @@ def validate_accepted(spark: SparkSession, folder: str) -> DataFrame:
     FROM checked GROUP BY request_id""",
 )
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    checked = check_entries(request_entries(requests(spark, folder)), AS_OF)
-    return request_outcomes(checked).withColumn("rejected", F.to_json("rejected"))
+    return request_outcomes(check_requests(requests(spark, folder), AS_OF)).withColumn("rejected", F.to_json("rejected"))
 
 
 @query(

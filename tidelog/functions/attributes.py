@@ -17,6 +17,11 @@ _OTHER_KINDS = r": (?!STRING|BOOLEAN|BIGINT|DECIMAL\((\d|1[0-5]),)"
 _LONG_INTEGER = r"\d{16}"
 
 
+# What looks a field up by name, and a step that makes further fields of those there are.
+Fields = Callable[[str], Column]
+Stage = Callable[[Fields], dict[str, Column]]
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -90,39 +95,88 @@ def object_members(json_text: Column) -> Column:
     return F.try_parse_json(json_text).try_cast("map<string,variant>")
 
 
-def with_attributes(rows: DataFrame, value: str) -> DataFrame:
-    """Adds ``is_object``, ``is_flat``, ``attributes`` and ``attr_text`` for a VARIANT column.
+def shape_stages(value: str) -> list[Stage]:
+    """Steps that give ``is_object`` and ``is_flat`` of a VARIANT, and helpers for its texts.
+
+    Objects whose schema shows plain kinds only (``_simple``) are flat; the others are
+    looked at value by value.
+    """
+
+    def kinds(get: Fields) -> dict[str, Column]:
+        return {"_kinds": F.schema_of_variant(get(value))}
+
+    def shape(get: Fields) -> dict[str, Column]:
+        is_object = F.coalesce(get("_kinds").startswith("OBJECT"), F.lit(False))
+        return {"is_object": is_object, "_simple": F.coalesce(is_object & ~get("_kinds").rlike(_OTHER_KINDS), F.lit(False))}
+
+    def flat(get: Fields) -> dict[str, Column]:
+        members = F.when(get("is_object") & ~get("_simple"), get(value).try_cast("map<string,variant>"))
+        scalars = F.forall(F.map_values(members), is_scalar)
+        return {"is_flat": get("_simple") | F.coalesce(scalars, F.lit(False))}
+
+    return [kinds, shape, flat]
+
+
+def text_stages(value: str) -> list[Stage]:
+    """Steps from ``is_flat`` and ``_simple`` to ``attributes`` and ``attr_text``.
 
     ``attributes`` is canonical JSON, with numbers written like their text, and
     ``attr_text`` the map of scalar texts; both are NULL unless the object is
     flat. Objects whose schema and JSON text show nothing that needs rewriting
-    take two casts; only the others are looked at value by value. Helper
-    columns are columns so that each is computed once.
+    take two casts; only the others are rewritten value by value.
     """
-    steps = rows.withColumns(
-        {"_kinds": F.schema_of_variant(value), "_json": F.to_json(F.col(value))}
-    )
-    steps = steps.withColumn("is_object", F.coalesce(F.col("_kinds").startswith("OBJECT"), F.lit(False)))
-    plain = ~F.col("_kinds").rlike(_OTHER_KINDS) & ~F.col("_json").rlike(_LONG_INTEGER)
-    steps = steps.withColumn("_plain", F.col("is_object") & plain)
-    odd = F.col("is_object") & ~F.col("_plain")
-    steps = steps.withColumn(
-        "_members", F.when(odd, F.col(value).try_cast("map<string,variant>"))
-    )
-    members = F.col("_members")
-    steps = steps.withColumn(
-        "is_flat",
-        F.col("_plain") | F.coalesce(F.forall(F.map_values(members), is_scalar), F.lit(False)),
-    )
-    texts = F.when(F.col("_plain"), F.col(value).try_cast("map<string,string>")).when(
-        F.col("is_flat"), F.transform_values(members, lambda _, v: scalar_text(v))
-    )
-    json_text = F.when(F.col("_plain"), F.col("_json")).when(
-        F.col("is_flat"), _rewritten_json(members)
-    )
-    return steps.withColumns({"attributes": json_text, "attr_text": texts}).drop(
-        "_kinds", "_json", "_plain", "_members"
-    )
+
+    def json(get: Fields) -> dict[str, Column]:
+        return {"_json": F.when(get("_simple"), F.to_json(get(value)))}
+
+    def members(get: Fields) -> dict[str, Column]:
+        plain = F.coalesce(~get("_json").rlike(_LONG_INTEGER), F.lit(False))
+        return {"_plain": plain, "_members": F.when(get("is_flat") & ~plain, get(value).try_cast("map<string,variant>"))}
+
+    def texts(get: Fields) -> dict[str, Column]:
+        json_text = F.when(get("_plain"), get("_json")).when(get("is_flat"), _rewritten_json(get("_members")))
+        values = F.when(get("_plain"), get(value).try_cast("map<string,string>")).when(
+            get("is_flat"), F.transform_values(get("_members"), lambda _, v: scalar_text(v))
+        )
+        return {"attributes": json_text, "attr_text": values}
+
+    return [json, members, texts]
+
+
+def in_columns(rows: DataFrame, stages: list[Stage]) -> DataFrame:
+    """The fields that the stages add, as columns."""
+    for stage in stages:
+        rows = rows.withColumns(stage(F.col))
+    return rows
+
+
+def with_attributes(rows: DataFrame, value: str) -> DataFrame:
+    """Adds ``is_object``, ``is_flat``, ``attributes`` and ``attr_text`` for a VARIANT column."""
+    found = in_columns(rows, [*shape_stages(value), *text_stages(value)])
+    return found.drop("_kinds", "_simple", "_json", "_plain", "_members")
+
+
+def staged(items: Column, names: list[str], stages: list[Stage]) -> tuple[Column, list[str]]:
+    """An array of structs with the fields that the stages add, and their names.
+
+    A stage sees the fields of the ones before as values, so each is computed once.
+    """
+    for stage in stages:
+        items, names = _one_stage(items, names, stage)
+    return items, names
+
+
+def _one_stage(items: Column, names: list[str], stage: Stage) -> tuple[Column, list[str]]:
+    added: list[str] = []
+
+    def more(item: Column) -> Column:
+        fields = stage(lambda name: item[name])
+        added[:] = list(fields)
+        kept = [item[name].alias(name) for name in names if name not in fields]
+        return F.struct(*kept, *(column.alias(name) for name, column in fields.items()))
+
+    items = F.transform(items, more)
+    return items, [*(name for name in names if name not in added), *added]
 
 
 def canonical_attributes(logs: DataFrame) -> DataFrame:

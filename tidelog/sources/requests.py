@@ -32,19 +32,27 @@ def read_requests(
     )
 
 
+def with_logs(requests: DataFrame, name: str, body: str = "body") -> DataFrame:
+    """The ``logs`` array in place of the body; NULL where it does not parse, has none or an empty one.
+
+    Each entry is a VARIANT of its own, so a request may be of any size; of repeated
+    keys the last one counts (a setting of the session, made here). The array is a
+    column before it is looked at, so that the body is parsed once.
+    """
+    requests.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    kept = [column for column in requests.columns if column != body]
+    parsed = requests.select(*kept, F.from_json(body, "logs array<variant>")["logs"].alias(name))
+    return parsed.withColumn(name, F.when(F.size(name) > 0, F.col(name)))
+
+
 def request_entries(requests: DataFrame) -> DataFrame:
     """One row per log entry with its array index; a bad request keeps one row.
 
-    A body that does not parse, has no ``logs`` array or an empty one gives a
-    row whose ``index`` is NULL. The ``body`` column goes, the rest stays. Each
-    entry is a VARIANT of its own, so a request may be of any size; of repeated
-    keys the last one counts (a setting of the session, made here).
+    A bad request (see :func:`with_logs`) gives a row whose ``index`` is NULL.
+    The ``body`` column goes, the rest stays.
     """
-    requests.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [name for name in requests.columns if name != "body"]
-    logs = F.from_json("body", "logs array<variant>")["logs"]
-    logs = F.when(F.size(logs) > 0, logs)
-    return requests.select(*kept, F.posexplode_outer(logs).alias("index", "entry"))
+    return with_logs(requests, "_logs").select(*kept, F.posexplode_outer("_logs").alias("index", "entry"))
 
 
 def explode_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
