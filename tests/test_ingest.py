@@ -53,7 +53,8 @@ def test_twenty_requests_become_one_batch(setup):
     write(source, "a", [[entry(r * 50 + i) for i in range(50)] for r in range(20)])
     run(store, source, checkpoint)
     snapshot = store.snapshot()
-    assert list(snapshot.manifest.logs) == ["ingest-0000000000"]
+    assert snapshot.manifest.streams == {"ingest": 0} and snapshot.manifest.version == 1
+    assert [r[0] for r in snapshot.logs(segment=True).select("segment").distinct().collect()] == ["ingest-0000000000"]
     rows = snapshot.logs().orderBy("id").select("id", "message").collect()
     assert [tuple(r) for r in rows] == [(i + 1, f"m{i}") for i in range(1000)], "reading order"
     outcomes = snapshot.outcomes().collect()

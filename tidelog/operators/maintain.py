@@ -14,15 +14,15 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog import schema as S
 from tidelog.functions.attributes import canonical_attributes
-from tidelog.functions.timeutil import EPOCH, MICROSECOND, UTC, parse_iso, utc_day, utc_instant
+from tidelog.functions.timeutil import EPOCH, MICROSECOND, UTC, utc_day, utc_instant
 from tidelog.operators.aggregate import merge_rollups, minute_rollup, with_day
 from tidelog.operators.filters import apply_filters, time_range
 from tidelog.operators.layout import ROWS_PER_FILE, clustered, compacted_files, read_layout, rollup_layout
 from tidelog.plans.params import retention_days
+from tidelog.schema import LOG_COLUMNS
 from tidelog.session import partitions_for
-from tidelog.sources.store import LogStore, Manifest
+from tidelog.sources.store import Days, DayView, LogStore, Manifest, add_segment, put_segment
 
 def expiry_cutoff(now: datetime, days: object = None) -> datetime:
     return now.astimezone(UTC) - timedelta(days=retention_days(days))
@@ -50,19 +50,21 @@ def expire(
     manifest = store.manifest()
     cutoff = expiry_cutoff(now, days)
     first = utc_day(cutoff).isoformat()
-    logs = _keep_days(manifest.logs, lambda day: day >= first)
-    rollups = _keep_days(manifest.rollups, lambda day: day >= first)
-    outcomes = {s: at for s, at in manifest.outcomes.items() if parse_iso(at) >= cutoff}
-    segment = f"expire-{manifest.version + 1:012d}"
-    if exact:
-        boundary = store.read_table("logs", S.LOG, _only(logs, first))
+    logs, rollups, outcomes = (
+        {day: view for day, view in table.items() if day >= first}
+        for table in (manifest.logs, manifest.rollups, manifest.outcomes)
+    )
+    segment = store.new_segment("expire", manifest.version + 1)
+    if exact and first in logs:
+        boundary = store.read_days("logs", {first: logs[first]}, manifest.streams)
         if not apply_filters(boundary, time_range(boundary, None, cutoff)).isEmpty():
             kept = apply_filters(boundary, time_range(boundary, cutoff, None))
-            files = -(-_count(logs, [first]) // ROWS_PER_FILE)
-            logs = _keep_days(logs, lambda day: day != first)
-            rollups = _keep_days(rollups, lambda day: day != first)
-            kept = clustered(kept, read_layout(), files)
-            logs, rollups = _add(store, segment, kept, logs, rollups)
+            files = -(-logs[first].rows // ROWS_PER_FILE)
+            written = _write(store, segment, clustered(kept, read_layout(), files))
+            logs, rollups = (
+                put_segment({day: v for day, v in table.items() if day != first}, written, segment, manifest.streams)
+                for table in (logs, rollups)
+            )
     if (logs, rollups, outcomes) == (manifest.logs, manifest.rollups, manifest.outcomes):
         return None
     dropped = _count(manifest.logs) - _count(logs)
@@ -76,18 +78,17 @@ def compact_logs(
     """Rewrite days as few sorted files, so that min and max let scans skip."""
     manifest = store.manifest()
     wanted = _wanted(manifest.logs, days)
-    rows = _count(manifest.logs, wanted)
+    rows = _count(wanted)
     if rows == 0:
         return None
-    segment = f"logs-{manifest.version + 1:012d}"
-    old = store.read_table("logs", S.LOG, _only(manifest.logs, *wanted))
+    segment = store.new_segment("logs", manifest.version + 1)
+    old = store.read_days("logs", wanted, manifest.streams)
     files = compacted_files(rows, rows_per_file, store.spark.sparkContext.defaultParallelism)
     store.write_logs(clustered(old, read_layout(), files), segment)
-    written = store.log_rows(segment)
-    if sum(written.values()) != rows:
+    written = store.segment_rows("logs", segment)
+    if written != {day: view.rows for day, view in wanted.items()}:
         raise RuntimeError(f"compaction read {rows} rows and wrote {sum(written.values())}")
-    logs = _keep_days(manifest.logs, lambda day: day not in wanted)
-    changed = replace(manifest, logs={**logs, segment: written})
+    changed = replace(manifest, logs=put_segment(manifest.logs, written, segment, manifest.streams))
     return store.commit(changed, "compact_logs", segment, rows)
 
 
@@ -97,9 +98,24 @@ def compact_rollups(store: LogStore, days: Iterable[date] | None = None) -> Mani
     wanted = _wanted(manifest.rollups, days)
     if not wanted:
         return None
-    segment = f"rollups-{manifest.version + 1:012d}"
-    old = store.read_table("rollups", S.ROLLUP, _only(manifest.rollups, *wanted))
-    return _replace_rollups(store, manifest, segment, merge_rollups(old), wanted, "compact_rollups")
+    old = store.read_days("rollups", wanted, manifest.streams)
+    return _replace_rollups(store, manifest, merge_rollups(old), wanted, "compact_rollups")
+
+
+def compact_outcomes(store: LogStore, days: Iterable[date] | None = None) -> Manifest | None:
+    """Bring the outcomes of each day together in few files."""
+    manifest = store.manifest()
+    wanted = _wanted(manifest.outcomes, days)
+    if not wanted:
+        return None
+    segment = store.new_segment("outcomes", manifest.version + 1)
+    old = store.read_days("outcomes", wanted, manifest.streams)
+    store.write_outcomes(old.repartitionByRange("day", "request_id").sortWithinPartitions("day", "request_id"), segment)
+    written = store.segment_rows("outcomes", segment)
+    if written != {day: view.rows for day, view in wanted.items()}:
+        raise RuntimeError(f"compaction read {_count(wanted)} outcomes and wrote {sum(written.values())}")
+    changed = replace(manifest, outcomes=put_segment(manifest.outcomes, written, segment, manifest.streams))
+    return store.commit(changed, "compact_outcomes", segment, _count(wanted))
 
 
 def rebuild_rollups(store: LogStore, days: Iterable[date] | None = None) -> Manifest | None:
@@ -108,9 +124,8 @@ def rebuild_rollups(store: LogStore, days: Iterable[date] | None = None) -> Mani
     wanted = _wanted(manifest.logs, days)
     if not wanted:
         return None
-    segment = f"rollups-{manifest.version + 1:012d}"
-    raw = store.read_table("logs", S.LOG, _only(manifest.logs, *wanted))
-    return _replace_rollups(store, manifest, segment, minute_rollup(raw), wanted, "rebuild_rollups")
+    raw = store.read_days("logs", wanted, manifest.streams)
+    return _replace_rollups(store, manifest, minute_rollup(raw), wanted, "rebuild_rollups")
 
 
 def backfill(
@@ -118,7 +133,7 @@ def backfill(
 ) -> Manifest:
     """Add a flat log table, ids kept, to the store; new ids go on above its largest."""
     manifest = store.manifest()
-    segment = f"{name}-{manifest.version + 1:012d}"
+    segment = store.new_segment(name, manifest.version + 1)
     missing = flat.filter(F.col("timestamp").isNull()).count()
     if missing:
         raise ValueError(f"{missing} rows have no timestamp")
@@ -126,8 +141,9 @@ def backfill(
     rows = canonical_attributes(rows)
     files = files or partitions_for(flat)
     rows = clustered(with_day(rows, "timestamp"), read_layout(), files)
-    logs, rollups = _add(store, segment, rows, manifest.logs, manifest.rollups)
-    written = store.read_table("logs", S.LOG, _only(logs, *logs.get(segment, {}), segment=segment))
+    days = _write(store, segment, rows)
+    logs, rollups = (add_segment(table, days, segment, manifest.streams) for table in (manifest.logs, manifest.rollups))
+    written = _written(store, segment, days)
     largest, oldest, newest = written.agg(
         F.max("id"), F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))
     ).first()
@@ -135,12 +151,12 @@ def backfill(
         manifest, logs=logs, rollups=rollups, next_id=max(manifest.next_id, (largest or 0) + 1)
     )
     span = [None if micros is None else EPOCH + micros * MICROSECOND for micros in (oldest, newest)]
-    return store.commit(changed, "backfill", segment, _count({segment: logs.get(segment, {})}), *span)
+    return store.commit(changed, "backfill", segment, sum(days.values()), *span)
 
 
 def flatten(store: LogStore, path: str) -> None:
     """Write all logs to ``path`` as one table without day folders."""
-    logs = store.snapshot().logs().select(*S.LOG_COLUMNS)
+    logs = store.snapshot().logs().select(*LOG_COLUMNS)
     logs.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
@@ -149,60 +165,36 @@ def next_id(logs: DataFrame) -> int:
     return (logs.agg(F.max("id")).first()[0] or 0) + 1
 
 
-def _add(
-    store: LogStore, segment: str, rows: DataFrame, logs: dict, rollups: dict
-) -> tuple[dict, dict]:
-    """Write rows and their rollup; the rollup is counted from what was written."""
+def _written(store: LogStore, segment: str, days: Iterable[str]) -> DataFrame:
+    """The logs of one segment, before or after it shows."""
+    return store.read_days("logs", {day: DayView(extra=[segment]) for day in days}, {})
+
+
+def _write(store: LogStore, segment: str, rows: DataFrame) -> dict[str, int]:
+    """Write logs and their rollup, which is counted from what was written; rows per day."""
     store.write_logs(rows, segment)
-    written = store.log_rows(segment)
-    if not written:
-        return logs, rollups
-    stored = store.read_table("logs", S.LOG, {segment: list(written)})
-    store.write_rollups(rollup_layout(with_day(minute_rollup(stored), "bucket_start")), segment)
-    return {**logs, segment: written}, {**rollups, segment: sorted(written)}
+    days = store.segment_rows("logs", segment)
+    if days:
+        minutes = minute_rollup(_written(store, segment, days))
+        store.write_rollups(rollup_layout(with_day(minutes, "bucket_start")), segment)
+    return days
 
 
-def _replace_rollups(
-    store: LogStore, manifest: Manifest, segment: str, minutes: DataFrame, wanted: list[str], kind: str
-) -> Manifest:
+def _replace_rollups(store: LogStore, manifest: Manifest, minutes: DataFrame, wanted: Days, kind: str) -> Manifest:
+    segment = store.new_segment("rollups", manifest.version + 1)
     store.write_rollups(rollup_layout(with_day(minutes, "bucket_start")), segment)
-    days = store.rollup_rows(segment)
-    expected = _count(manifest.logs, wanted)
-    if sum(days.values()) != expected:
-        raise RuntimeError(f"rollup counts {sum(days.values())} logs, the store holds {expected}")
-    rollups = _keep_days(manifest.rollups, lambda day: day not in wanted)
-    changed = replace(manifest, rollups={**rollups, segment: sorted(days)})
-    return store.commit(changed, kind, segment, expected)
-
-
-def _wanted(table: dict, days: Iterable[date] | None) -> list[str]:
-    present = {day for found in table.values() for day in found}
-    chosen = present if days is None else present & {day.isoformat() for day in days}
-    return sorted(chosen)
-
-
-def _only(table: dict, *days: str, segment: str | None = None) -> dict[str, list[str]]:
-    return {
-        seg: [day for day in found if day in days]
-        for seg, found in table.items()
-        if segment is None or seg == segment
-    }
-
-
-def _keep_days(table: dict, keep) -> dict:
-    kept = {}
-    for seg, found in table.items():
-        days = [day for day in found if keep(day)]
-        if days:
-            kept[seg] = {day: found[day] for day in days} if isinstance(found, dict) else days
-    return kept
-
-
-def _count(logs: dict, days: Iterable[str] | None = None) -> int:
-    wanted = None if days is None else set(days)
-    return sum(
-        rows
-        for found in logs.values()
-        for day, rows in found.items()
-        if wanted is None or day in wanted
-    )
+    days = store.segment_rows("rollups", segment)
+    expected = {day: manifest.logs[day].rows for day in wanted}
+    if days != expected:
+        raise RuntimeError(f"rollup counts {sum(days.values())} logs, the store holds {sum(expected.values())}")
+    changed = replace(manifest, rollups=put_segment(manifest.rollups, days, segment, manifest.streams))
+    return store.commit(changed, kind, segment, sum(days.values()))
+
+
+def _wanted(table: Days, days: Iterable[date] | None) -> Days:
+    chosen = None if days is None else {day.isoformat() for day in days}
+    return {day: view for day, view in sorted(table.items()) if chosen is None or day in chosen}
+
+
+def _count(table: Days) -> int:
+    return sum(view.rows for view in table.values())

@@ -114,3 +114,23 @@ def number_split_rows(rows: DataFrame, split: list[str], at: str) -> tuple[DataF
         .drop("_first", "_shift")
     )
     return numbered, total or 0
+
+
+def split_offsets(
+    rows: DataFrame, split: list[str], at: str, count: str
+) -> tuple[DataFrame, int, int, int]:
+    """Per file split, where its rows and the items in them begin; from one pass over ``rows``.
+
+    ``at`` is ``monotonically_increasing_id()`` over the rows, ``count`` how many items
+    each holds. Gives per split ``first_row`` (its least ``at``), ``first_item`` (the
+    same for the items, were they numbered so after an explode) and ``shift`` (items in
+    splits before it), and the number of splits, of items and of tasks.
+    """
+    totals = rows.groupBy(*split).agg(F.min(at).alias("first_row"), F.sum(count).alias("_items"))
+    totals = totals.withColumn("_task", F.shiftright("first_row", _ROW_BITS))
+    size, total, tasks = totals.agg(F.count(F.lit(1)), F.sum("_items"), F.max("_task") + 1).first()
+    earlier = Window.partitionBy("_task").orderBy("first_row").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_items").over(earlier), F.lit(0))
+    totals = totals.withColumn("first_item", F.shiftleft("_task", _ROW_BITS) + before)
+    shifts = offsets(totals, split, "_items", "shift")
+    return shifts.select(*split, "first_row", "first_item", "shift"), size, total or 0, tasks or 0

@@ -83,6 +83,11 @@ def accepted_logs(checked: DataFrame) -> DataFrame:
     return in_columns(rows, _value_stages()).select(*_rest(checked), "index", *CHECKED)
 
 
+def accepted_count() -> Column:
+    """How many entries of a checked request are valid; 0 for a bad request."""
+    return F.coalesce(F.size(F.filter("checks", lambda c: c["reason"].isNull())), F.lit(0))
+
+
 def rejected_entries(checked: DataFrame) -> DataFrame:
     """One row per invalid entry of checked requests: ``index`` and ``reason``."""
     return checked.select(*_rest(checked), F.inline(_rejects()))

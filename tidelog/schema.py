@@ -67,6 +67,10 @@ OUTCOME = T.StructType(
     ]
 )
 
+DAY = T.StructField("day", T.DateType())
+# What the tables of the store hold besides the name of the segment.
+TABLES = {"logs": LOG, "rollups": ROLLUP, "outcomes": T.StructType([*OUTCOME.fields, DAY])}
+
 COMMIT = T.StructType(
     [
         T.StructField("kind", T.StringType()),

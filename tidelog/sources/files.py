@@ -28,8 +28,26 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write under another name, then rename: readers see all of it or nothing."""
+def try_read_text(spark: SparkSession, path: str) -> str | None:
+    return read_text(spark, path) if exists(spark, path) else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _locate(spark, path)
+    return fs.exists(target)
+
+
+def find(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern with ``*``."""
+    target, fs = _locate(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(target) or [])
+
+
+def write_text(spark: SparkSession, path: str, text: str, over: bool = False) -> None:
+    """Write under another name, then rename: readers see all of it or nothing.
+
+    ``over`` replaces a note that nobody relies on: for a moment there may be none.
+    """
     target, fs = _locate(spark, path)
     draft, _ = _locate(spark, path + ".draft")
     stream = fs.create(draft, True)
@@ -37,6 +55,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text, "utf-8"))
     finally:
         stream.close()
+    if over:
+        fs.delete(target, False)
     if fs.exists(target) or not fs.rename(draft, target):
         raise RuntimeError(f"another writer created {path}")
 

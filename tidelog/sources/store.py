@@ -1,20 +1,22 @@
 """The log store: day-partitioned Parquet, made visible by one small manifest.
 
-Every write goes to a segment folder of its own (``logs/segment=S/day=D``,
-``rollups/segment=S/day=D``, ``outcomes/segment=S``). A commit then writes one
-manifest version that lists the live segments and days; readers resolve a
-single version for all tables, so raw logs and rollups always agree. One
-writer at a time.
+Rows lie in ``<table>/day=D/segment=S``: a segment holds what one batch of a stream, or
+one maintenance job, wrote. A manifest version does not list segments. It says, for each
+day, after which batch of each stream the day's rows are read in place, and which few
+segments maintenance put there instead; the last committed batch of each stream bounds
+them all. So it grows with the days kept, not with the commits, and a read lists the
+folders of its days and drops by name what the version does not show. Readers resolve a
+single version for all tables, so raw logs and rollups always agree. One writer at a time.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,63 @@ from tidelog.sources import files
 
 _MANIFEST_DIGITS = 12
 _HISTORY = T.StructType([T.StructField("version", T.LongType()), *S.COMMIT.fields])
+TABLES = ("logs", "rollups", "outcomes")
+# More days than this are read by listing the table rather than each day.
+MOST_DAY_PATHS = 400
+
+
+def batch_segment(stream: str, batch: int) -> str:
+    return f"{stream}-{batch:010d}"
+
+
+@dataclass(frozen=True)
+class DayView:
+    """What shows of a day: batches of each stream later than ``after``, and ``extra`` segments."""
+
+    rows: int = 0
+    after: dict[str, int] = field(default_factory=dict)
+    extra: list[str] = field(default_factory=list)
+
+    def shows(self, streams: dict[str, int]) -> Column:
+        """Whether the segment of a row is part of the day."""
+        found = F.col("segment").isin(*self.extra) if self.extra else F.lit(False)
+        for stream, last in streams.items():
+            first = self.after.get(stream, -1) + 1
+            if first <= last:
+                inside = F.col("segment").between(batch_segment(stream, first), batch_segment(stream, last))
+                found = found | (inside & (F.length("segment") == len(batch_segment(stream, last))))
+        return found
+
+    def holds(self, segment: str, streams: dict[str, int]) -> bool:
+        if segment in self.extra:
+            return True
+        stream, _, number = segment.rpartition("-")
+        known = stream in streams and len(number) == 10 and number.isdigit()
+        return known and self.after.get(stream, -1) < int(number) <= streams[stream]
+
+
+Days = dict[str, DayView]
+
+
+def add_batch(days: Days, rows: dict[str, int], before: dict[str, int]) -> Days:
+    """The days after a stream's batch; ``before``: the last batches committed before it.
+
+    A day that is new shows nothing older: an earlier life of it may still lie in its folder.
+    """
+    known = {day: days.get(day, DayView(after=dict(before))) for day in rows}
+    return {**days, **{day: replace(known[day], rows=known[day].rows + n) for day, n in rows.items()}}
+
+
+def add_segment(days: Days, rows: dict[str, int], segment: str, streams: dict[str, int]) -> Days:
+    """The days with one more segment beside what they show."""
+    known = {day: days.get(day, DayView(after=dict(streams))) for day in rows}
+    grown = {day: replace(v, rows=v.rows + rows[day], extra=[*v.extra, segment]) for day, v in known.items()}
+    return {**days, **grown}
+
+
+def put_segment(days: Days, rows: dict[str, int], segment: str, streams: dict[str, int]) -> Days:
+    """The days with one segment in place of all that they show."""
+    return {**days, **{day: DayView(n, dict(streams), [segment]) for day, n in rows.items()}}
 
 
 @dataclass(frozen=True)
@@ -35,11 +94,16 @@ class Manifest:
     next_id: int = 1
     newest: str | None = None
     streams: dict[str, int] = field(default_factory=dict)
-    logs: dict[str, dict[str, int]] = field(default_factory=dict)
-    rollups: dict[str, list[str]] = field(default_factory=dict)
-    outcomes: dict[str, str] = field(default_factory=dict)
+    logs: Days = field(default_factory=dict)
+    rollups: Days = field(default_factory=dict)
+    outcomes: Days = field(default_factory=dict)
     commit: dict[str, object] = field(default_factory=dict)
 
+    @staticmethod
+    def from_json(text: str) -> "Manifest":
+        found = json.loads(text)
+        return Manifest(**{**found, **{t: {day: DayView(**v) for day, v in found[t].items()} for t in TABLES}})
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -55,17 +119,16 @@ class Snapshot:
 
         With ``segment`` the name of the batch that wrote each row comes along.
         """
-        days = {seg: list(rows) for seg, rows in self.manifest.logs.items()}
-        shape = T.StructType([*S.LOG.fields, T.StructField("segment", T.StringType())]) if segment else S.LOG
-        return self.store.read_table("logs", shape, _within(days, since, until))
+        names = [*S.LOG.names, "segment"] if segment else S.LOG.names
+        return self.store.read_days("logs", _within(self.manifest.logs, since, until), self.manifest.streams, names)
 
     def rollups(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
         """Minute deltas, not merged: one key may occur several times."""
-        return self.store.read_table("rollups", S.ROLLUP, _within(self.manifest.rollups, since, until))
+        return self.store.read_days("rollups", _within(self.manifest.rollups, since, until), self.manifest.streams)
 
     def outcomes(self) -> DataFrame:
-        paths = [f"segment={seg}" for seg in sorted(self.manifest.outcomes)]
-        return self.store.read_paths("outcomes", S.OUTCOME, paths)
+        """Outcomes of requests, kept under the day on which they were taken in."""
+        return self.store.read_days("outcomes", self.manifest.outcomes, self.manifest.streams, S.OUTCOME.names)
 
     @property
     def newest(self) -> datetime | None:
@@ -73,10 +136,7 @@ class Snapshot:
 
     def day_rows(self) -> dict[date, int]:
         """Rows per UTC day, from the manifest alone."""
-        total: Counter[str] = Counter()
-        for rows in self.manifest.logs.values():
-            total.update(rows)
-        return {date.fromisoformat(day): total[day] for day in sorted(total)}
+        return {date.fromisoformat(day): self.manifest.logs[day].rows for day in sorted(self.manifest.logs)}
 
     def search(self, query: LogQuery) -> Page:
         return search_page(self.logs, query, self.newest)
@@ -98,10 +158,24 @@ class LogStore:
         return Snapshot(self, self.manifest())
 
     def manifest(self) -> Manifest:
-        names = [name for name, _ in self._manifest_files()]
-        if not names:
-            return Manifest()
-        return Manifest(**json.loads(files.read_text(self.spark, f"{self.root}/manifest/{max(names)}")))
+        version = self._last_version()
+        return Manifest.from_json(files.read_text(self.spark, self._manifest_path(version))) if version else Manifest()
+
+    def _manifest_path(self, version: int) -> str:
+        return f"{self.root}/manifest/{version:0{_MANIFEST_DIGITS}d}.json"
+
+    def _last_version(self) -> int:
+        """Found from the note the last commit left; later versions are looked up one by one.
+
+        Without a note (a commit that was cut off before it, a first one) the folder is listed.
+        """
+        note = files.try_read_text(self.spark, f"{self.root}/manifest/_last")
+        version = int(note) if note and note.isdigit() else 0
+        if not version or not files.exists(self.spark, self._manifest_path(version)):
+            version = max((int(name[:-5]) for name, _ in self._manifest_files()), default=0)
+        while version and files.exists(self.spark, self._manifest_path(version + 1)):
+            version += 1
+        return version
 
     def commits(self) -> DataFrame:
         """The history of commits, one row per manifest version, those that are gone included."""
@@ -122,53 +196,79 @@ class LogStore:
         # A vacuum that was cut off leaves versions in both places.
         return present.unionByName(past).dropDuplicates(["version"])
 
-    def read_table(self, table: str, schema: T.StructType, days: dict[str, list[str]]) -> DataFrame:
-        paths = [f"segment={seg}/day={day}" for seg in sorted(days) for day in sorted(days[seg])]
-        return self.read_paths(table, schema, paths)
-
-    def read_paths(self, table: str, schema: T.StructType, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], schema)
+    def read_days(
+        self, table: str, days: Days, streams: dict[str, int], names: list[str] | None = None
+    ) -> DataFrame:
+        """The rows that show of the given days; other days are not listed."""
+        shape = S.TABLES[table]
+        names = names or shape.names
+        if not days:
+            return self.spark.createDataFrame([], T.StructType([shape[n] if n != "segment" else _SEGMENT for n in names]))
+        alike: dict[str, list[str]] = {}
+        for day, view in days.items():
+            alike.setdefault(json.dumps([view.after, view.extra], sort_keys=True), []).append(day)
+        shown = F.lit(False)
+        for group in alike.values():
+            shown = shown | (F.col("day").isin(*map(date.fromisoformat, group)) & days[group[0]].shows(streams))
         base = f"{self.root}/{table}"
-        return (
-            self.spark.read.schema(schema)
-            .option("basePath", base)
-            .parquet(*(f"{base}/{path}" for path in paths))
-            .select(*schema.names)
-        )
+        paths = [f"{base}/day={day}" for day in sorted(days)] if len(days) <= MOST_DAY_PATHS else [base]
+        return self._read(table, paths).filter(shown).select(*names)
+
+    def _read(self, table: str, paths: list[str]) -> DataFrame:
+        shape = T.StructType([*(f for f in S.TABLES[table].fields if f.name != "day"), S.DAY, _SEGMENT])
+        return self.spark.read.schema(shape).option("basePath", f"{self.root}/{table}").parquet(*paths)
 
     # writing
 
+    def new_segment(self, kind: str, version: int) -> str:
+        """A name of its own for what a maintenance job writes."""
+        return f"{kind}-{version:0{_MANIFEST_DIGITS}d}-{uuid.uuid4().hex[:8]}"
+
+    def clock(self, segment: str, now: datetime | None = None) -> datetime:
+        """The moment a batch is judged at: the one noted when it was first begun, if it was.
+
+        A batch that is done again after a crash then accepts the same logs and writes
+        over the same folders.
+        """
+        path = f"{self.root}/begun/{segment}"
+        note = files.try_read_text(self.spark, path)
+        if note:
+            return parse_iso(note)
+        now = now or datetime.now(UTC)
+        files.write_text(self.spark, path, format_iso(now), over=True)
+        return now
+
     def write_logs(self, logs: DataFrame, segment: str) -> None:
         self._write(logs.select(*S.LOG.names), "logs", segment)
 
     def write_rollups(self, rollups: DataFrame, segment: str) -> None:
         self._write(rollups.select(*S.ROLLUP.names), "rollups", segment)
 
-    def write_outcomes(self, outcomes: DataFrame, segment: str) -> None:
-        path = f"{self.root}/outcomes/segment={segment}"
-        outcomes.select(*S.OUTCOME.names).write.mode("overwrite").parquet(path)
+    def write_outcomes(self, outcomes: DataFrame, segment: str, day: date | None = None) -> None:
+        """``day`` is the one all outcomes were taken in on, unless they say it themselves."""
+        if day is not None:
+            outcomes = outcomes.withColumn("day", F.lit(day))
+        self._write(outcomes.select(*S.OUTCOME.names, "day"), "outcomes", segment)
 
     def _write(self, rows: DataFrame, table: str, segment: str) -> None:
-        """Overwrites the segment: doing a batch again leaves one copy of it."""
+        """Overwrites the days of the segment: doing a batch again leaves one copy of it."""
         (
-            rows.write.mode("overwrite")
+            rows.withColumn("segment", F.lit(segment))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
             .option("compression", "zstd")
-            .partitionBy("day")
-            .parquet(f"{self.root}/{table}/segment={segment}")
+            .partitionBy("day", "segment")
+            .parquet(f"{self.root}/{table}")
         )
 
-    def rollup_rows(self, segment: str) -> dict[str, int]:
-        """Logs per day of a segment, added up from its (much smaller) rollup."""
-        rows = self._segment("rollups", S.ROLLUP, segment).groupBy("day").agg(F.sum("count"))
-        return {day.isoformat(): count for day, count in rows.collect()}
-
-    def log_rows(self, segment: str) -> dict[str, int]:
-        rows = self._segment("logs", S.LOG, segment).groupBy("day").count()
-        return {day.isoformat(): count for day, count in rows.collect()}
-
-    def _segment(self, table: str, schema: T.StructType, segment: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/segment={segment}")
+    def segment_rows(self, table: str, segment: str) -> dict[str, int]:
+        """Logs per day of a segment as written, from its rows or its (much smaller) rollup."""
+        days = files.find(self.spark, f"{self.root}/{table}/day=*/segment={segment}")
+        if not days:
+            return {}
+        count = F.sum("count") if table == "rollups" else F.count(F.lit(1))
+        rows = self._read(table, days).groupBy("day").agg(count.alias("n"))
+        return {r["day"].isoformat(): r["n"] for r in rows.collect()}
 
     def commit(
         self,
@@ -196,9 +296,10 @@ class LogStore:
             newest=max(known, default=None),
             commit=record,
         )
-        name = f"{manifest.version:0{_MANIFEST_DIGITS}d}.json"
         text = json.dumps(asdict(manifest), separators=(",", ":"))
-        files.write_text(self.spark, f"{self.root}/manifest/{name}", text)
+        files.write_text(self.spark, self._manifest_path(manifest.version), text)
+        files.write_text(self.spark, f"{self.root}/manifest/_last", str(manifest.version), over=True)
+        files.delete(self.spark, f"{self.root}/begun/{segment}")
         return manifest
 
     def vacuum(self, older_than: timedelta, now: datetime | None = None) -> int:
@@ -214,18 +315,16 @@ class LogStore:
             for name, changed in self._manifest_files()[:-1]
             if changed < before
         ]
-        for table, kept in (("logs", live.logs), ("rollups", live.rollups)):
-            for segment, changed in files.list_names(self.spark, f"{self.root}/{table}"):
-                name = segment.removeprefix("segment=")
-                if name not in kept:
-                    gone += [f"{table}/{segment}"] if changed < before else []
+        for table in TABLES:
+            days = getattr(live, table)
+            for folder, _ in files.list_names(self.spark, f"{self.root}/{table}"):
+                view = days.get(folder.removeprefix("day="))
+                if not folder.startswith("day="):
                     continue
-                for day, day_changed in files.list_names(self.spark, f"{self.root}/{table}/{segment}"):
-                    if day.startswith("day=") and day.removeprefix("day=") not in kept[name]:
-                        gone += [f"{table}/{segment}/{day}"] if day_changed < before else []
-        for segment, changed in files.list_names(self.spark, f"{self.root}/outcomes"):
-            if segment.removeprefix("segment=") not in live.outcomes and changed < before:
-                gone.append(f"outcomes/{segment}")
+                for segment, changed in files.list_names(self.spark, f"{self.root}/{table}/{folder}"):
+                    name = segment.removeprefix("segment=")
+                    if changed < before and not (view and view.holds(name, live.streams)):
+                        gone.append(f"{table}/{folder}/{segment}")
         versions = [int(name[9:-5]) for name in gone if name.startswith("manifest/")]
         if versions:
             past = self.commits().filter(F.col("version") <= max(versions))
@@ -241,15 +340,13 @@ class LogStore:
         return sorted(entry for entry in found if entry[0].endswith(".json"))
 
 
-def _within(
-    days: dict[str, list[str]], since: datetime | None, until: datetime | None
-) -> dict[str, list[str]]:
+_SEGMENT = T.StructField("segment", T.StringType())
+
+
+def _within(days: Days, since: datetime | None, until: datetime | None) -> Days:
     first = None if since is None else utc_day(since).isoformat()
     last = None if until is None else utc_day(until - MICROSECOND).isoformat()
     return {
-        segment: [
-            day for day in found
-            if (first is None or day >= first) and (last is None or day <= last)
-        ]
-        for segment, found in days.items()
+        day: view for day, view in days.items()
+        if (first is None or day >= first) and (last is None or day <= last)
     }

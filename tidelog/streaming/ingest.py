@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.functions.timeutil import EPOCH, MICROSECOND, UTC, format_iso
+from tidelog.functions.timeutil import EPOCH, MICROSECOND, utc_day
 from tidelog.operators.aggregate import minute_rollup, with_day
 from tidelog.operators.layout import batch_layout
-from tidelog.operators.numbering import join_metadata, number_split_rows
-from tidelog.operators.validate import check_entries, request_outcomes, split_checked
-from tidelog.sources.requests import SPLIT, read_requests, request_entries
-from tidelog.sources.store import LogStore, Manifest
+from tidelog.operators.numbering import join_metadata, split_offsets
+from tidelog.operators.validate import accepted_count, accepted_logs, check_requests, request_outcomes
+from tidelog.sources.requests import SPLIT, read_requests
+from tidelog.sources.store import LogStore, Manifest, add_batch, batch_segment
 
 # Requests are collected for this long before they are written as one batch.
 DEFAULT_INTERVAL = "10 seconds"
@@ -60,38 +60,41 @@ def ingest_batch(
     """Store one batch of requests and make it visible with one commit.
 
     A batch that was committed before is skipped; one that was cut off is
-    written again over its own leftovers. Ids follow reading order and depend
-    only on the last commit and the requests. ``as_of`` is the clock of the future
-    check; where it is not given, a second try reads the clock anew.
+    written again over its own leftovers, judged by the clock it was begun with.
+    Ids follow reading order and depend only on the last commit and the requests.
+    ``as_of`` is the clock of the future check where none was noted.
     """
     manifest = store.manifest()
     if manifest.streams.get(stream, -1) >= batch_id:
         return None
-    segment = f"{stream}-{batch_id:010d}"
-    as_of = as_of or datetime.now(UTC)
+    segment = batch_segment(stream, batch_id)
+    as_of = store.clock(segment, as_of)
     requests = requests.withColumn("request_row", F.monotonically_increasing_id())
-    checked = check_entries(request_entries(requests), as_of).persist()
+    checked = check_requests(requests, as_of).withColumn("_accepted", accepted_count())
+    checked = checked.persist()
     try:
-        valid, _ = split_checked(checked)
-        valid = valid.withColumn("_at", F.monotonically_increasing_id())
-        numbered, total = number_split_rows(valid, SPLIT, "_at")
-        span = Observation()
+        splits, size, total, tasks = split_offsets(checked, SPLIT, "request_row", "_accepted")
+        span, counted = Observation(), Observation()
         days: dict[str, int] = {}
         if total:
-            store.write_rollups(with_day(minute_rollup(valid), "bucket_start"), segment)
-            days = store.rollup_rows(segment)
-            start = F.lit(manifest.next_id).cast("long")
-            logs = with_day(numbered.withColumn("id", start + F.col("number")), "timestamp")
-            logs = logs.observe(
+            valid = accepted_logs(checked).withColumn("_at", F.monotonically_increasing_id())
+            days = {r["day"].isoformat(): r["n"] for r in with_day(valid, "timestamp").groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}
+            minutes = with_day(minute_rollup(valid), "bucket_start").observe(counted, F.sum("count").alias("logs"))
+            store.write_rollups(minutes, segment)
+            if counted.get["logs"] != total:
+                raise RuntimeError(f"batch {segment}: {total} logs, {counted.get['logs']} in the rollup")
+            number = F.col("shift") + F.col("_at") - F.col("first_item")
+            logs = join_metadata(valid, splits, SPLIT, size).withColumn("id", F.lit(manifest.next_id).cast("long") + number)
+            logs = with_day(logs, "timestamp").observe(
                 span,
                 F.min(F.unix_micros("timestamp")).alias("oldest"),
                 F.max(F.unix_micros("timestamp")).alias("newest"),
             )
-            tasks = checked.rdd.getNumPartitions()
             store.write_logs(batch_layout(logs, tasks, days), segment)
-        store.write_outcomes(_outcomes(checked), segment)
-        if sum(days.values()) != total:
-            raise RuntimeError(f"batch {segment}: {total} logs, {sum(days.values())} in the rollup")
+        taken_in = utc_day(as_of)
+        told = Observation()
+        store.write_outcomes(_outcomes(checked, splits, size).observe(told, F.count(F.lit(1)).alias("requests")), segment, taken_in)
+        answered = {taken_in.isoformat(): told.get["requests"]} if size else {}
     finally:
         checked.unpersist()
     moments = [_moment(span.get[name]) for name in ("oldest", "newest")] if total else [None, None]
@@ -100,9 +103,9 @@ def ingest_batch(
             manifest,
             next_id=manifest.next_id + total,
             streams={**manifest.streams, stream: batch_id},
-            logs={**manifest.logs, **({segment: days} if days else {})},
-            rollups={**manifest.rollups, **({segment: sorted(days)} if days else {})},
-            outcomes={**manifest.outcomes, segment: format_iso(datetime.now(UTC))},
+            logs=add_batch(manifest.logs, days, manifest.streams),
+            rollups=add_batch(manifest.rollups, days, manifest.streams),
+            outcomes=add_batch(manifest.outcomes, answered, manifest.streams),
         ),
         "ingest",
         segment,
@@ -111,14 +114,12 @@ def ingest_batch(
     )
 
 
-def _outcomes(checked: DataFrame) -> DataFrame:
+def _outcomes(checked: DataFrame, splits: DataFrame, size: int) -> DataFrame:
     """Outcome per request, named by file, split and row within the split."""
-    first = checked.groupBy(*SPLIT).agg(F.min("request_row").alias("_first"))
-    outcomes = join_metadata(
-        request_outcomes(checked, [*SPLIT, "request_row"]), first, SPLIT, first.count()
-    )
-    row = F.col("request_row") - F.col("_first")
-    return outcomes.withColumn("request_id", F.concat_ws("#", "file_path", "file_block", row))
+    placed = join_metadata(checked.drop("_accepted"), splits.select(*SPLIT, "first_row"), SPLIT, size)
+    row = F.col("request_row") - F.col("first_row")
+    name = F.concat_ws("#", "file_path", "file_block", row)
+    return request_outcomes(placed.select(name.alias("request_id"), "checks"))
 
 
 def _moment(micros: int) -> datetime:
