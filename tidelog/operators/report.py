@@ -20,40 +20,37 @@ def latency_summary(
 ) -> DataFrame:
     """avg, min, max and percentiles per group.
 
-    Percentiles interpolate between neighbours and are exact; with ``accuracy``
-    they are approximate and take a single aggregation.
+    Percentiles interpolate between neighbours and are exact: the results are read once
+    and counted by value, and all figures come from the counts. With ``accuracy`` the
+    percentiles are approximate and take a single aggregation.
     """
-    basic = results.groupBy(group).agg(
-        F.count(value).alias("samples"), F.avg(value).alias("avg"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-        *(
-            F.percentile_approx(value, p, accuracy).alias(name)
-            for name, p in PERCENTILES.items()
-            if accuracy is not None
-        ),
-    )
     if accuracy is not None:
-        return basic
-    exact = percentiles(results, group, value, PERCENTILES).withColumnRenamed(group, "_group")
-    joined = basic.join(exact, F.col(group).eqNullSafe(F.col("_group")))
-    return joined.select(*basic.columns, *PERCENTILES)
-
-
-def percentiles(
-    rows: DataFrame, group: str, value: str, wanted: dict[str, float]
+        return results.groupBy(group).agg(
+            F.count(value).alias("samples"), F.avg(value).alias("avg"),
+            F.min(value).alias("min"), F.max(value).alias("max"),
+            *(F.percentile_approx(value, p, accuracy).alias(name) for name, p in PERCENTILES.items()),
+        )
+    counts = results.groupBy(group, value).agg(F.count(value).alias("_n"))
+    figures = {
+        "samples": F.sum("_n"), "_sum": F.sum(F.col(value) * F.col("_n")), "min": F.min(value), "max": F.max(value),
+    }
+    found = ranked_figures(counts, group, value, "_n", PERCENTILES, figures)
+    average = F.when(F.col("samples") > 0, F.col("_sum") / F.col("samples")).alias("avg")
+    return found.select(group, "samples", average, "min", "max", *PERCENTILES)
+
+
+def ranked_figures(
+    counts: DataFrame, group: str, value: str, times: str, wanted: dict[str, float], figures: dict[str, Column]
 ) -> DataFrame:
-    """Exact interpolated percentiles per group, however large a group is.
+    """Exact interpolated percentiles per group, and other ``figures``, however large a group is.
 
-    Equal values are counted first, then a distributed running total gives each
-    distinct value the ranks it covers, and only the values at the wanted ranks
-    remain. No task holds a whole group.
+    ``counts`` say how many ``times`` each value occurs in its group (0 for rows that only
+    make the group show). A distributed running total gives each value the ranks it
+    covers; no task holds a whole group.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    ranked = running_total(counts, [F.col(group), F.col(value)], "_n", "_upto")
+    ranked = running_total(counts, [F.col(group), F.col(value)], times, "_upto")
     groups = ranked.groupBy(F.col(group).alias("_group")).agg(
-        F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_total")
+        F.min(F.col("_upto") - F.col(times)).alias("_start"), F.sum(times).alias("_total")
     )
     small = groups.select(
         F.coalesce(F.col("_group").cast("string"), F.lit("")).alias("_key"),
@@ -64,10 +61,10 @@ def percentiles(
     )
     placed = join_metadata(keyed, small, ["_key", "_null"], groups.count())
     last = F.col("_upto") - F.col("_start") - 1
-    first = last - F.col("_n") + 1
+    first = last - F.col(times) + 1
 
     def at_rank(rank: Column) -> Column:
-        return F.max(F.when(rank.between(first, last), F.col(value)))
+        return F.max(F.when((F.col(times) > 0) & rank.between(first, last), F.col(value)))
 
     found, result = [], []
     for name, p in wanted.items():
@@ -79,7 +76,8 @@ def percentiles(
         ]
         low, high, part = (F.col(f"_{name}_{end}") for end in ("low", "high", "part"))
         result.append((low + (high - low) * part).alias(name))
-    return placed.groupBy(group).agg(*found).select(group, *result)
+    more = [column.alias(name) for name, column in figures.items()]
+    return placed.groupBy(group).agg(*more, *found).select(group, *figures, *result)
 
 
 def status_summary(
@@ -158,8 +156,9 @@ def visibility_lag(logs: DataFrame, commits: DataFrame, bound_seconds: int = 20)
     """How long after its timestamp each segment's logs could be queried.
 
     ``logs`` carry ``segment`` and ``timestamp``; ``commits`` hold one row per
-    segment with ``committed_at``. Percentiles interpolate and are exact: the lags
-    of a segment are counted by value, in whole milliseconds, before its rows meet.
+    segment with ``committed_at``. Percentiles interpolate and are exact, in whole
+    milliseconds of the event time: logs are counted by segment and millisecond, and
+    ranked over the counts, so no task holds a segment.
     """
     ages = logs.select("segment", epoch_micros(logs, "timestamp").alias("_at"))
     ages = ages.withColumn("_ms", F.floor(F.col("_at") / 1000))
@@ -167,17 +166,16 @@ def visibility_lag(logs: DataFrame, commits: DataFrame, bound_seconds: int = 20)
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"), F.max("_at").alias("_high")
     )
     points = [0.5, 0.95, 0.99]
-    span = counted.groupBy("segment").agg(
-        F.sum("_n").alias("logs"), F.min("_low").alias("oldest"), F.max("_high").alias("newest"),
-        F.percentile("_ms", F.array(*[F.lit(1 - p) for p in points]), F.col("_n")).alias("_ages"),
-    )
+    figures = {"logs": F.sum("_n"), "oldest": F.min("_low"), "newest": F.max("_high")}
+    # The age that p of the logs stay below is the time that 1 - p of them lie before.
+    span = ranked_figures(counted, "segment", "_ms", "_n", {f"_age{i}": 1 - p for i, p in enumerate(points)}, figures)
     stamped = commits.filter(F.col("kind").isin("ingest", "backfill")) if "kind" in commits.columns else commits
     committed = span.join(
         stamped.select("segment", epoch_micros(stamped, "committed_at").alias("_done")), "segment"
     )
     longest, shortest = ((F.col("_done") - F.col(c)) / 1e6 for c in ("oldest", "newest"))
     usual = [
-        ((F.floor(F.col("_done") / 1000) - F.col("_ages")[i]) / 1e3).alias(f"p{round(100 * p)}_lag_s")
+        ((F.floor(F.col("_done") / 1000) - F.col(f"_age{i}")) / 1e3).alias(f"p{round(100 * p)}_lag_s")
         for i, p in enumerate(points)
     ]
     return committed.select(
