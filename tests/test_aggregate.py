@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -18,47 +19,71 @@ from tidelog.operators.aggregate import (
 from tidelog.plans.params import AggregateQuery
 
 UTC = timezone.utc
-SUITE = "meter"
-RANGE = {"since": "2031-03-04T10:00:00Z", "until": "2031-03-04T10:02:00Z"}
+FIRST = datetime(2027, 2, 28, 23, 58, 41, tzinfo=UTC)
+# One log every 17.000003 seconds, over the end of a month; the hours hold different services.
+LOGS = [
+    (FIRST + n * timedelta(seconds=17, microseconds=3), "error" if n % 7 == 2 else "info", f"pump{n % 4 + n // 150}", f"flow {n % 13}", n % 6)
+    for n in range(400)
+]
+RANGE = {"since": "2027-02-28T23:59:07.5Z", "until": "2027-03-01T01:40:33Z"}
+WIDTHS = {"1m": 60, "5m": 300, "1h": 3600, "1d": 86400}
 
 
 @pytest.fixture(scope="module", params=["timestamp", "timestamp_ntz"])
-def three(spark, request):
-    rows = [
-        ("2031-03-04 10:00:10", "info", SUITE, "one"),
-        ("2031-03-04 10:00:30", "error", SUITE, "two"),
-        ("2031-03-04 10:01:10", "error", SUITE, "three"),
-    ]
-    df = spark.createDataFrame(rows, "timestamp string, level string, service string, message string")
-    return df.withColumn("timestamp", F.col("timestamp").cast(request.param)).withColumn(
-        "attributes", F.lit('{"a":1.0}')
-    )
+def logs(spark, request):
+    rows = [(t.replace(tzinfo=None).isoformat(" "), level, service, message, f'{{"valve": {valve}.0}}') for t, level, service, message, valve in LOGS]
+    df = spark.createDataFrame(rows, "timestamp string, level string, service string, message string, attributes string")
+    return df.withColumn("timestamp", F.col("timestamp").cast(request.param)).cache()
+
+
+def expected(bucket, group=None, keep=lambda *log: True):
+    """Counts by bucket and group, of the logs inside the range that are kept."""
+    since, until = (datetime.fromisoformat(RANGE[end]) for end in ("since", "until"))
+    counts = Counter()
+    for log in LOGS:
+        if since <= log[0] < until and keep(*log):
+            start = int(log[0].timestamp()) // WIDTHS[bucket] * WIDTHS[bucket]
+            value = {"level": log[1], "service": log[2], None: None}[group]
+            counts[datetime.fromtimestamp(start, UTC).replace(tzinfo=None), value] += 1
+    return counts
+
 
+def counted(rows):
+    found = Counter({(r["bucket_start"], r["group_value"]): r["count"] for r in rows.collect()})
+    return Counter({(start if start.tzinfo is None else start.astimezone(UTC).replace(tzinfo=None), value): n for (start, value), n in found.items()})
 
-def test_minute_rollup(three):
-    assert minute_rollup(three).count() == 3
 
+def test_minute_rollup(logs):
+    keys = {(t.replace(second=0, microsecond=0), service, level) for t, level, service, _, _ in LOGS}
+    rolled = minute_rollup(logs)
+    assert rolled.count() == len(keys) and rolled.agg(F.sum("count")).first()[0] == len(LOGS)
 
-def test_counts_per_minute(three):
-    query = AggregateQuery(**RANGE, bucket="1m", service=SUITE)
-    for rows in (aggregate_raw(three, query), aggregate(three, minute_rollup(three), query)):
-        assert [(r["group_value"], r["count"]) for r in rows.collect()] == [(None, 2), (None, 1)]
 
+@pytest.mark.parametrize("bucket", list(WIDTHS))
+@pytest.mark.parametrize("group", [None, "level", "service"])
+def test_counts_by_bucket_and_group(logs, bucket, group):
+    query = AggregateQuery(**RANGE, bucket=bucket, group_by=group)
+    for rows in (aggregate_raw(logs, query), aggregate(logs, minute_rollup(logs), query)):
+        assert counted(rows) == expected(bucket, group)
 
-def test_counts_per_level(three):
-    query = AggregateQuery(**RANGE, bucket="1h", group_by="level")
-    for rows in (aggregate_raw(three, query), aggregate(three, minute_rollup(three), query)):
-        assert [(r["group_value"], r["count"]) for r in rows.collect()] == [("error", 2), ("info", 1)]
 
+def test_counts_of_one_level_and_service(logs):
+    query = AggregateQuery(**RANGE, bucket="5m", level="error", service="pump2")
+    for rows in (aggregate_raw(logs, query), aggregate(logs, minute_rollup(logs), query)):
+        assert counted(rows) == expected("5m", None, lambda t, level, service, m, v: (level, service) == ("error", "pump2"))
 
-def test_text_and_attributes_go_to_the_raw_path(three):
-    empty = minute_rollup(three).limit(0)
-    for filters, count in (({"q": "T"}, 2), ({"attributes": {"a": "1"}}, 3)):
-        query = AggregateQuery(**RANGE, bucket="1d", **filters)
-        assert not can_use_rollup(query)
-        assert [r["count"] for r in aggregate(three, empty, query).collect()] == [count]
-        with pytest.raises(ValueError):
-            aggregate_rollup(empty, three, query)
+
+@pytest.mark.parametrize(
+    "filters, keep",
+    [({"q": "FLOW 1"}, lambda t, level, s, message, v: "flow 1" in message), ({"attributes": {"valve": "4"}}, lambda t, level, s, m, valve: valve == 4)],
+)
+def test_text_and_attributes_go_to_the_raw_path(logs, filters, keep):
+    empty = minute_rollup(logs).limit(0)
+    query = AggregateQuery(**RANGE, bucket="1h", **filters)
+    assert not can_use_rollup(query)
+    assert counted(aggregate(logs, empty, query)) == expected("1h", None, keep)
+    with pytest.raises(ValueError):
+        aggregate_rollup(empty, logs, query)
 
 
 def at(text):

@@ -1,3 +1,4 @@
+import json
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
@@ -5,69 +6,117 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions.cursor import LogCursor
-from tidelog.functions.timeutil import parse_iso, time_literal
+from tidelog.functions.timeutil import format_iso, parse_iso, time_literal
 from tidelog.operators.search import paged_export, search, search_page, search_pages, time_slices
 from tidelog.plans.params import LogQuery
 
 UTC = timezone.utc
-SUITE = "kitchen"
+FIRST = datetime(2029, 11, 5, 23, 47, tzinfo=UTC)
+LEVELS = ("warn", "debug", "error", "info")
+# Seven logs share each moment, and the moments lie 11 minutes and a bit apart, over a midnight.
+LOGS = [
+    {
+        "id": 900 - 3 * n,
+        "timestamp": FIRST + timedelta(minutes=11, microseconds=1) * (n * n % 12),
+        "level": LEVELS[n * 5 % 4],
+        "service": ("ship", "dock", "Ship")[n % 3],
+        "message": f"crate {n % 9} of {'Grain' if n % 4 else 'timber'}",
+        "attributes": {"bay": str(n % 5), "cold": "true" if n % 2 else "false"} if n % 6 else {},
+    }
+    for n in range(84)
+]
 
 
 @pytest.fixture(scope="module", params=["timestamp", "timestamp_ntz"])
-def three(spark, request):
+def logs(spark, request):
     rows = [
-        (1, "2031-03-04 10:00:00", "info", SUITE, "Kettle filled", '{"region":"eu"}'),
-        (2, "2031-03-04 10:01:00", "error", SUITE, "Kettle spilled", '{"region":"eu"}'),
-        (3, "2031-03-04 10:02:00", "warn", SUITE, "Tap dripping", '{"region":"us"}'),
+        (r["id"], format_iso(r["timestamp"])[:-1], r["level"], r["service"], r["message"], json.dumps(r["attributes"]))
+        for r in LOGS
     ]
     names = "id long, timestamp string, level string, service string, message string, attributes string"
     df = spark.createDataFrame(rows, names)
-    return df.withColumn("timestamp", F.col("timestamp").cast(request.param))
+    return df.withColumn("timestamp", F.col("timestamp").cast(request.param)).cache()
 
 
-def messages(page):
-    return [row["message"] for row in page.logs]
+def expected(**wanted):
+    """Ids of the logs a query finds, newest first, those of one moment by falling id."""
 
+    def fits(log):
+        return (
+            all(log[name] == wanted[name] for name in ("level", "service") if name in wanted)
+            and wanted.get("q", "").lower() in log["message"].lower()
+            and all(log["attributes"].get(k) == v for k, v in wanted.get("attributes", {}).items())
+            and ("since" not in wanted or log["timestamp"] >= parse_iso(wanted["since"]))
+            and ("until" not in wanted or log["timestamp"] < parse_iso(wanted["until"]))
+        )
 
-def test_newest_first(three):
-    page = search_page(three, LogQuery(service=SUITE))
-    assert messages(page) == ["Tap dripping", "Kettle spilled", "Kettle filled"]
-    assert page.next_cursor is None
+    return [log["id"] for log in sorted(LOGS, key=lambda r: (r["timestamp"], r["id"]), reverse=True) if fits(log)]
 
 
-def test_combined_filters(three):
-    query = LogQuery(level="error", attributes={"region": "eu"}, q="kettle")
-    assert [r["message"] for r in search(three, query).collect()] == ["Kettle spilled"]
+# A moment that logs have, to the microsecond, and the one after it.
+SEEN = format_iso(FIRST + 4 * timedelta(minutes=11, microseconds=1))
+LATER = format_iso(FIRST + 9 * timedelta(minutes=11, microseconds=1))
 
 
-def test_since_inclusive_until_exclusive(three):
-    query = LogQuery(since="2031-03-04T10:01:00Z", until="2031-03-04T10:02:00Z")
-    assert messages(search_page(three, query)) == ["Kettle spilled"]
+@pytest.mark.parametrize(
+    "wanted",
+    [
+        {},
+        {"service": "ship"},
+        {"level": "error"},
+        {"q": "gRAIN"},
+        {"q": "5 of"},
+        {"attributes": {"bay": "3"}},
+        {"attributes": {"bay": "3", "cold": "true"}, "q": "crate", "level": "warn"},
+        {"since": SEEN},
+        {"until": SEEN},
+        {"since": SEEN, "until": LATER, "service": "Ship"},
+        {"level": "debug", "service": "dock", "q": "timber", "until": LATER},
+    ],
+)
+def test_filters_and_order(logs, wanted):
+    ids = expected(**wanted)
+    assert [r["id"] for r in search(logs, LogQuery(**wanted, limit=1000)).collect()] == ids
+    assert [r["id"] for r in search_page(logs, LogQuery(**wanted, limit=1000)).logs] == ids
 
 
-def test_two_pages(three):
-    first = search_page(three, LogQuery(service=SUITE, limit=2))
-    assert messages(first) == ["Tap dripping", "Kettle spilled"]
-    second = search_page(three, LogQuery(service=SUITE, limit=2, cursor=first.next_cursor))
-    assert messages(second) == ["Kettle filled"] and second.next_cursor is None
+@pytest.mark.parametrize("limit", [1, 5, 28, 83, 84, 85])
+def test_cursors_walk_over_all_logs_once(logs, limit):
+    found, query = [], LogQuery(limit=limit)
+    for turn in range(3 if limit == 1 else 1000):
+        page = search_page(logs, query)
+        found += [r["id"] for r in page.logs]
+        if page.next_cursor is None:
+            assert turn == -(-len(LOGS) // limit) - 1, "a full last page is the last one"
+            break
+        assert len(page.logs) == limit
+        query = replace(query, cursor=page.next_cursor)
+    assert found == expected()[: len(found)] and len(found) >= 3
 
 
-def test_full_last_page_has_no_cursor(three):
-    assert search_page(three, LogQuery(limit=3)).next_cursor is None
+def test_a_cursor_keeps_its_filters_and_range(logs):
+    wanted = {"service": "dock", "since": SEEN}
+    first = search_page(logs, LogQuery(**wanted, limit=4))
+    second = search_page(logs, LogQuery(**wanted, limit=1000, cursor=first.next_cursor))
+    assert [r["id"] for r in first.logs + second.logs] == expected(**wanted)
 
 
 @pytest.mark.parametrize(
-    "query",
+    "wanted",
     [
-        LogQuery(service=f"{SUITE}' OR '1'='1"),
-        LogQuery(q="' OR 1=1 --"),
-        LogQuery(attributes={"region' OR '1'='1": "eu"}),
-        LogQuery(attributes={"missing": "eu"}),
-        LogQuery(attributes={"region": "eu", "missing": ""}),
+        {"service": "ship\" OR \"\" = \""},
+        {"service": "sh%"},
+        {"q": "crate_"},
+        {"q": "%"},
+        {"q": "\\"},
+        {"q": "'); DROP TABLE logs; --"},
+        {"attributes": {"bay') IS NOT NULL OR ('": "1"}},
+        {"attributes": {"$.bay": "1"}},
+        {"attributes": {"bay": "1", "hold": ""}},
     ],
 )
-def test_values_are_data(three, query):
-    assert search_page(three, query).logs == []
+def test_no_value_is_read_as_a_pattern_or_as_code(logs, wanted):
+    assert search(logs, LogQuery(**wanted)).collect() == []
 
 
 def dense(spark, count, same=False):

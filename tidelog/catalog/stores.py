@@ -6,10 +6,12 @@ from datetime import timedelta
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.catalog.counts import NOW, ROLLUP_SQL, count_sql
+from tidelog.catalog.ingest import AS_OF, GOOD_REQUEST_SQL, REASON_SQL, requests
 from tidelog.catalog.registry import COLUMNS_SQL, LOGS_SQL, div, event_logs, query, table
 from tidelog.catalog.searches import NEWEST, RANGE_SQL, SINCE, UNTIL
 from tidelog.functions.timeutil import iso_text, utc_wall_clock
@@ -17,6 +19,7 @@ from tidelog.operators.aggregate import merge_rollups
 from tidelog.operators.maintain import (
     backfill,
     compact_logs,
+    compact_outcomes,
     compact_rollups,
     expire,
     flatten,
@@ -34,6 +37,9 @@ from tidelog.streaming.live import live_rollup
 # Stores made for this session, by kind and data folder: several queries read the same one.
 _STORES: dict[tuple, LogStore] = {}
 
+# Files of requests, and so micro-batches, of the recovered store.
+BATCHES = 5
+
 STORED_SQL = LOGS_SQL.replace("props AS", "replace(props, ' ', '') AS")
 
 
@@ -84,6 +90,40 @@ def ingested(store: LogStore, folder: str) -> None:
     stream.awaitTermination()
 
 
+class CutOffStore(LogStore):
+    """A store whose driver dies once, after a batch was written and before it was committed."""
+
+    def __init__(self, store: LogStore, batch: int) -> None:
+        super().__init__(store.spark, store.root)
+        self.batch = batch
+
+    def commit(self, manifest, kind, segment, *more, **named):
+        if kind == "ingest" and segment.endswith(f"-{self.batch:010d}"):
+            raise ConnectionError(f"cut off before the commit of {segment}")
+        return super().commit(manifest, kind, segment, *more, **named)
+
+
+def recovered(store: LogStore, folder: str) -> None:
+    """Faulty requests in several micro-batches; the middle one is cut off and done again.
+
+    Between the two runs the store is compacted, as another job would.
+    """
+    spark = store.spark
+    source, offsets = new_dir(spark, "requests"), new_dir(spark, "offsets")
+    requests(spark, folder).select("body").repartition(BATCHES).write.text(source)
+    # Less than any file: a batch takes one file, and the others wait in the source.
+    limits = {"maxBytesPerTrigger": 1000, "as_of": AS_OF, "available_now": True}
+    try:
+        start_ingest(CutOffStore(store, BATCHES // 2), source, offsets, **limits).awaitTermination()
+    except StreamingQueryException as error:
+        if "cut off" not in str(error):
+            raise
+    compact_logs(store)
+    compact_rollups(store)
+    compact_outcomes(store)
+    start_ingest(store, source, offsets, **limits).awaitTermination()
+
+
 def worn(store: LogStore, folder: str) -> None:
     """Ingested, compacted, and cleared of all that is old."""
     ingested(store, folder)
@@ -270,6 +310,70 @@ def stream_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TAKEN_IN_SQL = f"""{LOGS_SQL}, checked AS (
+      SELECT logs.*, {GOOD_REQUEST_SQL} AS good, {REASON_SQL} AS reason FROM logs),
+    taken AS (SELECT *, CASE WHEN id % 20 = 0 THEN TIMESTAMP '2024-02-15 00:05:00' ELSE timestamp END AS moment
+              FROM checked WHERE good AND reason IS NULL)"""
+
+
+@query(
+    "recovery_logs",
+    f"""WITH {TAKEN_IN_SQL} SELECT moment AS timestamp, level, service, message,
+      CASE WHEN id % 10 = 9 THEN '{{}}' ELSE replace(attributes, ' ', '') END AS attributes FROM taken""",
+)
+def recovery_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every accepted log once, after a batch was cut off and done again."""
+    logs = shared_store(spark, folder, recovered).snapshot().logs()
+    return as_wall_clock(logs, "timestamp").select(*LOG_COLUMNS[1:])
+
+
+@query(
+    "recovery_outcomes",
+    f"""WITH {TAKEN_IN_SQL}, answers AS (
+      SELECT id // 50 AS request, count(*) FILTER (good AND reason IS NULL) AS accepted,
+        CAST(coalesce(to_json(list({{'index': id % 50, 'reason': reason}} ORDER BY id)
+          FILTER (good AND reason IS NOT NULL)), '[]') AS VARCHAR) AS rejected,
+        CASE WHEN NOT bool_or(good) THEN 'request body must contain a non-empty logs array' END AS error
+      FROM checked GROUP BY 1)
+    SELECT accepted, CAST(CASE WHEN accepted > 0 THEN 200 ELSE 400 END AS INTEGER) AS status,
+      rejected, error, count(*) AS requests FROM answers GROUP BY ALL""",
+)
+def recovery_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of accepted, mixed, rejected and broken requests, one for each."""
+    outcomes = shared_store(spark, folder, recovered).snapshot().outcomes()
+    return outcomes.groupBy("accepted", "status", F.to_json("rejected").alias("rejected"), "error").agg(
+        F.count(F.lit(1)).alias("requests")
+    )
+
+
+@query(
+    "recovery_rollups",
+    f"""WITH {TAKEN_IN_SQL} SELECT date_trunc('minute', moment) AS bucket_start, service, level, count(*) AS count
+      FROM taken GROUP BY 1, 2, 3""",
+)
+def recovery_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    rollups = merge_rollups(shared_store(spark, folder, recovered).snapshot().rollups())
+    return as_wall_clock(rollups, "bucket_start")
+
+
+@query(
+    "recovery_ids",
+    f"""WITH {TAKEN_IN_SQL} SELECT count(*) AS logs, count(*) AS ids, CAST(1 AS BIGINT) AS first,
+      count(*) AS last, CAST({BATCHES} AS BIGINT) AS batches, true AS in_order FROM taken""",
+)
+def recovery_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids have no gap; the batches were committed in order, each of them once."""
+    store = shared_store(spark, folder, recovered)
+    spans = store.commits().filter("kind = 'ingest'").select("segment", "version", "rows")
+    ids = store.snapshot().logs().agg(
+        F.count("id").alias("logs"), F.count_distinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last")
+    )
+    in_order = F.bool_and(F.col("segment") == F.concat(F.lit("ingest-"), F.lpad((F.col("place") - 1).cast("string"), 10, "0")))
+    placed = spans.withColumn("place", F.row_number().over(Window.orderBy("version")))
+    batches = placed.agg(F.count(F.lit(1)).alias("batches"), in_order.alias("in_order"))
+    return ids.join(F.broadcast(batches))
+
+
 @query("live_rollup", ROLLUP_SQL)
 def live_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Stateful counts over the events as a stream, complete result per batch."""

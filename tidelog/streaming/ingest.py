@@ -30,22 +30,25 @@ def start_ingest(
     available_now: bool = False,
     interval: str = DEFAULT_INTERVAL,
     whole_files: bool = False,
+    as_of: datetime | None = None,
     **limits: object,
 ) -> StreamingQuery:
     """Ingest new request files as they appear, or all there are and stop.
 
     No watermark: a log of any age is stored and counted. ``limits`` bound a
     micro-batch (``maxFilesPerTrigger``, ``maxBytesPerTrigger``); more than
-    that waits in the source folder.
+    that waits in the source folder. ``as_of`` judges every batch by one moment
+    instead of the one it was begun at.
     """
-    limits = {"maxFilesPerTrigger": DEFAULT_MAX_FILES} | limits
+    usual = {} if "maxBytesPerTrigger" in limits else {"maxFilesPerTrigger": DEFAULT_MAX_FILES}
+    limits = usual | limits
     requests = read_requests(store.spark, source, True, whole_files, **limits)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return (
         requests.writeStream.queryName(stream)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
-        .foreachBatch(lambda batch, batch_id: ingest_batch(store, batch, batch_id, stream))
+        .foreachBatch(lambda batch, batch_id: ingest_batch(store, batch, batch_id, stream, as_of))
         .start()
     )
 
