@@ -209,3 +209,29 @@ def test_a_backlog_of_many_days_is_clustered(setup, monkeypatch):
     assert rows == [f"{name}{i}" for name in "abcd" for i in range(200)]
     assert len(store.snapshot().day_rows()) == 28
     assert len(logs.inputFiles()) <= 28 + 4
+
+
+def test_a_batch_done_again_is_judged_by_its_first_clock(setup, monkeypatch):
+    store, source, _ = setup
+    write(source, "a", [[entry(1), entry(2, "2026-08-10T12:04:00Z"), entry(3, "2026-08-10T12:06:00Z")]])
+    requests = read_requests(store.spark, source)
+    with monkeypatch.context() as patch:
+        patch.setattr(LogStore, "commit", lambda *args, **kwargs: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError, match="gone"):
+            ingest_batch(store, requests, 0, as_of=NOW)
+    later = NOW.replace(day=20)
+    manifest = ingest_batch(store, requests, 0, as_of=later)
+    assert manifest.next_id == 3, "six minutes ahead then, so not taken in now"
+    assert store.snapshot().outcomes().first()["accepted"] == 2
+    assert list(manifest.outcomes) == ["2026-08-10"]
+
+
+def test_reading_order_over_batches(setup):
+    store, source, checkpoint = setup
+    for number, name in enumerate("cab"):
+        write(source, name, [[entry(i, message=f"{name}{i}") for i in range(20)] for _ in range(3)])
+        os.utime(os.path.join(source, name), (1_700_000_000 + 60 * number,) * 2)
+    run(store, source, checkpoint, maxBytesPerTrigger=10)
+    assert store.manifest().streams == {"ingest": 2}, "a batch takes one file; the others wait"
+    rows = store.snapshot().logs().orderBy("id").select("message").collect()
+    assert [r[0] for r in rows] == [f"{name}{i}" for name in "cab" for _ in range(3) for i in range(20)]

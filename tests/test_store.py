@@ -1,13 +1,16 @@
+from dataclasses import replace
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog import schema as S
 from tidelog.functions.timeutil import time_literal
-from tidelog.operators.aggregate import aggregate_raw, merge_rollups
+from tidelog.operators.aggregate import aggregate_raw, merge_rollups, minute_rollup, with_day
 from tidelog.operators.maintain import (
     backfill,
     compact_logs,
+    compact_outcomes,
     compact_rollups,
     expire,
     flatten,
@@ -16,7 +19,8 @@ from tidelog.operators.maintain import (
 )
 from tidelog.operators.search import search_pages
 from tidelog.plans.params import AggregateQuery, LogQuery
-from tidelog.sources.store import LogStore
+from tidelog.sources import files
+from tidelog.sources.store import LogStore, add_batch, batch_segment
 
 UTC = timezone.utc
 START = datetime(2023, 12, 30, tzinfo=UTC)
@@ -211,3 +215,117 @@ def test_wall_clock_backfill_ignores_the_session_zone(new_york, tmp_path):
     snapshot = made.snapshot()
     assert snapshot.logs().select(F.unix_micros("timestamp")).distinct().collect()[0][0] == 1710037800000000
     assert snapshot.newest == datetime(2024, 3, 10, 2, 30, tzinfo=UTC)
+
+
+def ingest_days(store, batch, *days):
+    """A batch of a stream with one log a day, as the ingest job commits it."""
+    manifest = store.manifest()
+    segment = batch_segment("s", batch)
+    rows = store.spark.createDataFrame(
+        [(batch * 100 + i, datetime.fromisoformat(f"{day}T12:00:00"), "info", "a", f"b{batch}", "{}", {}, date.fromisoformat(day)) for i, day in enumerate(days)],
+        S.LOG,
+    )
+    store.write_logs(rows, segment)
+    store.write_rollups(with_day(minute_rollup(rows), "bucket_start"), segment)
+    counts = dict.fromkeys(days, 1)
+    views = [add_batch(table, counts, manifest.streams) for table in (manifest.logs, manifest.rollups)]
+    return store.commit(replace(manifest, streams={**manifest.streams, "s": batch}, logs=views[0], rollups=views[1]), "ingest", segment, len(days))
+
+
+def shown(store):
+    return sorted((str(r["day"]), r["message"]) for r in store.snapshot().logs().collect())
+
+
+@pytest.fixture
+def streamed(spark, tmp_path):
+    made = LogStore(spark, str(tmp_path / "streamed"))
+    for batch in range(3):
+        ingest_days(made, batch, "2024-05-01", f"2024-05-0{2 + batch}")
+    return made
+
+
+def test_batches_compactions_and_batches_again(streamed):
+    everything = shown(streamed)
+    assert len(everything) == 6
+    old = streamed.snapshot()
+    compact_logs(streamed, [date(2024, 5, 1), date(2024, 5, 3)])
+    compact_rollups(streamed)
+    assert shown(streamed) == everything
+    ingest_days(streamed, 3, "2024-05-01", "2024-05-03")
+    assert shown(streamed) == sorted([*everything, ("2024-05-01", "b3"), ("2024-05-03", "b3")])
+    assert old.logs().count() == 6 and totals(streamed.snapshot())[0] == streamed.snapshot().day_rows() == totals(streamed.snapshot())[1]
+    assert streamed.vacuum(timedelta(days=-1)) > 0
+    assert len(shown(streamed)) == 8, "what the views show stays"
+    compact_logs(streamed)
+    assert len(shown(streamed)) == 8
+
+
+def test_unfinished_batches_and_other_streams_do_not_show(streamed):
+    rows = streamed.snapshot().logs().drop("segment")
+    for segment in ("s-0000000007", "s-x", "s-00000000001", "other-0000000001", "logs-000000000002-abcdef01"):
+        streamed.write_logs(rows, segment)
+    assert streamed.snapshot().logs().count() == 6
+    assert streamed.vacuum(timedelta(days=1)) == 0
+    streamed.vacuum(timedelta(days=-1))
+    assert streamed.snapshot().logs().count() == 6
+
+
+def test_a_dropped_day_does_not_come_back(streamed):
+    expire(streamed, datetime(2024, 6, 2, tzinfo=UTC), 30)
+    assert [day for day, _ in shown(streamed)] == ["2024-05-03", "2024-05-04"]
+    ingest_days(streamed, 3, "2024-05-01")
+    assert shown(streamed) == [("2024-05-01", "b3"), ("2024-05-03", "b1"), ("2024-05-04", "b2")]
+    streamed.vacuum(timedelta(days=-1))
+    assert len(shown(streamed)) == 3
+
+
+def test_commits_do_not_grow_with_their_number(streamed):
+    def size():
+        return len(files.read_text(streamed.spark, streamed._manifest_path(streamed.manifest().version)))
+
+    manifest = streamed.manifest()
+    for batch in range(3, 60):
+        logs = add_batch(manifest.logs, {"2024-05-01": 1, "2024-05-04": 1}, manifest.streams)
+        manifest = streamed.commit(replace(manifest, streams={"s": batch}, logs=logs), "ingest", batch_segment("s", batch), 2)
+        if batch == 10:
+            early = size()
+    assert abs(size() - early) <= 12
+    files.delete(streamed.spark, f"{streamed.root}/manifest/_last")
+    assert streamed.manifest() == manifest, "the note of the last version is only a shortcut"
+    files.write_text(streamed.spark, f"{streamed.root}/manifest/_last", "7", over=True)
+    assert streamed.manifest() == manifest
+
+
+def test_segments_are_pruned_by_name(streamed):
+    compact_logs(streamed)
+    plan = streamed.snapshot().logs()._jdf.queryExecution().executedPlan().toString()
+    assert "segment" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
+def test_outcomes_lie_by_day_and_can_be_compacted(spark, streamed):
+    rows = spark.createDataFrame([(f"r{i}", 1, [], 200, None) for i in range(4)], S.OUTCOME)
+    manifest = streamed.manifest()
+    for batch, day in ((3, "2024-05-09"), (4, "2024-05-09")):
+        streamed.write_outcomes(rows, batch_segment("s", batch), date.fromisoformat(day))
+        outcomes = add_batch(manifest.outcomes, {day: 4}, manifest.streams)
+        manifest = streamed.commit(replace(manifest, streams={"s": batch}, outcomes=outcomes), "ingest", batch_segment("s", batch), 0)
+    before = rows_of(streamed.snapshot().outcomes().drop("rejected"))
+    assert len(before) == 8
+    compact_outcomes(streamed)
+    assert rows_of(streamed.snapshot().outcomes().drop("rejected")) == before
+    assert compact_outcomes(streamed, [date(1999, 1, 1)]) is None
+    expire(streamed, datetime(2024, 7, 1, tzinfo=UTC), 30)
+    assert streamed.snapshot().outcomes().count() == 0
+
+
+def test_both_searches_read_few_files_after_a_compaction(spark, tmp_path):
+    made = LogStore(spark, str(tmp_path / "laid"))
+    i = F.col("i")
+    backfill(made, flat_logs(spark, 4000, 1).withColumn("i", F.col("id")).withColumn("service", F.concat(F.lit("u"), i * 7 % 16)).drop("i"))
+    compact_logs(made, rows_per_file=250)
+    logs = made.snapshot().logs()
+    spans = logs.groupBy(F.input_file_name()).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.min("service").alias("s"), F.max("service").alias("t")).collect()
+    assert len(spans) >= 12
+    newest = logs.agg(F.max("timestamp")).first()[0]
+    assert sum(r["b"] >= newest - timedelta(minutes=30) for r in spans) <= 6
+    assert sum(r["s"] <= "u5" <= r["t"] for r in spans) <= 8

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 5_000_000
 LEAST_ROWS_PER_TASK = 50_000
+# Time is cut into so many slices at most, which get longer beyond that.
+MOST_SLICES = 500
 # Above this many files (tasks times days) a batch is brought together before the write.
 MAX_BATCH_FILES = 2_000
 
 
 def read_layout() -> list[Column]:
-    """Order of rows in compacted files: narrow ranges of day, service and time each."""
+    """Order of rows in the files of a batch: narrow ranges of day, service and time each."""
     return [F.col("day"), F.col("service"), F.desc("timestamp"), F.desc("id")]
 
 
@@ -21,6 +25,23 @@ def clustered(rows: DataFrame, order: list[Column], files: int) -> DataFrame:
     return rows.repartitionByRange(max(files, 1), *order).sortWithinPartitions(*order)
 
 
+def interleaved(rows: DataFrame, files: int, days: int) -> DataFrame:
+    """Files that serve both newest-first searches and those of one service.
+
+    Time is cut at quantiles of the rows into about as many slices a day as files lie in
+    each slice, and a slice is laid out by service. A search for the newest logs reads
+    the files of one slice, a search of a service one file of each slice.
+    """
+    slices = max(1, round(math.sqrt(files / max(days, 1))) * days)
+    slices = min(slices, MOST_SLICES)
+    points = [i / slices for i in range(1, slices)]
+    moment = F.unix_micros("timestamp")
+    borders = sorted(set(rows.agg(F.percentile_approx(moment, points, 20 * slices)).first()[0] or [])) if points else []
+    later = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= moment)) if borders else F.lit(0)
+    order = [F.col("day"), F.col("_slice"), *read_layout()[1:]]
+    return clustered(rows.withColumn("_slice", later), order, files).drop("_slice")
+
+
 def compacted_files(rows: int, rows_per_file: int, cores: int) -> int:
     """Files of a compaction: as many as the rows fill, or one per core if each still has a fair share."""
     return max(-(-rows // rows_per_file), min(cores, -(-rows // LEAST_ROWS_PER_TASK)))

@@ -18,7 +18,7 @@ from tidelog.functions.attributes import canonical_attributes
 from tidelog.functions.timeutil import EPOCH, MICROSECOND, UTC, utc_day, utc_instant
 from tidelog.operators.aggregate import merge_rollups, minute_rollup, with_day
 from tidelog.operators.filters import apply_filters, time_range
-from tidelog.operators.layout import ROWS_PER_FILE, clustered, compacted_files, read_layout, rollup_layout
+from tidelog.operators.layout import ROWS_PER_FILE, clustered, compacted_files, interleaved, read_layout, rollup_layout
 from tidelog.plans.params import retention_days
 from tidelog.schema import LOG_COLUMNS
 from tidelog.session import partitions_for
@@ -84,7 +84,7 @@ def compact_logs(
     segment = store.new_segment("logs", manifest.version + 1)
     old = store.read_days("logs", wanted, manifest.streams)
     files = compacted_files(rows, rows_per_file, store.spark.sparkContext.defaultParallelism)
-    store.write_logs(clustered(old, read_layout(), files), segment)
+    store.write_logs(interleaved(old, files, len(wanted)), segment)
     written = store.segment_rows("logs", segment)
     if written != {day: view.rows for day, view in wanted.items()}:
         raise RuntimeError(f"compaction read {rows} rows and wrote {sum(written.values())}")
