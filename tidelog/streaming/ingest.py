@@ -74,18 +74,20 @@ def ingest_batch(
     as_of = store.clock(segment, as_of)
     requests = requests.withColumn("request_row", F.monotonically_increasing_id())
     checked = check_requests(requests, as_of).withColumn("_accepted", accepted_count())
-    checked = checked.persist()
+    held = [checked.persist()]
     try:
         splits, size, total, tasks = split_offsets(checked, SPLIT, "request_row", "_accepted")
-        span, counted = Observation(), Observation()
+        span = Observation()
         days: dict[str, int] = {}
         if total:
             valid = accepted_logs(checked).withColumn("_at", F.monotonically_increasing_id())
-            days = {r["day"].isoformat(): r["n"] for r in with_day(valid, "timestamp").groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}
-            minutes = with_day(minute_rollup(valid), "bucket_start").observe(counted, F.sum("count").alias("logs"))
+            minutes = with_day(minute_rollup(valid), "bucket_start").persist()
+            held.append(minutes)
+            per_day = minutes.groupBy("day").agg(F.sum("count").alias("logs"))
+            days = {r["day"].isoformat(): r["logs"] for r in per_day.collect()}
+            if sum(days.values()) != total:
+                raise RuntimeError(f"batch {segment}: {total} logs, {sum(days.values())} in the rollup")
             store.write_rollups(minutes, segment)
-            if counted.get["logs"] != total:
-                raise RuntimeError(f"batch {segment}: {total} logs, {counted.get['logs']} in the rollup")
             number = F.col("shift") + F.col("_at") - F.col("first_item")
             logs = join_metadata(valid, splits, SPLIT, size).withColumn("id", F.lit(manifest.next_id).cast("long") + number)
             logs = with_day(logs, "timestamp").observe(
@@ -99,7 +101,8 @@ def ingest_batch(
         store.write_outcomes(_outcomes(checked, splits, size).observe(told, F.count(F.lit(1)).alias("requests")), segment, taken_in)
         answered = {taken_in.isoformat(): told.get["requests"]} if size else {}
     finally:
-        checked.unpersist()
+        for frame in held:
+            frame.unpersist()
     moments = [_moment(span.get[name]) for name in ("oldest", "newest")] if total else [None, None]
     return store.commit(
         replace(
