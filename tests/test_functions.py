@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidelog.functions.attributes import canonical_attributes, number_text
+from tidelog.functions.attributes import bind, canonical_attributes, number_text, object_members, scalar_text
 from tidelog.functions.cursor import (
     LogCursor,
     cursor_position,
@@ -31,6 +31,7 @@ from tidelog.functions.timeutil import (
     to_micros,
     utc_instant,
 )
+from tidelog.operators.filters import member_equals
 
 UTC = timezone.utc
 
@@ -93,6 +94,30 @@ NUMBERS = {
 }
 
 
+MEMBERS = {
+    "a": "x", "b.c": "dot", "d'e": "quote", 'f"g': "double", "h'i\"j": "both", "k?": "asks", "l\\m": "back", " ": "blank", "[0]": "square", "$": "root",
+    "n": 5, "o": 5.50, "p": -0.0, "q": True, "r": None, "s": {"a": "x"}, "t": [1], "u": "5", "v": "[1]", "w": '{"a":"x"}', "x": "", "": "none", "é": "ü", "y": 1e21, "z": "true",
+}
+WANTED = ["x", "dot", "quote", "double", "both", "asks", "back", "blank", "square", "root", "5", "5.5", "5.50", "0", "-0.0", "true", "null", '{"a":"x"}', "[1]", "", "none", "ü", "1000000000000000000000", "1.0E21", "1e21"]
+
+
+def test_members_by_path_are_those_by_name(spark):
+    df = spark.createDataFrame([(json.dumps(MEMBERS),)], "body string")
+    by_name = lambda key: bind(F.try_element_at(object_members(F.col("body")), F.lit(key)), scalar_text)
+    names = df.select(*(by_name(key).alias(f"k{i}") for i, key in enumerate(MEMBERS))).first()
+    pairs = [(i, key, value) for i, key in enumerate(MEMBERS) for value in WANTED]
+    found = df.select(F.array(*(member_equals(F.col("body"), key, value) for _, key, value in pairs))).first()[0]
+    for (i, key, value), same in zip(pairs, found, strict=True):
+        assert bool(same) == (names[i] == value), (key, value)
+    assert sum(map(bool, found)) >= 20
+
+
+@pytest.mark.parametrize("body", ["[1]", '"a"', "nope", "{}", None, "null", '{"b": 1}'])
+def test_members_of_what_has_none(spark, body):
+    df = spark.createDataFrame([(body,)], "body string")
+    assert not any(df.select(member_equals(F.col("body"), "a", "x"), member_equals(F.col("body"), "a", "1")).first())
+
+
 def test_attribute_texts(spark):
     members = ",".join(f'"n{i}":{text}' for i, text in enumerate(NUMBERS))
     body = "{" + members + r',"s":"x\"y\\","b":false,"a.b":"dot","q\"k":1e3,"e":""}'

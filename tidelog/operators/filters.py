@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from datetime import datetime
 from functools import reduce
@@ -17,6 +18,8 @@ from tidelog.functions.timeutil import MICROSECOND, is_ntz, time_literal, utc_da
 
 # A function from a time range to rows that include those in it.
 Scan = Callable[[datetime | None, datetime | None], DataFrame]
+# Texts that a number, an object or an array may have.
+_OTHER_THAN_TEXT = re.compile(r"[-0-9{\[]")
 
 
 def scan_of(logs: DataFrame | Scan) -> Scan:
@@ -55,10 +58,31 @@ def attribute_equals(df: DataFrame, attributes: Mapping[str, str]) -> list[Colum
         return []
     if "attr_text" in df.columns:
         return [F.try_element_at("attr_text", F.lit(k)) == F.lit(v) for k, v in attributes.items()]
-    members = object_members(F.col("attributes"))
-    return [
-        bind(F.try_element_at(members, F.lit(k)), scalar_text) == F.lit(v) for k, v in attributes.items()
-    ]
+    return [member_equals(F.col("attributes"), k, v) for k, v in attributes.items()]
+
+
+def member_equals(json_text: Column, key: str, value: str) -> Column:
+    """Whether a member of a JSON object reads as the text ``value``.
+
+    The member is taken by a literal path, inside generated code; a key that no path
+    can hold is looked up in the whole object. Only a value that may be the text of a
+    number, an object or an array needs a look at the kind of the member.
+    """
+    path = member_path(key)
+    if path is None:
+        return bind(F.try_element_at(object_members(json_text), F.lit(key)), scalar_text) == F.lit(value)
+    parsed = F.try_parse_json(json_text)
+    if _OTHER_THAN_TEXT.match(value):
+        return bind(F.try_variant_get(parsed, path, "variant"), scalar_text) == F.lit(value)
+    return F.try_variant_get(parsed, path, "string") == F.lit(value)
+
+
+def member_path(key: str) -> str | None:
+    """A VARIANT path to the member of that literal name, if there is one."""
+    if not key or "?" in key or "\\" in key:
+        return None
+    quote = next((q for q in ("'", '"') if q not in key), None)
+    return None if quote is None else f"$[{quote}{key}{quote}]"
 
 
 def before_cursor(df: DataFrame, cursor: LogCursor | None) -> list[Column]:
