@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
+from tidelog.functions.grams import gram_bits
+from tidelog.functions.text import contains_text
 from tidelog.functions.timeutil import time_literal
 from tidelog.operators.aggregate import aggregate_raw, merge_rollups, minute_rollup, with_day
 from tidelog.operators.maintain import (
@@ -329,3 +331,35 @@ def test_both_searches_read_few_files_after_a_compaction(spark, tmp_path):
     newest = logs.agg(F.max("timestamp")).first()[0]
     assert sum(r["b"] >= newest - timedelta(minutes=30) for r in spans) <= 6
     assert sum(r["s"] <= "u5" <= r["t"] for r in spans) <= 8
+
+
+def test_text_searches_skip_files_and_find_all(spark, store):
+    compact_logs(store, rows_per_file=100)
+    assert store.index_messages([date(2023, 12, 31)]) == 1 and store.index_messages() == 3
+    assert store.index_messages() == 0
+    backfill(store, flat_logs(spark, 40, first=20_001), files=1)
+    snapshot = store.snapshot()
+    everything = snapshot.logs()
+    files_there = everything.select(F.input_file_name()).distinct().count()
+    for q, fewer in (("MESSAGE 3999", True), ("age 77", True), ("no such text", True), ("%ge", True), ("me", False), ("", False), ("İ3", False), ("İ39", True)):
+        found = snapshot.logs(q=q)
+        plain = contains_text(F.col("message"), q)
+        assert rows_of(found.filter(plain).select("id")) == rows_of(everything.filter(plain).select("id"))
+        opened = found.select(F.input_file_name()).distinct().count()
+        assert (opened < files_there // 2) if fewer else opened == files_there, q
+    page = snapshot.search(LogQuery(q="Message 12", limit=1000))
+    assert sorted(r["id"] for r in page.logs) == sorted(r["id"] for r in everything.filter(F.ilike("message", F.lit("%message 12%"))).collect())
+    counted = snapshot.aggregate(AggregateQuery("2023-12-30T00:00:00Z", "2024-01-03T00:00:00Z", "1d", q="message 39"))
+    assert sum(r["count"] for r in counted.collect()) == everything.filter(F.ilike("message", F.lit("%message 39%"))).count()
+    compact_logs(store)
+    store.vacuum(timedelta(days=-1))
+    assert files.find(spark, f"{store.root}/grams/*/*") == [], "the index goes with its segment"
+
+
+@pytest.mark.parametrize("text", ["", "ab", "abc", "ABC abc", "Straße ΣΑΣ", "İstanbul", "日本語のログ", "a\nb\tc", "x" * 3000])
+def test_grams_of_a_part_are_grams_of_the_whole(spark, text):
+    parts = [text[i : i + n] for i in range(min(len(text), 12)) for n in (1, 3, 5)] + [text]
+    df = spark.createDataFrame([(p,) for p in parts], "p string").withColumn("whole", F.lit(text))
+    inside = df.filter(contains_text(F.col("whole"), text) & F.lower("whole").contains(F.lower("p")))
+    missing = inside.filter(F.size(F.array_except(gram_bits(F.col("p")), gram_bits(F.col("whole")))) > 0)
+    assert missing.collect() == []

@@ -74,6 +74,16 @@ def compacted(store: LogStore, folder: str) -> None:
     compact_rollups(store)
 
 
+def indexed(store: LogStore, folder: str) -> None:
+    """Compacted to more files than one a day, their messages indexed, and logs that are not."""
+    logs = event_logs(store.spark, folder)
+    late = F.col("id") % 10 == 3
+    backfill(store, logs.filter(~late))
+    compact_logs(store, rows_per_file=2_000)
+    store.index_messages()
+    backfill(store, logs.filter(late))
+
+
 def expired(store: LogStore, folder: str) -> None:
     backfilled(store, folder)
     expire(store, NOW, 15, exact=True)
@@ -207,6 +217,19 @@ def store_search(spark: SparkSession, folder: str) -> DataFrame:
     return as_wall_clock(shown, "timestamp")
 
 
+@query(
+    "store_search_text",
+    f"""WITH {STORED_SQL} SELECT {COLUMNS_SQL} FROM logs
+      WHERE message ILIKE '%ser 77 DID%' {NEWEST} LIMIT 1000""",
+)
+def store_search_text(spark: SparkSession, folder: str) -> DataFrame:
+    """A page of a search by text over files whose messages were indexed."""
+    snapshot = shared_store(spark, folder, indexed).snapshot()
+    page = snapshot.search(LogQuery(q="ser 77 DID", limit=1000))
+    shown = spark.createDataFrame(page.logs, snapshot.logs().select(*LOG_COLUMNS).schema)
+    return as_wall_clock(shown, "timestamp")
+
+
 @query("store_aggregate", count_sql("5m", "service", RANGE_SQL))
 def store_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     wanted = AggregateQuery(SINCE, UNTIL, "5m", "service")

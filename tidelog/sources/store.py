@@ -15,12 +15,15 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, timedelta
+from functools import partial, reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog import schema as S
+from tidelog.functions.grams import GRAM, ROW_BITS, gram_bits, has_bit
 from tidelog.functions.timeutil import MICROSECOND, UTC, format_iso, parse_iso, utc_day
 from tidelog.operators.aggregate import aggregate
 from tidelog.operators.search import Page, search_page
@@ -32,6 +35,8 @@ _HISTORY = T.StructType([T.StructField("version", T.LongType()), *S.COMMIT.field
 TABLES = ("logs", "rollups", "outcomes")
 # More days than this are read by listing the table rather than each day.
 MOST_DAY_PATHS = 400
+# At most so many files are named as not to be opened.
+MOST_SKIPPED = 50_000
 
 
 def batch_segment(stream: str, batch: int) -> str:
@@ -113,14 +118,18 @@ class Snapshot:
     manifest: Manifest
 
     def logs(
-        self, since: datetime | None = None, until: datetime | None = None, segment: bool = False
+        self, since: datetime | None = None, until: datetime | None = None, segment: bool = False, q: str | None = None
     ) -> DataFrame:
         """Logs of the days that ``[since, until)`` touches; other days are not listed.
 
-        With ``segment`` the name of the batch that wrote each row comes along.
+        With ``segment`` the name of the batch that wrote each row comes along. With ``q``
+        files that surely hold no message with that text are left out, where
+        ``index_messages`` has looked at them.
         """
         names = [*S.LOG.names, "segment"] if segment else S.LOG.names
-        return self.store.read_days("logs", _within(self.manifest.logs, since, until), self.manifest.streams, names)
+        days = _within(self.manifest.logs, since, until)
+        skip = self.store.files_without(days, q) if q and len(q) >= GRAM else []
+        return self.store.read_days("logs", days, self.manifest.streams, names, skip)
 
     def rollups(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
         """Minute deltas, not merged: one key may occur several times."""
@@ -139,10 +148,10 @@ class Snapshot:
         return {date.fromisoformat(day): self.manifest.logs[day].rows for day in sorted(self.manifest.logs)}
 
     def search(self, query: LogQuery) -> Page:
-        return search_page(self.logs, query, self.newest)
+        return search_page(partial(self.logs, q=query.q), query, self.newest)
 
     def aggregate(self, query: AggregateQuery) -> DataFrame:
-        return aggregate(self.logs, self.rollups, query)
+        return aggregate(partial(self.logs, q=query.q), self.rollups, query)
 
 
 class LogStore:
@@ -197,9 +206,10 @@ class LogStore:
         return present.unionByName(past).dropDuplicates(["version"])
 
     def read_days(
-        self, table: str, days: Days, streams: dict[str, int], names: list[str] | None = None
+        self, table: str, days: Days, streams: dict[str, int], names: list[str] | None = None,
+        skip: list[str] | None = None,
     ) -> DataFrame:
-        """The rows that show of the given days; other days are not listed."""
+        """The rows that show of the given days; other days are not listed, files to ``skip`` not opened."""
         shape = S.TABLES[table]
         names = names or shape.names
         if not days:
@@ -212,12 +222,55 @@ class LogStore:
             shown = shown | (F.col("day").isin(*map(date.fromisoformat, group)) & days[group[0]].shows(streams))
         base = f"{self.root}/{table}"
         paths = [f"{base}/day={day}" for day in sorted(days)] if len(days) <= MOST_DAY_PATHS else [base]
-        return self._read(table, paths).filter(shown).select(*names)
+        rows = self._read(table, paths).filter(shown)
+        if skip:
+            rows = rows.filter(~F.col("_metadata.file_name").isin(*skip))
+        return rows.select(*names)
 
     def _read(self, table: str, paths: list[str]) -> DataFrame:
         shape = T.StructType([*(f for f in S.TABLES[table].fields if f.name != "day"), S.DAY, _SEGMENT])
         return self.spark.read.schema(shape).option("basePath", f"{self.root}/{table}").parquet(*paths)
 
+    # the text index
+
+    def index_messages(self, days: list[date] | None = None) -> int:
+        """Note the grams of the messages of each file, for segments that compaction made.
+
+        What a segment holds never changes, so neither does its index; segments that have
+        one are left alone. Returns how many day folders were looked at.
+        """
+        manifest = self.manifest()
+        wanted = None if days is None else {day.isoformat() for day in days}
+        todo = {}
+        for day, view in manifest.logs.items():
+            if wanted is None or day in wanted:
+                new = [s for s in view.extra if not files.exists(self.spark, f"{self.root}/grams/day={day}/segment={s}")]
+                todo.update({day: DayView(extra=new)} if new else {})
+        if todo:
+            names = ["day", "segment", F.col("_metadata.file_name").alias("file"), F.explode(gram_bits(F.col("message"))).alias("bit")]
+            bits = self.read_days("logs", todo, {}, names)
+            row, at = (F.call_function(name, F.col("bit"), F.lit(ROW_BITS)) for name in ("div", "mod"))
+            marked = bits.groupBy("day", "segment", "file", row.cast("int").alias("row")).agg(F.bitmap_construct_agg(at).alias("bitmap"))
+            marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "segment").parquet(f"{self.root}/grams")
+        return sum(len(view.extra) for view in todo.values())
+
+    def files_without(self, days: Days, text: str) -> list[str]:
+        """Files that were looked at and lack a gram of the text; ``MOST_SKIPPED`` of them at most.
+
+        Any file that is not named may hold the text, so leaving some out costs time only.
+        """
+        noted = [path for day in days for path in files.find(self.spark, f"{self.root}/grams/day={day}/segment=*")] if len(days) <= MOST_DAY_PATHS else []
+        if not noted:
+            return []
+        wanted = self.spark.sql("SELECT :text AS text", args={"text": text}).select(gram_bits(F.col("text"))).first()[0]
+        if not wanted:
+            return []
+        shape = "file string, row int, bitmap binary, day date, segment string"
+        rows = self.spark.read.schema(shape).option("basePath", f"{self.root}/grams").parquet(*noted)
+        lacking = [((F.col("row") == bit // ROW_BITS) & has_bit(F.col("bitmap"), bit)).cast("int") for bit in wanted]
+        held = rows.groupBy("file").agg(F.sum(reduce(add, lacking)).alias("bits")).filter(F.col("bits") < len(wanted))
+        return [r["file"] for r in held.select("file").limit(MOST_SKIPPED).collect()]
+
     # writing
 
     def new_segment(self, kind: str, version: int) -> str:
@@ -315,8 +368,8 @@ class LogStore:
             for name, changed in self._manifest_files()[:-1]
             if changed < before
         ]
-        for table in TABLES:
-            days = getattr(live, table)
+        for table in (*TABLES, "grams"):
+            days = live.logs if table == "grams" else getattr(live, table)
             for folder, _ in files.list_names(self.spark, f"{self.root}/{table}"):
                 view = days.get(folder.removeprefix("day="))
                 if not folder.startswith("day="):
