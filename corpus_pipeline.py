@@ -20,6 +20,14 @@ RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LEAST_SCORE = 0.4
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the documents do not have."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without text, without letters or of no language that can be told; fills in a missing ``lang``."""
     model = language.train(docs, "text", "lang")
@@ -31,22 +39,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one of least id."""
+    column = fresh(docs, "name")
 
     def name(key: Column, digest: Column) -> Column:
         return F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("-")), digest)
 
     found = neardup.near_duplicates(docs, "doc_id", "text", size=5, percent=80)
-    stay = found.where("kept").select(name(F.col("doc_id"), F.lower(F.hex("digest"))).alias("name"))
-    named = docs.withColumn("name", name(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))))
-    return named.join(stay.distinct(), "name").dropDuplicates(["name"]).select(docs.columns)
+    stay = found.where("kept").select(name(F.col("doc_id"), F.lower(F.hex("digest"))).alias(column))
+    named = docs.withColumn(column, name(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))))
+    return named.join(stay.distinct(), column).dropDuplicates([column]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item."""
     texts = docs.select(F.xxhash64("text").alias("hash"), "text")
     found = decontaminate.decontaminate(texts, "hash", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
-    hashes = found.where("contaminated").select("hash").distinct()
-    return docs.withColumn("hash", F.xxhash64("text")).join(hashes, "hash", "left_anti").select(docs.columns)
+    column = fresh(docs, "hash")
+    hashes = found.where("contaminated").select(F.col("hash").alias(column)).distinct()
+    return docs.withColumn(column, F.xxhash64("text")).join(hashes, column, "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
