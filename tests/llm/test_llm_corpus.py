@@ -132,3 +132,15 @@ def test_pipeline_stages(spark):
 def test_pipeline_run(spark):
     found = corpus_pipeline.run(spark, FOLDER)
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and found.count() > 100
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "en", "keep", 7, "k"), (2, words, "en", "drop", 8, "k"), (3, "other words here", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, name string, hash long, NAME_ string")
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated):
+        kept = stage(spark, docs, FOLDER)
+        assert kept.columns == docs.columns
+        found = {r.doc_id: (r.name, r.hash, r.NAME_) for r in kept.collect()}
+        assert found[1] == ("keep", 7, "k") and found[3] == (None, None, None)
+        assert (2 in found) == (stage is corpus_pipeline.drop_contaminated)
