@@ -93,6 +93,46 @@ def test_page_figures_and_titled_sections():
     ]
 
 
+BODY = "<p>First paragraph, long enough to be scored, with commas, and more.</p>"
+ASIDE = "<p>Words of others, which are long enough to be scored, with commas, and links.</p>"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [f'<div class="{name}">{ASIDE}</div>' for name in "comment-list comments-area related-posts share-buttons ad-slot newsletter-signup cookie-banner post_comments".split()]
+    + [
+        f'<section class="comments"><h2>Comments</h2>{ASIDE}</section>',
+        f'<div id="comments"><h3>2 comments</h3>{ASIDE}</div>',
+        f'<article class="comment-body">{ASIDE}</article>',
+        '<ul class="share-links"><li><a href=x>Share this</a></li></ul>',
+    ],
+)
+def test_page_leaves_out_what_stands_in_the_article(part):
+    for outer in ("article", "main"):
+        page = f"<html><body><{outer}><h1>A</h1>{BODY}{part}{BODY}</{outer}></body></html>"
+        assert pages.main_text(page) == "A" + 2 * "\n\nFirst paragraph, long enough to be scored, with commas, and more."
+
+
+def test_page_lists_of_links_in_main():
+    links = "<ul>" + "".join(f"<li><a href=x>Something that many people read, number {i}</a></li>" for i in range(4)) + "</ul>"
+    want = "A\n\nFirst paragraph, long enough to be scored, with commas, and more."
+    for most_read in (f"<div><h3>Most read</h3>{links}</div>", f"<h3>Most read</h3>{links}"):
+        assert pages.main_text(f"<body><main><article><h1>A</h1>{BODY}</article>{most_read}</main></body>") == want
+        assert pages.main_text(f"<body><main><h1>A</h1><div>{BODY}</div>{most_read}</main></body>") == want
+    # Links that belong to an article stay.
+    assert pages.main_text(f"<body><article><h1>A</h1>{BODY}{links}</article></body>").count("\n\n") == 5
+
+
+@pytest.mark.parametrize("unit", ["<a '", "<a '>", '<p "x', "<a ", "<span class=ad>", "<!-- ", "&lt;<"])
+def test_page_broken_markup_takes_linear_time(unit):
+    import time
+
+    start = time.process_time()
+    text = pages.main_text(f"<body>{BODY}" + unit * 40_000)
+    assert time.process_time() - start < 5
+    assert text.startswith("First paragraph")
+
+
 def test_page_query(spark):
     found = {r.page_id: r for r in QUERIES["op2_html_extraction"](spark, FOLDER).collect()}
     rows = table(spark, "pages").collect()

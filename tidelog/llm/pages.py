@@ -8,9 +8,15 @@ article text (menus, forms, scripts, ...) or whose class or id says so are left
 of the tree.
 
 A page is handled by itself in one map over the rows: no shuffle, memory of one
-slice of pages. The parser is a single pass of one pattern over the markup and
-follows the usual repairs: unclosed paragraphs end at the next block, end tags
-without a start are ignored.
+slice of pages. The parser is a single pass over the markup and follows the usual
+repairs: unclosed paragraphs end at the next block, end tags without a start are
+ignored. From a tag on whose quotes do not close before the end of the page, tags end
+at the first ``>``, and a tag without any is text; so no text is scanned twice.
+
+Within an article a class or id counts if all parts of a name say so
+(``comment-list``, not ``cookie-policy-history``). An id that a section took from its
+title does not count, unless it names readers' comments. In a ``main`` without an
+article, lists that are mostly links go with the heading before them.
 
 Defined results: null or empty html, and pages without any text block, give an
 empty string; repeated rows give repeated results; ties go to the container that
@@ -37,13 +43,21 @@ _DROPPED = frozenset("nav header footer aside form button select option input te
 _LINKLESS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li td dd dt figcaption".split())
 _WORDS = r"(ads?|advert\w*|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|disqus|footer|footnav|gdpr|header|masthead|menu|nav(bar|igation)?|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|rss|share|sharing|shoutbox|sidebar|skyscraper|social|sponsor\w*|subscribe|subscription|toolbar|widget|alert|disclaimer|reader-comments?|signup|login)"
 _UNLIKELY = re.compile(rf"(?<![a-z]){_WORDS}(?![a-z])")
-# Within the article a whole name has to say so, and the id of a heading or of a section with a title never does.
 _UNLIKELY_NAME = re.compile(_WORDS)
-_CONTAINERS = frozenset("div section ul ol dl table p span".split())
+# Words that say nothing themselves beside one of the above.
+_SHAPES = frozenset(
+    "area article bar block bottom box button buttons body card container content count entry feed form group icon icons inline inner item items js "
+    "left link links list main message more node outer page panel post posts reader right row section site slot stories thread top unit user users wrap wrapper".split()
+)
+_READERS = re.compile(r"(?<![a-z])(comments?|commentlist|disqus|replies|respond|shoutbox)(?![a-z])")
+_CONTAINERS = frozenset("article blockquote details div section ul ol li dl table p span".split())
 _UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 _ARTICLE = frozenset(("article", "main"))
-# Markup: comment or declaration, start or end tag with its attributes, in this order.
-_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:-->|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Markup: comment or declaration, or the beginning of a start or end tag.
+_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:-->|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+# Attributes and end of a tag, and what ends one where quotes are broken.
+_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_PLAIN_REST = re.compile(r"([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _TITLE = re.compile(r"\s*(?:<!--.*?-->\s*)*<h[1-6][\s>]", re.I | re.S)
 _COMMAS = re.compile("[,،、，]")
@@ -66,18 +80,32 @@ class Node:
         self.article = tag in _ARTICLE or (parent is not None and parent.article)
 
 
+def _says_so(value: str) -> bool:
+    """Whether a name among those of a class or id has only parts that tell of no article text."""
+    for name in value.split():
+        parts = [part for part in re.split(r"[-_:]+", name) if part]
+        if _UNLIKELY_NAME.fullmatch(name) or (
+            any(_UNLIKELY_NAME.fullmatch(part) for part in parts)
+            and all(part in _SHAPES or part.isdigit() or _UNLIKELY_NAME.fullmatch(part) for part in parts)
+        ):
+            return True
+    return False
+
+
 def _unlikely(tag: str, attributes: str, article: bool = False, titled: bool = False) -> bool:
     """Whether an element is left out; ``article``: it stands in one, ``titled``: a heading comes first in it."""
     if tag in _DROPPED:
         return True
-    if not attributes or tag in ("body", "html", "article", "main"):
+    if not attributes or tag in ("body", "html", "main") or (tag == "article" and not article):
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and not article and _UNLIKELY.search(value):
-            return True
-        if name in ("class", "id") and article and tag in _CONTAINERS and not (titled and (name == "id" or tag == "section")) and any(_UNLIKELY_NAME.fullmatch(x) for x in value.split()):
-            return True
+        if name in ("class", "id"):
+            if not article and _UNLIKELY.search(value):
+                return True
+            from_title = name == "id" and titled and not _READERS.search(value)
+            if article and tag in _CONTAINERS and not from_title and _says_so(value):
+                return True
         if name == "role" and value in _UNLIKELY_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
@@ -123,9 +151,13 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             flush()
             top = node.parent
 
-    at, end = 0, len(page)
+    at, end, rest_of_tag = 0, len(page), _REST
+    last = page.rfind(">")
+    endless: set[str] = set()
     while at < end:
         found = _MARKUP.search(page, at)
+        if found and found[2] is not None and found.end() > last:
+            found = None
         if not found:
             add(page[at:])
             break
@@ -133,7 +165,11 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         at = found.end()
         if found[2] is None:
             continue
-        ending, tag, attributes = found[1], found[2].lower(), found[3]
+        rest = rest_of_tag.match(page, at)
+        if not rest:
+            rest_of_tag = _PLAIN_REST
+            rest = rest_of_tag.match(page, at)
+        ending, tag, attributes, at = found[1], found[2].lower(), rest[1], rest.end()
         if tag in _INLINE:
             if tag == "br":
                 add(" ")
@@ -141,8 +177,10 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                 in_link = 0 if ending else 1
             elif not ending and attributes and not top.dropped and _unlikely(tag, attributes, top.article):
                 # What an inline notice or advert holds goes as well.
-                over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                over = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = over.end() if over else at
+                if not over:
+                    endless.add(tag)
             continue
         if ending:
             close(tag, tag in _BARRIERS)
@@ -170,6 +208,20 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
     return out
 
 
+def _without_link_lists(found: list[tuple[Node, str, int]], best: Node) -> list[tuple[Node, str, int]]:
+    """The blocks but those below ``best`` in a container that is mostly links, and the headings right before such blocks."""
+    gone = []
+    for node, _, _ in found:
+        up, listed = node, False
+        while up is not None and up is not best:
+            listed = listed or (up.tag in _CONTAINERS and up.tag not in ("p", "li") and up.points <= 0 and up.linked * 2 > up.chars)
+            up = up.parent
+        gone.append(listed and up is best)
+    for i in range(len(found) - 2, -1, -1):
+        gone[i] = gone[i] or (gone[i + 1] and re.fullmatch("h[1-6]", found[i][0].tag) is not None and found[i][0].parent is not None)
+    return [block for block, out in zip(found, gone, strict=True) if not out]
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the best container and its kept siblings, joined by an empty line."""
     found = blocks(page) if page else []
@@ -201,8 +253,11 @@ def main_text(page: str | None) -> str:
         articles = [node for node, _, _ in found if node.article]
         best = articles[0] if articles else None
     if best is not None:
-        while best.parent is not None and best.parent.article:
+        # The whole of the nearest article element, or of main if there is none.
+        while best.tag not in _ARTICLE and best.parent is not None and best.parent.article:
             best = best.parent
+        if best.tag == "main":
+            found = _without_link_lists(found, best)
     kept = []
     for node, text, links in found:
         up, chosen = node, best is None and links * 2 < len(text)
