@@ -9,9 +9,12 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.session import shared_dir
 
@@ -19,6 +22,8 @@ from tidelog.session import shared_dir
 BROADCAST_ROWS = 50_000
 # Rows of an Arrow batch handled at once, so that long texts do not pile up.
 SLICE_ROWS = 1000
+# At most about this many bytes of text; a longer text is a slice of its own.
+SLICE_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -62,31 +67,48 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``SLICE_ROWS`` rows and, but for single rows, ``SLICE_BYTES`` of text."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(start, SLICE_ROWS)
-
-
-def by_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """``work`` on every slice of rows; it gives the output columns by name."""
+        sizes = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start] - sizes[start]
+            end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            end = min(end, start + SLICE_ROWS, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def by_batch(df: DataFrame, schema: str | T.StructType, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+    """``work`` on every slice of rows; it gives the output columns by name. Input columns
+    of any type may be handed on if ``schema`` is a struct."""
     ship(df.sparkSession)
-    names = [part.split()[0] for part in schema.split(", ")]
+    if isinstance(schema, str):
+        parts = [part.split() for part in schema.split(", ")]
+    else:
+        parts = [[field.name, field.dataType.simpleString().replace("bigint", "long")] for field in schema]
+    names = [part[0] for part in parts]
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    kinds = [_arrow_type(part.split()[1], types) for part in schema.split(", ")]
-    arrow = pa.schema(list(zip(names, kinds, strict=True)))
+    kinds = [_arrow_type(part[1], types) for part in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = work(batch)
-            yield pa.record_batch([pa.array(found[name], kind) for name, kind in zip(names, kinds, strict=True)], schema=arrow)
+            columns = [x if isinstance(x := found[name], pa.Array) and (kind is None or x.type == kind) else pa.array(x, kind) for name, kind in zip(names, kinds, strict=True)]
+            yield pa.record_batch(columns, names=names)
 
     return df.mapInArrow(run, schema)
 
 
-def _arrow_type(kind: str, types: dict[str, pa.DataType]) -> pa.DataType:
+def _arrow_type(kind: str, types: dict[str, pa.DataType]) -> pa.DataType | None:
+    """The Arrow type of a column made here; None for types that are only handed on."""
     if kind.startswith("array<"):
-        return pa.list_(types[kind[6:-1]])
-    return types[kind]
+        return pa.list_(types[kind[6:-1]]) if kind[6:-1] in types else None
+    return types.get(kind)
 
 
 def sha256(data: bytes) -> str:

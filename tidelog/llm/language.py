@@ -6,9 +6,12 @@ one to four letters in Spark, and keeps the log frequency of each per language.
 A word of a text scores by its log frequency; a word never seen scores by the mean
 of its longest n-grams of which any is known.
 
-Prediction is a map over all rows with the model broadcast (at most
-``MODEL_TERMS`` terms twice over, the most frequent ones); nothing is
-shuffled. Only the text is an input.
+The texts are chosen by rank of their hashes, first within ``HASH_PARTS`` parts of a
+language and then among the survivors, so that no task sorts a language.
+
+Prediction is a map over all rows with the model broadcast (at most twice
+``MODEL_TERMS`` terms, those of the greatest share in any language, so that a rare
+language keeps its own); nothing is shuffled. Only the text is an input.
 
 Defined results: a null text, one without any letter, or one met by an empty model
 gives ``und`` with score 0; ties go to the language that sorts first; repeated rows
@@ -18,17 +21,19 @@ give repeated results; only the named columns are read.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import by_batch, stored
+from tidelog.llm.common import by_batch, small, stored
 
 PER_LANGUAGE = 1500
+HASH_PARTS = 1024
 MODEL_TERMS = 200_000
 LONGEST = 4
 UNKNOWN = "und"
@@ -51,12 +56,12 @@ def train(docs: DataFrame, text: str, lang: str, where: Column | None = None) ->
     rows = rows if where is None else rows.where(where)
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     # Hashes alone are ranked; then one copy of each chosen text is read.
-    chosen = (
-        rows.select("lang", "h").distinct()
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-        .where(F.col("n") <= PER_LANGUAGE)
-    )
-    sample = rows.join(chosen.select("lang", "h"), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+    part = F.pmod("h", F.lit(HASH_PARTS))
+    chosen = rows.select("lang", "h").distinct()
+    for keys in (["lang", part], ["lang"]):
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("n") <= PER_LANGUAGE)
+    chosen = stored(chosen.select("lang", "h"), "chosen")
+    sample = rows.join(small(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> dict:
         found: Counter = Counter()
@@ -78,7 +83,8 @@ def train(docs: DataFrame, text: str, lang: str, where: Column | None = None) ->
     by = [F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, name in enumerate(langs)]
     terms = counted.groupBy("size", "term").agg(F.sum("n").alias("n"), *by)
     # Words met once tell little; their n-grams do.
-    top = terms.where("size > 0 OR n > 1").orderBy(F.desc("n"), "size", "term").limit(2 * MODEL_TERMS).toPandas()
+    share = F.array_max(F.array(*[F.col(f"n{i}") / F.create_map(*[F.lit(x) for n in range(LONGEST + 1) for x in (n, float(totals.get((name, n), 1)))])[F.col("size")] for i, name in enumerate(langs)]))
+    top = terms.where("size > 0 OR n > 1").orderBy(share.desc(), "size", "term").limit(2 * MODEL_TERMS).toPandas()
     sizes = top["size"].to_numpy()
     of = np.array([[totals.get((name, size), 0) for name in langs] for size in range(LONGEST + 1)], dtype=np.float64)[sizes]
     found = top[[f"n{i}" for i in range(len(langs))]].to_numpy(dtype=np.float64)
@@ -87,14 +93,50 @@ def train(docs: DataFrame, text: str, lang: str, where: Column | None = None) ->
     return {"langs": langs, "rows": rows, "values": values.astype(np.float32)}
 
 
+class _Places(dict):
+    """Rows by token; a token not met before is scored first."""
+
+    def __init__(self, find: Callable[[str], int]):
+        self.find = find
+
+    def __missing__(self, token: str) -> int:
+        place = self[token] = self.find(token)
+        return place
+
+
 class Scorer:
-    """Scores texts by a model; keeps the rows of words met before."""
+    """Scores texts by a model; keeps the scores of tokens met before as rows of a matrix.
+
+    It is what is broadcast: a worker keeps it, with all that it met, for as long as
+    its tasks name the broadcast.
+    """
 
     def __init__(self, model: dict):
         self.langs, self.rows, self.values = model["langs"], model["rows"], model["values"]
-        self.cache: dict[str, tuple | None] = {}
-
-    def word(self, token: str) -> tuple | None:
+        self._forget()
+
+    def _forget(self) -> None:
+        # Row 0 is that of tokens without letters known in any way.
+        self.scores, self.used = np.zeros((1024, len(self.langs))), 1
+        self.places = _Places(self._place)
+
+    def __getstate__(self) -> dict:
+        return {"langs": self.langs, "rows": self.rows, "values": self.values}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state)
+
+    def _place(self, token: str) -> int:
+        score = self.word(token)
+        if score is None:
+            return 0
+        if self.used == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[self.used] = score
+        self.used += 1
+        return self.used - 1
+
+    def word(self, token: str) -> np.ndarray | None:
         """Log score per language of the words in a token; None if it has no letters known in any way."""
         total = None
         for word in _LETTERS.findall(token):
@@ -108,50 +150,36 @@ class Scorer:
             if score is not None:
                 score = score - score.max()
                 total = score if total is None else total + score
-        return None if total is None else tuple(total.tolist())
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNKNOWN, 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        found: list[tuple] = []
-        counts: list[int] = []
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for token, k in Counter(text.lower().split()).items():
-            try:
-                score = self.cache[token]
-            except KeyError:
-                score = self.cache[token] = self.word(token)
-            if score is not None:
-                found.append(score)
-                counts.append(k)
-        if not found:
+        if len(self.places) > CACHE_WORDS:
+            self._forget()
+        tokens = Counter(text.lower().split())
+        places = np.fromiter(map(self.places.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        counts = np.fromiter(tokens.values(), dtype=np.float64, count=len(tokens))
+        n = counts[places > 0].sum()
+        if not n:
             # Letters of a script that training never met are letters all the same.
             return (self.langs[0], 1 / len(self.langs)) if any(c.isalpha() for c in text) else (UNKNOWN, 0.0)
-        total, n = np.array(counts) @ np.array(found), sum(counts)
+        total = counts @ self.scores[places]
         odds = np.exp((total - total.max()) * min(n, MOST_WORDS) / n)
         best = int(np.argmax(total))
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def predict(docs: DataFrame, key: str, text: str, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, ``lang_pred`` and ``score`` for every row; ``keep`` names further columns of ``docs`` to carry along."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = uuid.uuid4().hex
-    spark_types = dict(docs.dtypes)
+def predict(docs: DataFrame, key: str, text: str, model: dict, keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``key`` and the language and its score (called as in ``names``) for every row; ``keep`` names further columns of ``docs`` to carry along."""
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model))
+    columns = [*dict.fromkeys((key, *keep))]
+    rows = docs.select(*columns, F.col(text).alias(names[0]))
 
     def work(batch: pa.RecordBatch) -> dict:
-        if own not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[own] = Scorer(shared.value)
-        found = [_SCORERS[own].predict(t) for t in batch.column(1).to_pylist()]
-        out = {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
-        return out | {name: batch.column(i) for i, name in enumerate([key, text, *keep]) if name != text or text in keep}
+        found = [shared.value.predict(t) for t in batch.column(len(columns)).to_pylist()]
+        out = {name: batch.column(i) for i, name in enumerate(columns)}
+        return out | {names[0]: [f[0] for f in found], names[1]: [f[1] for f in found]}
 
-    columns = [*dict.fromkeys((key, *keep))]
-    schema = ", ".join(f"{c} {spark_types[c].replace('bigint', 'long')}" for c in columns) + ", lang_pred string, score double"
-    return by_batch(docs.select(key, text, *keep), schema, work)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return by_batch(rows, schema, work)
