@@ -54,6 +54,31 @@ def test_bpe_random_pieces(encoding):
     assert decoded == [t.encode() for t in texts]
 
 
+def test_bpe_long_pieces(encoding):
+    """Single pieces of up to 100 KB: letters, runs, periods, bytes of other scripts."""
+    import time
+
+    r = random.Random(4)
+    codec = bpe.Codec(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(100_000))
+    words = "".join(r.choice(["inter", "nation", "al", "iz", "ation", "the", "re", "s"]) for _ in range(3000))
+    texts = [letters, words, "x" * 50_001, "=" * 50_003, "abc" * 9001, "中文字符編碼測試" * 900, "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(3000)), "ab" * 256 + "c", " " * 5000 + "a"]
+    start = time.process_time()
+    lines, decoded = codec.code(texts)
+    assert time.process_time() - start < 60
+    assert [list(map(int, x.split())) for x in lines] == [encoding.encode_ordinary(t) for t in texts]
+    assert decoded == [t.encode() for t in texts]
+
+
+def test_bpe_query_goes_on_from_its_last_step(encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "CUT_PIECE", 1 << 30)
+    r = random.Random(8)
+    codec = bpe.Codec(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    text = "".join(r.choice("abetnos") for _ in range(900))
+    lines, _ = codec.code([text])
+    assert list(map(int, lines[0].split())) == encoding.encode_ordinary(text)
+
+
 def test_bpe_query(spark, encoding):
     found = {r.doc_id: r for r in QUERIES["op1_byte_bpe"](spark, FOLDER).collect()}
     texts = {r.doc_id: r.text or "" for r in table(spark, "documents").collect()}

@@ -6,6 +6,11 @@ contracts in each piece the pair of lowest rank until no pair is left. Decoding
 joins ids with the vocabulary and aggregates their bytes in order; the round trip
 does so once for each distinct piece.
 
+A piece over ``CUT_PIECE`` bytes is contracted in blocks of ``BLOCK`` bytes. A row of
+tokens is the contraction of its bytes if every two neighbours are that of theirs, so
+only the pairs at the cuts are tried; blocks at a cut that fails become one block,
+until all hold. In the worst case that is the piece itself.
+
 Each document is handled by itself, so nothing is shuffled and a lost task is
 simply run again. Memory of a task: one slice of texts, the piece cache
 (``CACHE_PIECES``), and DuckDB under its own limit.
@@ -34,6 +39,10 @@ CACHE_PIECES = 300_000
 QUERY_PIECES = 25_000
 # Pieces over this many bytes merge all places of their best pair in one step.
 LONG_PIECE = 48
+CUT_PIECE = 512
+BLOCK = 64
+# Steps of a recursive query whose rows are held at once; a next query goes on from the last one.
+STEPS = 64
 
 # Texts of these characters only can be split by ranges instead of Unicode classes.
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏ"
@@ -58,7 +67,7 @@ SELECT word, pos, id FROM parts QUALIFY step = max(step) OVER (PARTITION BY word
 """
 # The same with every place of the least rank at once (of overlapping places every second one, from
 # the left), where that merge cannot make a pair of lower rank than its own.
-_STEP_LONG = """
+_STEP_LONG = f"""
 WITH RECURSIVE parts(step, word, pos, id) AS (
   SELECT 0, word, pos, id FROM base
   UNION ALL
@@ -81,9 +90,9 @@ WITH RECURSIVE parts(step, word, pos, id) AS (
       )
     )
   )
-  WHERE best IS NOT NULL AND NOT coalesce(gone, false)
+  WHERE best IS NOT NULL AND NOT coalesce(gone, false) AND step < {STEPS}
 )
-SELECT word, pos, id FROM parts QUALIFY step = max(step) OVER (PARTITION BY word)
+SELECT word, pos, id, step FROM parts QUALIFY step = max(step) OVER (PARTITION BY word)
 """
 # Ids of each piece as text, and the bytes that they stand for.
 _GATHER = """
@@ -107,6 +116,7 @@ class Codec:
             pattern = re.sub(r"(\[[^\]]*)" + re.escape(name), lambda m, p=plain: m[1] + p, pattern)
             pattern = pattern.replace(name, f"[{plain}]")
         self.split_plain = None if "\\p" in pattern else re.compile(pattern).findall
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self.by_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         merges = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         # Tokens that are part of a merge of lower rank than their own.
@@ -128,40 +138,78 @@ class Codec:
             return self.split_plain(text)
         return self.split(text)
 
-    def _contract(self, pieces: list[str], query: str) -> list[tuple[str, str]]:
-        raw = [p.encode("utf-8") for p in pieces]
+    def _contract(self, raw: list[bytes], query: str) -> list[tuple[str, str]]:
+        """Per run of bytes its ids as text, and the bytes that they stand for."""
         sizes = np.array([len(r) for r in raw])
         starts = np.cumsum(sizes) - sizes
         total = int(sizes.sum())
-        self.con.register(
-            "base",
-            pa.table({
-                "word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
-                "pos": (np.arange(total) - np.repeat(starts, sizes)).astype(np.int32),
-                "id": self.by_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)],
-            }),
-        )
-        self.con.execute(f"CREATE OR REPLACE TEMP TABLE contracted AS {query}")
-        self.con.unregister("base")
+        base = pa.table({
+            "word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
+            "pos": (np.arange(total) - np.repeat(starts, sizes)).astype(np.int32),
+            "id": self.by_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)],
+        })
+        self._query(base, f"CREATE OR REPLACE TEMP TABLE contracted AS {query}")
+        while query is _STEP_LONG:
+            rest = self.con.execute(f"SELECT word, pos, id FROM contracted WHERE step = {STEPS}").to_arrow_table()
+            if not rest.num_rows:
+                break
+            self.con.execute(f"DELETE FROM contracted WHERE step = {STEPS}")
+            self._query(rest, f"INSERT INTO contracted {query}")
         return self.con.execute(_GATHER).fetchall()
 
+    def _query(self, base: pa.Table, query: str) -> None:
+        self.con.register("base", base)
+        self.con.execute(query)
+        self.con.unregister("base")
+
+    def _in_groups(self, raw: list[bytes]) -> list[tuple[str, str]]:
+        """``_contract`` of runs sorted by length, so many at once as a query should hold."""
+        found: list[tuple[str, str]] = []
+        while len(found) < len(raw):
+            start = len(found)
+            size = len(raw[start])
+            if size <= LONG_PIECE:
+                part, query = raw[start : start + max(1, QUERY_PIECES * 8 // max(8, size))], _STEP
+            else:
+                part, query = raw[start : start + max(1, QUERY_PIECES // size)], _STEP_LONG
+            found += self._contract([p for p in part if len(p) <= max(16, 2 * size)], query)
+        return found
+
+    def _contract_all(self, raw: set[bytes]) -> dict[bytes, tuple[str, str]]:
+        order = sorted(raw, key=len)
+        return dict(zip(order, self._in_groups(order), strict=True))
+
+    def _contract_long(self, pieces: list[bytes]) -> list[tuple[str, str]]:
+        """Long pieces by blocks, joined where their cuts do not hold."""
+        cuts = [[*range(0, len(p), BLOCK), len(p)] for p in pieces]
+        known: dict[bytes, tuple[str, str]] = {}
+        pairs: dict[tuple[int, int], bool] = {}
+        while True:
+            blocks = [[p[a:b] for a, b in zip(c, c[1:])] for p, c in zip(pieces, cuts, strict=True)]
+            known |= self._contract_all({b for bs in blocks for b in bs} - known.keys())
+            ends = []
+            for bs in blocks:
+                ids = [known[b][0] for b in bs]
+                ends.append([(int(x[x.rfind(" ") + 1 :]), int(y.split(" ", 1)[0])) for x, y in zip(ids, ids[1:])])
+            new = {pair for e in ends for pair in e} - pairs.keys()
+            whole = self._contract_all({self.tokens[a] + self.tokens[b] for a, b in new})
+            pairs |= {(a, b): whole[self.tokens[a] + self.tokens[b]][0] == f"{a} {b}" for a, b in new}
+            if all(pairs[pair] for e in ends for pair in e):
+                return [(" ".join(known[b][0] for b in bs), "".join(known[b][1] for b in bs)) for bs in blocks]
+            cuts = [[0, *(at for at, pair in zip(c[1:-1], e, strict=True) if pairs[pair]), c[-1]] for c, e in zip(cuts, ends, strict=True)]
+
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of pieces not seen yet into the cache."""
-        new = sorted((p for p in pieces if p not in self.cache), key=len)
+        new = [p for p in pieces if p not in self.cache]
         if len(self.cache) + len(new) > CACHE_PIECES:
             self.cache = {p: self.cache[p] for p in pieces if p in self.cache}
-        start = 0
-        while start < len(new):
-            size = len(new[start])
-            if size <= LONG_PIECE:
-                part = new[start : start + max(1, QUERY_PIECES * 8 // max(8, size))]
-                query = _STEP
-            else:
-                part = new[start : start + max(1, QUERY_PIECES // size)]
-                query = _STEP_LONG
-            part = [p for p in part if len(p) <= max(16, 2 * size)]
-            self.cache.update(zip(part, self._contract(part, query), strict=True))
-            start += len(part)
+        raw = [p.encode("utf-8") for p in new]
+        # By bytes, as pieces of few characters can have many.
+        order = sorted(range(len(new)), key=lambda i: len(raw[i]))
+        short = [i for i in order if len(raw[i]) <= CUT_PIECE]
+        self.cache.update(zip([new[i] for i in short], self._in_groups([raw[i] for i in short]), strict=True))
+        for i in order[len(short) :]:
+            self.cache[new[i]] = self._contract_long([raw[i]])[0]
 
     def code(self, texts: list[str | None]) -> tuple[list[str], list[bytes]]:
         """Per text its ids as decimal numbers joined by one space, and the bytes decoded from them."""
@@ -182,20 +230,26 @@ class Codec:
         return out
 
 
-_CODECS: dict[str, Codec] = {}
+class RankFile:
+    """A rank file as it is broadcast, with the codec that a worker makes of it; both go
+    once no task of the worker names the broadcast any more."""
+
+    def __init__(self, data: bytes, pattern: str):
+        self.data, self.pattern = data, pattern
+        self.own: Codec | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"own": None}
 
-def _codec(rank_file: bytes, pattern: str) -> Codec:
-    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(rank_file, pattern)
-    return _CODECS[key]
+    def codec(self) -> Codec:
+        if self.own is None:
+            self.own = Codec(self.data, self.pattern)
+        return self.own
 
 
-def _rank_file(df: DataFrame, path: str):
+def _rank_file(df: DataFrame, path: str, pattern: str):
     with open(path, "rb") as file:
-        return df.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary: fixed size
+        return df.sparkSession.sparkContext.broadcast(RankFile(file.read(), pattern))  # a vocabulary: fixed size
 
 
 def _as_ids(lines: list[str]) -> pa.ListArray:
@@ -207,10 +261,10 @@ def _as_ids(lines: list[str]) -> pa.ListArray:
 
 def encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
     """``key``, ``ids`` (array of int) for each row; ``path`` is a rank file, read on the driver."""
-    ranks = _rank_file(df, path)
+    ranks = _rank_file(df, path, pattern)
 
     def work(batch: pa.RecordBatch) -> dict:
-        lines, _ = _codec(ranks.value, pattern).code(batch.column(1).to_pylist())
+        lines, _ = ranks.value.codec().code(batch.column(1).to_pylist())
         return {key: batch.column(0), "ids": _as_ids(lines)}
 
     return by_batch(df.select(key, text), f"{key} {dict(df.dtypes)[key].replace('bigint', 'long')}, ids array<int>", work)
@@ -218,10 +272,10 @@ def encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataF
 
 def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFrame:
     """``key``, ``bytes`` for each row of ids; null ids give no bytes, an id outside the vocabulary is left out."""
-    ranks = _rank_file(df, path)
+    ranks = _rank_file(df, path, pattern)
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {key: batch.column(0), "bytes": _codec(ranks.value, pattern).decode(batch.column(1).fill_null([]))}
+        return {key: batch.column(0), "bytes": ranks.value.codec().decode(batch.column(1).fill_null([]))}
 
     return by_batch(df.select(key, ids), f"{key} {dict(df.dtypes)[key].replace('bigint', 'long')}, bytes binary", work)
 
@@ -229,10 +283,10 @@ def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFr
 def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Per row ``n_tokens`` and the digests of the ids and of the bytes decoded from them, in one pass;
     with ``with_ids`` the ids as well."""
-    ranks = _rank_file(df, path)
+    ranks = _rank_file(df, path, pattern)
 
     def work(batch: pa.RecordBatch) -> dict:
-        lines, decoded = _codec(ranks.value, pattern).code(batch.column(1).to_pylist())
+        lines, decoded = ranks.value.codec().code(batch.column(1).to_pylist())
         return {
             key: batch.column(0),
             "ids": _as_ids(lines) if with_ids else None,
