@@ -32,9 +32,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without text, without letters or of no language that can be told; fills in a missing ``lang``."""
     model = language.train(docs, "text", "lang")
     kept = [c for c in docs.columns if c != "doc_id"]
-    found = language.predict(docs, "doc_id", "text", model, tuple(kept))
-    found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    told, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = language.predict(docs, "doc_id", "text", model, tuple(kept), (told, score))
+    found = found.where((F.col(told) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", told)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +53,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item."""
-    texts = docs.select(F.xxhash64("text").alias("hash"), "text")
-    found = decontaminate.decontaminate(texts, "hash", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
-    column = fresh(docs, "hash")
-    hashes = found.where("contaminated").select(F.col("hash").alias(column)).distinct()
-    return docs.withColumn(column, F.xxhash64("text")).join(hashes, column, "left_anti").select(docs.columns)
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    texts = docs.select(digest.alias("digest"), "text")
+    found = decontaminate.decontaminate(texts, "digest", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    column = fresh(docs, "digest")
+    digests = found.where("contaminated").select(F.col("digest").alias(column)).distinct()
+    return docs.withColumn(column, digest).join(digests, column, "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
