@@ -144,3 +144,11 @@ def test_stages_keep_columns_named_like_their_own(spark):
         found = {r.doc_id: (r.name, r.hash, r.NAME_) for r in kept.collect()}
         assert found[1] == ("keep", 7, "k") and found[3] == (None, None, None)
         assert (2 in found) == (stage is corpus_pipeline.drop_contaminated)
+
+
+def test_language_stage_keeps_columns_of_any_name_and_type(spark):
+    rows = [(i, f"the cat and the dog number {i}", "en", "mine", 0.5, [1, 2], {"a": 1}) for i in range(3)] + [(9, "12", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, `a b` array<int>, m map<string,int>")
+    kept = corpus_pipeline.identify_language(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r.lang_pred, r.score, tuple(r["a b"]), r.m["a"]) for r in kept.collect()} == {(i, "mine", 0.5, (1, 2), 1) for i in range(3)}
