@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import os
 import tempfile
@@ -83,6 +85,15 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
+def release() -> None:
+    """Gives the memory a task is done with back to the system; its worker is used again by others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_batch(df: DataFrame, schema: str | T.StructType, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``work`` on every slice of rows; it gives the output columns by name. Input columns
     of any type may be handed on if ``schema`` is a struct."""
@@ -96,10 +107,15 @@ def by_batch(df: DataFrame, schema: str | T.StructType, work: Callable[[pa.Recor
     kinds = [_arrow_type(part[1], types) for part in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = work(batch)
-            columns = [x if isinstance(x := found[name], pa.Array) and (kind is None or x.type == kind) else pa.array(x, kind) for name, kind in zip(names, kinds, strict=True)]
-            yield pa.record_batch(columns, names=names)
+        try:
+            for batch in slices(batches):
+                found = work(batch)
+                columns = [x if isinstance(x := found[name], pa.Array) and (kind is None or x.type == kind) else pa.array(x, kind) for name, kind in zip(names, kinds, strict=True)]
+                del found
+                yield pa.record_batch(columns, names=names)
+        finally:
+            batch = columns = None
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -40,7 +40,7 @@ UNKNOWN = "und"
 # Evidence of this many words decides as much as any longer text.
 MOST_WORDS = 20
 # Words whose scores a worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
