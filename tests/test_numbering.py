@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tidelog.operators import numbering
 from tidelog.operators.numbering import assign_ids, number_rows, number_split_rows, running_total
 
 
@@ -59,3 +60,14 @@ def test_rows_are_numbered_in_their_splits(spark):
     assert [r["number"] for r in found] == list(range(666))
     expected = sorted(found, key=lambda r: (r["file"], r["part"], r["id"]))
     assert [r["id"] for r in found] == [r["id"] for r in expected]
+
+
+def test_many_totals_are_summed_in_parts(spark, monkeypatch):
+    """Both ways of summing the totals give the same offsets, and the same numbers."""
+    totals = spark.range(0, 500, 1, 5).select(F.col("id").alias("_part"), (F.col("id") * 7 % 13).alias("_sum"))
+    one = {tuple(r) for r in numbering.offsets(totals, ["_part"], "_sum", "_shift", 500).collect()}
+    numbers = {tuple(r) for r in number_rows(skewed(spark), ["key", "id"], "no", 5, 12).collect()}
+    monkeypatch.setattr(numbering, "WINDOW_ROWS", 8)
+    assert {tuple(r) for r in numbering.offsets(totals, ["_part"], "_sum", "_shift", 60).collect()} == one
+    assert {tuple(r) for r in number_rows(skewed(spark), ["key", "id"], "no", 5, 12).collect()} == numbers
+    assert number_rows(skewed(spark).limit(0), ["key", "id"], "no", 1, 12).count() == 0

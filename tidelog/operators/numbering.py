@@ -2,7 +2,8 @@
 
 Both work the same way: every partition counts for itself, the partition
 totals (one row each) are summed up in order, and every row adds the offset of
-its partition. No global window, so no task sees the whole table.
+its partition. Where there are many totals themselves (a table of many files), they
+are summed up in the same way. No global window, so no task sees a whole table.
 """
 
 from __future__ import annotations
@@ -12,16 +13,26 @@ from pyspark.sql import functions as F
 
 from tidelog.session import BROADCAST_ROWS, cut_lineage, partitions_for
 
+# Totals that one task sums up; more are dealt in parts of half as many.
+WINDOW_ROWS = 100_000
+
 # monotonically_increasing_id() holds the partition above bit 33, the row below.
 _ROW_BITS = 33
 
 
-def offsets(totals: DataFrame, order: list, value: str, offset: str) -> DataFrame:
+def offsets(totals: DataFrame, order: list[str], value: str, offset: str, size: int) -> DataFrame:
     """Sum of ``value`` over the rows before each row.
 
-    ``totals`` is metadata, one row per partition or file split; it is small
-    enough for one task whatever the size of the data behind it.
+    ``totals`` is metadata, ``size`` rows, one per partition or file split. Up to
+    ``WINDOW_ROWS`` of them go through one task, more are summed in parts.
     """
+    if size > WINDOW_ROWS:
+        parts = -(-size // max(1, WINDOW_ROWS // 2))
+        # Under other names, as those of a running total may be in the table.
+        own = {name: f"of{name}" for name in totals.columns}
+        summed = running_total(totals.withColumnsRenamed(own), [own[c] for c in order], own[value], "until", parts)
+        summed = summed.withColumnsRenamed({new: old for old, new in own.items()})
+        return summed.withColumn(offset, (F.col("until") - F.col(value)).cast("long")).drop("until")
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(
         offset, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long")
@@ -40,7 +51,19 @@ def number_rows(
     start: int = 1,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Number the rows ``start, start + 1, ...`` along ``order``, a unique key.
+    return counted_rows(df, order, name, start, partitions)[0]
+
+
+def counted_rows(
+    df: DataFrame,
+    order: list[str | Column],
+    name: str = "id",
+    start: int = 1,
+    partitions: int | None = None,
+) -> tuple[DataFrame, int]:
+    """The rows numbered, and how many there are.
+
+    Numbers the rows ``start, start + 1, ...`` along ``order``, a unique key.
 
     Range partitioning samples the key, and two runs of one plan may draw other
     borders; the sorted rows are therefore stored once, and both the totals and
@@ -54,13 +77,15 @@ def number_rows(
     )
     placed = cut_lineage(placed).withColumn("_part", F.shiftright("_at", _ROW_BITS))
     totals = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    shifts = offsets(totals, ["_part"], "_rows", "_shift").select("_part", "_shift")
+    total = totals.agg(F.sum("_rows")).first()[0] or 0
+    shifts = offsets(totals, ["_part"], "_rows", "_shift", count).select("_part", "_shift")
     row = F.col("_at") - F.shiftleft("_part", _ROW_BITS)
-    return (
+    numbered = (
         join_metadata(placed, shifts, ["_part"], count)
         .withColumn(name, F.col("_shift") + row + F.lit(start).cast("long"))
         .drop("_at", "_part", "_shift")
     )
+    return numbered, total
 
 
 def running_total(
@@ -75,7 +100,7 @@ def running_total(
     placed = df.repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id())
     placed = cut_lineage(placed)
     totals = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    shifts = offsets(totals, ["_part"], "_sum", "_shift").select("_part", "_shift")
+    shifts = offsets(totals, ["_part"], "_sum", "_shift", count).select("_part", "_shift")
     inside = (
         Window.partitionBy("_part")
         .orderBy(*order)
@@ -107,7 +132,7 @@ def number_split_rows(rows: DataFrame, split: list[str], at: str) -> tuple[DataF
         F.min(at).alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
     size, total = totals.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-    shifts = offsets(totals, split, "_rows", "_shift").drop("_rows")
+    shifts = offsets(totals, split, "_rows", "_shift", size).drop("_rows")
     numbered = (
         join_metadata(rows, shifts, split, size)
         .withColumn("number", F.col("_shift") + F.col(at) - F.col("_first"))
@@ -132,5 +157,5 @@ def split_offsets(
     earlier = Window.partitionBy("_task").orderBy("first_row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_items").over(earlier), F.lit(0))
     totals = totals.withColumn("first_item", F.shiftleft("_task", _ROW_BITS) + before)
-    shifts = offsets(totals, split, "_items", "shift")
+    shifts = offsets(totals, split, "_items", "shift", size)
     return shifts.select(*split, "first_row", "first_item", "shift"), size, total or 0, tasks or 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.cursor import cursor_token, decode_cursor
 from tidelog.functions.timeutil import MICROSECOND, UTC, whole_quotient
 from tidelog.operators.filters import Scan, matching, scan_of
-from tidelog.operators.numbering import number_rows
+from tidelog.operators.numbering import counted_rows
 from tidelog.plans.params import LogQuery
 from tidelog.schema import LOG_COLUMNS
 
@@ -108,8 +108,7 @@ def paged_export(logs: DataFrame, query: LogQuery, partitions: int | None = None
     the next page. No row passes through the driver.
     """
     rows = matching(logs, query).select(*LOG_COLUMNS)
-    ranked = number_rows(rows, newest_first(), "_rank", 0, partitions)
-    total = ranked.count()
+    ranked, total = counted_rows(rows, newest_first(), "_rank", 0, partitions)
     ends_page = (F.col("_rank") % query.limit == query.limit - 1) & (F.col("_rank") < total - 1)
     return ranked.select(
         whole_quotient(F.col("_rank"), F.lit(query.limit)).alias("page"),
