@@ -92,6 +92,71 @@ def test_seating_counts():
     assert tables == pytest.approx(expected, rel=0.06)
 
 
+def test_reseating_draws_from_the_exact_distribution():
+    """Against all partitions of a dish's customers, priced table by table."""
+
+    def partitions(n):
+        if n == 0:
+            yield []
+            return
+        for rest in partitions(n - 1):
+            yield [*rest, 1]
+            for k in range(len(rest)):
+                yield [*rest[:k], rest[k] + 1, *rest[k + 1 :]]
+
+    r = np.random.default_rng(4)
+    discount, p, others, n = 0.6, 0.2, 7.0, 5
+    chances = np.zeros(n + 1)
+    for tables in partitions(n):
+        chance = math.prod((lm.STRENGTH + discount * (others + k)) * p for k in range(len(tables)))
+        chance *= math.prod(math.prod(k - discount for k in range(1, size)) for size in tables)
+        chances[len(tables)] += chance
+    rows = 40_000
+    drawn = lm.reseat(np.full(rows, float(n)), np.full(rows, 2.0), others + 2, np.full(rows, math.log(p)), discount, r)
+    assert np.bincount(drawn.astype(int), minlength=n + 1) / rows == pytest.approx(chances / chances.sum(), abs=0.01)
+    few = lm.reseat(np.array([0.0, 1.0, 500.0]), np.array([0.0, 1.0, 3.0]), 9.0, np.log(np.full(3, 0.1)), discount, r)
+    assert few[0] == 0 and few[1] == 1 and 1 <= few[2] <= 500
+
+
+def test_lm_scores_depend_on_order(spark):
+    known = "the quick brown fox jumps over the lazy dog while the slow red hen sleeps under a tall green tree"
+    docs = documents(spark, [known] * 4 + ["a red tree sleeps", known, " ".join(reversed(known.split()))])
+    found = {r.doc_id: r for r in lm.score(docs, "doc_id", "text", F.col("doc_id") < 5).collect()}
+    assert found[5].base_score == pytest.approx(found[6].base_score)
+    assert found[5].score > found[6].score + 5 and found[5].score == pytest.approx(found[0].score)
+    assert found[5].score > found[5].base_score
+
+
+def test_lm_probabilities_of_next_words_sum_to_one(spark):
+    """Over the known words after a known one, with the rest left to spellings of unknown words."""
+    texts = ["a b a c a b", "b a c c a", "c a b b b a", "a", "b c"]
+    vocabulary = ["a", "b", "c"]
+    asked = [f"a {w}" for w in vocabulary] + ["a"]
+    docs = documents(spark, texts + asked + ["a zz"])
+    found = {r.doc_id: r.score for r in lm.score(docs, "doc_id", "text", F.col("doc_id") < len(texts)).collect()}
+    # Texts of one and two words: what is left of each first word for further words is not negative.
+    one = 10 ** found[len(texts) + 3]
+    two = [10 ** found[len(texts) + k] for k in range(3)]
+    assert 0 < one + sum(two) < 1 and 10 ** found[len(texts) + 4] < min(two)
+
+
+def test_lm_columns_named_like_its_own_and_odd_keys(spark):
+    rows = [(None, "x y", 1, "k"), (3, "x y", 2, "k"), (3, "x y", None, None), (4, None, 1, "k")]
+    docs = spark.createDataFrame(rows, "id int, body string, block int, word string").withColumn("hash", F.lit(1)).withColumn("u", F.lit(2))
+    found = lm.score(docs, "id", "body", F.col("id") < 4)
+    assert found.columns == ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = sorted(found.collect(), key=lambda r: (r.id or 0))
+    assert [(r.id, r.held_out, r.n_tokens, r.train_tokens) for r in rows] == [(None, False, 3, 9), (3, False, 3, 9), (3, False, 3, 9), (4, True, 1, 9)]
+    assert rows[0].score == rows[1].score == rows[2].score
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_lm_is_above_the_base_on_held_out_text(spark):
+    found = QUERIES["op10_lm_scoring"](spark, FOLDER.replace("sf0.001", "sf0.1")).where("held_out")
+    ours, base = found.agg(F.sum("score"), F.sum("base_score")).first()
+    assert ours > base
+
+
 def test_pipeline_stages(spark):
     from test_llm_maps import plain_spans
     from test_llm_pairs import joined, shingle_sets
