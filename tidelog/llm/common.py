@@ -53,13 +53,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+# Shuffle files of a query go when it has ended, not when the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """``df`` computed once and written to the shared folder: later steps read the
     columns they need, and a lost executor costs only its running tasks. What stood
-    at ``path`` is replaced."""
-    path = path or new_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at ``path`` is replaced. The shuffle files made on the way are removed."""
+    spark = df.sparkSession
+    path = path or new_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
