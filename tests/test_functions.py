@@ -85,6 +85,15 @@ def test_cursor_columns(new_york):
     assert set(rows[1:]) == {(None, None)}
 
 
+@pytest.mark.parametrize("number", [99_999, 999_999, 9_999_999, 2**63 - 1])
+def test_cursor_columns_of_long_ids_are_one_line(spark, number):
+    moment = datetime(2024, 1, 30, 23, 59, 25, 261702, tzinfo=UTC)
+    df = spark.createDataFrame([(moment, number)], "timestamp timestamp, id long")
+    token = df.select(cursor_token(df)).first()[0]
+    assert token == encode_cursor(LogCursor(moment, number))
+    assert decode_cursor(token) == LogCursor(moment, number)
+
+
 NUMBERS = {
     "1.0": "1", "1e2": "100", "0.1": "0.1", "1e-7": "0.0000001", "1e-13": "0.0000000000001",
     "1e21": "1000000000000000000000", "-0.0": "0", "0": "0", "-5": "-5", "1.50": "1.5",

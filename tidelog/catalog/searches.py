@@ -102,6 +102,8 @@ def search_combined(spark: SparkSession, folder: str) -> DataFrame:
 def search_page2_cursor(spark: SparkSession, folder: str) -> DataFrame:
     logs = event_logs(spark, folder)
     first = search_page(logs, LogQuery(level="info", limit=100))
+    if first.next_cursor is None:
+        return logs.limit(0)
     cursor = decode_cursor(first.next_cursor)
     return search(logs, LogQuery(level="info", limit=100, cursor=cursor))
 

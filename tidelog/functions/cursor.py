@@ -61,7 +61,8 @@ def cursor_token(df: DataFrame, timestamp: str = "timestamp", id: str = "id") ->
         )
     )
     encoded = F.base64(F.encode(body, "UTF-8"))
-    return F.translate(F.rtrim(encoded, F.lit("=")), "+/", "-_")
+    # Spark breaks base64 into lines of 76 characters.
+    return F.translate(F.rtrim(encoded, F.lit("=")), "+/\r\n", "-_")
 
 
 def cursor_position(token: Column) -> Column:
