@@ -211,6 +211,18 @@ def test_a_backlog_of_many_days_is_clustered(setup, monkeypatch):
     assert len(logs.inputFiles()) <= 28 + 4
 
 
+def test_the_rollup_of_many_days_is_brought_together(setup):
+    store, source, _ = setup
+    stamps = [f"2026-0{1 + i % 7}-{1 + i % 28:02d}T{i % 24:02d}:{i % 60:02d}:00Z" for i in range(800)]
+    write(source, "a", [[entry(i, stamp) for i, stamp in enumerate(stamps)]])
+    ingest_batch(store, read_requests(store.spark, source), 0, as_of=NOW)
+    rollups = store.snapshot().rollups()
+    assert rollups.groupBy().sum("count").first()[0] == 800
+    assert len(store.snapshot().day_rows()) == 28
+    # A file a day, and one more for each border between tasks that falls into a day.
+    assert len(rollups.inputFiles()) <= 28 + 4
+
+
 def test_a_batch_done_again_is_judged_by_its_first_clock(setup, monkeypatch):
     store, source, _ = setup
     write(source, "a", [[entry(1), entry(2, "2026-08-10T12:04:00Z"), entry(3, "2026-08-10T12:06:00Z")]])

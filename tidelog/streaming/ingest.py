@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.timeutil import EPOCH, MICROSECOND, utc_day
 from tidelog.operators.aggregate import minute_rollup, with_day
-from tidelog.operators.layout import batch_layout
+from tidelog.operators.layout import batch_layout, rollup_layout
 from tidelog.operators.numbering import join_metadata, split_offsets
 from tidelog.operators.validate import accepted_count, accepted_logs, check_requests, request_outcomes
 from tidelog.sources.requests import SPLIT, read_requests
@@ -87,7 +87,8 @@ def ingest_batch(
             days = {r["day"].isoformat(): r["logs"] for r in per_day.collect()}
             if sum(days.values()) != total:
                 raise RuntimeError(f"batch {segment}: {total} logs, {sum(days.values())} in the rollup")
-            store.write_rollups(minutes, segment)
+            # Brought together by day first: a file per task and day would be very many small files.
+            store.write_rollups(rollup_layout(minutes), segment)
             number = F.col("shift") + F.col("_at") - F.col("first_item")
             logs = join_metadata(valid, splits, SPLIT, size).withColumn("id", F.lit(manifest.next_id).cast("long") + number)
             logs = with_day(logs, "timestamp").observe(
