@@ -200,6 +200,17 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in language.predict(docs, "doc_id", "text", empty).collect()} == {"und"}
 
 
+def test_language_learns_from_every_text(spark):
+    # 2,000 texts of one language, each with a word of its own in twos; a copy adds nothing.
+    texts = [f"word{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} " * 2 for i in range(2000)]
+    docs = documents(spark, [*texts, texts[0], "autre chose"], {**{i: "en" for i in range(2001)}, 2001: "fr"})
+    model = language.train(docs, "text", "lang")
+    words = [row for row in model["rows"] if row.startswith("=word")]
+    assert len(words) == 2000
+    one, two = (model["values"][model["rows"]["=" + texts[i].split()[0]]] for i in (0, 1))
+    assert one.tolist() == two.tolist()
+
+
 BASE = {  # kind: pattern and the least length of the group
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),

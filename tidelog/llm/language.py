@@ -1,14 +1,11 @@
 """Language identification by words first, character n-grams for words not known.
 
-Training takes, per language, the ``PER_LANGUAGE`` distinct texts of smallest hash
-(a documented bound on a labelled sample), counts words and character n-grams of
-one to four letters in Spark, and keeps the log frequency of each per language.
+Training counts the words of all distinct labelled texts in Spark, and from the words
+their character n-grams of one to four letters, and keeps the log frequency of each
+per language. Copies of a text count once in a language.
 A word of a text scores by its log frequency; a word never seen scores by the mean
 of its longest n-grams of which any is known.
 
-The texts are chosen by rank of their hashes, first within ``HASH_PARTS`` parts of a
-language and then among the survivors, so that no task sorts a language.
-
 Prediction is a map over all rows with the model broadcast (at most twice
 ``MODEL_TERMS`` terms, those of the greatest share in any language, so that a rare
 language keeps its own); nothing is shuffled. Only the text is an input.
@@ -26,14 +23,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import by_batch, small, stored
+from tidelog.llm.common import by_batch, stored
 
-PER_LANGUAGE = 1500
-HASH_PARTS = 1024
 MODEL_TERMS = 200_000
 LONGEST = 4
 UNKNOWN = "und"
@@ -55,26 +50,29 @@ def train(docs: DataFrame, text: str, lang: str, where: Column | None = None) ->
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows if where is None else rows.where(where)
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    # Hashes alone are ranked; then one copy of each chosen text is read.
-    part = F.pmod("h", F.lit(HASH_PARTS))
-    chosen = rows.select("lang", "h").distinct()
-    for keys in (["lang", part], ["lang"]):
-        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("n") <= PER_LANGUAGE)
-    chosen = stored(chosen.select("lang", "h"), "chosen")
-    sample = rows.join(small(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
-
-    def count(batch: pa.RecordBatch) -> dict:
+    rows = rows.dropDuplicates(["lang", "h"]).select("lang", "text")
+
+    def words(batch: pa.RecordBatch) -> dict:
         found: Counter = Counter()
         for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for word, n in Counter(_LETTERS.findall(body.lower())).items():
-                found[name, 0, word] += n
-                for size in range(1, LONGEST + 1):
-                    for gram in _grams(word, size):
-                        found[name, size, gram] += n
+                found[name, word] += n
+        names, terms = zip(*found, strict=True) if found else ((), ())
+        return {"lang": names, "term": terms, "n": list(found.values())}
+
+    def grams(batch: pa.RecordBatch) -> dict:
+        """Each word and its n-grams, as often as the word was met: counted from words, which are far fewer than texts hold."""
+        found: Counter = Counter()
+        for name, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found[name, 0, word] += n
+            for size in range(1, LONGEST + 1):
+                for gram in _grams(word, size):
+                    found[name, size, gram] += n
         names, sizes, terms = zip(*found, strict=True) if found else ((), (), ())
         return {"lang": names, "size": sizes, "term": terms, "n": list(found.values())}
 
-    counted = by_batch(sample, "lang string, size int, term string, n long", count).groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
+    met = by_batch(rows, "lang string, term string, n long", words).groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    counted = by_batch(met, "lang string, size int, term string, n long", grams).groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
     counted = stored(counted, "terms")
     totals = {(r.lang, r["size"]): r.n for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({name for name, _ in totals})
@@ -84,7 +82,9 @@ def train(docs: DataFrame, text: str, lang: str, where: Column | None = None) ->
     terms = counted.groupBy("size", "term").agg(F.sum("n").alias("n"), *by)
     # Words met once tell little; their n-grams do.
     share = F.array_max(F.array(*[F.col(f"n{i}") / F.create_map(*[F.lit(x) for n in range(LONGEST + 1) for x in (n, float(totals.get((name, n), 1)))])[F.col("size")] for i, name in enumerate(langs)]))
-    top = terms.where("size > 0 OR n > 1").orderBy(share.desc(), "size", "term").limit(2 * MODEL_TERMS).toPandas()
+    # Stored before it is read, so that the driver does not merge the first terms of every task.
+    ranked = terms.where("size > 0 OR n > 1").orderBy(share.desc(), "size", "term").limit(2 * MODEL_TERMS)
+    top = stored(ranked, "top").orderBy("size", "term").toPandas()
     sizes = top["size"].to_numpy()
     of = np.array([[totals.get((name, size), 0) for name in langs] for size in range(LONGEST + 1)], dtype=np.float64)[sizes]
     found = top[[f"n{i}" for i in range(len(langs))]].to_numpy(dtype=np.float64)
