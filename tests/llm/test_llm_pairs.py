@@ -288,6 +288,26 @@ def test_members_of_a_group_are_compared_with_each_other(spark):
     assert all(found[i + 1].n_repeated == found[i + 2].n_repeated == 60 and found[i + 1].component_id == found[i + 2].component_id == i + 1 for i in pairs)
 
 
+def test_all_texts_that_hold_a_passage_are_linked(spark):
+    """Each with each, also where one component holds them all; two of them share a second passage."""
+    r = random.Random(15)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, own = words(80), words(70)
+    texts = [words(60) + line + words(70) + (own if i in (4, 7) else words(70)) + words(60) for i in range(12)]
+    found = {x.doc_id: x for x in passages.repeated_passages(documents(spark, [" ".join(t) for t in texts]), "doc_id", "text").collect()}
+    assert [found[i].n_links for i in range(12)] == [11] * 12
+    assert [found[i].n_repeated for i in range(12)] == [150 if i in (4, 7) else 80 for i in range(12)]
+    assert {x.component_id for x in found.values()} == {0}
+
+
+def test_many_windows_of_one_hash_are_compared_as_one():
+    hashes, f = np.array([5, 9, 5, 5, 7] * 4), np.array([0, 1, 0, 0, 2] * 4)
+    left = np.arange(20) * 10
+    found = passages._few(hashes, f, left, left + 50)
+    spans = sorted(zip(*(x.tolist() for x in found), strict=True))
+    assert spans == [(5, 0, 0, 230), *((7, 2, 40 + 50 * i, 90 + 50 * i) for i in range(4)), *((9, 1, 10 + 50 * i, 60 + 50 * i) for i in range(4))]
+
+
 def test_windows_of_enough_functions_meet():
     """At a similarity of 0.8 and with one window in common, all but one pair in a thousand."""
     n = passages.FUNCTIONS
