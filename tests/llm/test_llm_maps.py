@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import pickle
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -200,6 +202,18 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in language.predict(docs, "doc_id", "text", empty).collect()} == {"und"}
 
 
+def test_language_model_stays_a_column_on_the_driver():
+    model = {"langs": ["a", "b"], "rows": language.Rows(pa.array(["=eins", "=two", " ei", "wo "])), "values": np.log(np.array([[4, 1], [1, 4], [2, 1], [1, 2]], dtype=np.float32))}
+    scorer = pickle.loads(pickle.dumps(language.Scorer(model)))
+    assert "found" not in vars(model["rows"]) and "found" not in vars(scorer.rows)
+    texts = ["eins", " Two,two\x1ctwo ", "neiwo", "ein", None, "", " 12 ", "ж"]
+    together = scorer.predict(texts)
+    assert together == [scorer.predict([t])[0] for t in texts]
+    assert [name for name, _ in together] == ["a", "b", "b", "a", "und", "und", "und", "a"]
+    odds = [x / (x + y) for x, y in ((4, 1), (4**3, 1), (2, 1), (2, 1))]
+    assert [score for _, score in together] == pytest.approx([*odds, 0, 0, 0, 0.5])
+
+
 def test_language_learns_from_every_text(spark):
     # 2,000 texts of one language, each with a word of its own in twos; a copy adds nothing.
     texts = [f"word{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} " * 2 for i in range(2000)]
