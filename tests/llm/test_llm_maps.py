@@ -72,6 +72,15 @@ def test_bpe_long_pieces(encoding):
     assert decoded == [t.encode() for t in texts]
 
 
+def test_bpe_step_gives_each_word_when_it_ends():
+    """Words that end at different steps, without a pair at all too, in rows of their last step only."""
+    with open(RANKS, "rb") as file:
+        codec = bpe.Codec(file.read(), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: r for r, t in codec.tokens.items()}, special_tokens={})
+    words = [b"a", b"\xff", b" the", b"zqxj", b" internationalization", b"ab" * 20, bytes(range(200, 230))]
+    assert [x for x, _ in codec._contract(words, bpe._STEP)] == [" ".join(map(str, library._encode_single_piece(w))) for w in words]
+
+
 def test_bpe_query_goes_on_from_its_last_step(encoding, monkeypatch):
     monkeypatch.setattr(bpe, "CUT_PIECE", 1 << 30)
     r = random.Random(8)

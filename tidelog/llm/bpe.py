@@ -50,20 +50,22 @@ _OTHER_TEXT = re.compile(f"[^\\x00-\\x1b\\x20-\\x7e{_LETTERS}]")
 _CLASSES = {r"\p{L}": _LETTERS, r"\p{N}": "0-9"}
 
 # Position in the lower bits of a key, rank above it: the least key is the leftmost pair of least rank.
+# A word without a pair is given once more, as ended: the rows of its other steps need not be looked through for the last.
 _STEP = """
-WITH RECURSIVE parts(step, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM base
+WITH RECURSIVE parts(word, pos, id, ended) AS (
+  SELECT word, pos, id, false FROM base
   UNION ALL
-  SELECT step + 1, word, pos, CASE WHEN pos = best & 4294967295 THEN CAST(best >> 32 AS INTEGER) ELSE id END
-  FROM (
-    SELECT p.*, min(CAST(m.merged AS BIGINT) << 32 | pos) OVER (PARTITION BY word) AS best
-    FROM (SELECT parts.*, lead(id) OVER w AS next_id, lag(pos) OVER w AS before
-          FROM parts WINDOW w AS (PARTITION BY word ORDER BY pos)) p
-    LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
+  (WITH p AS MATERIALIZED (
+    SELECT q.word, q.pos, q.id, q.before, CAST(m.merged AS BIGINT) << 32 | q.pos AS merge
+    FROM (SELECT word, pos, id, lead(id) OVER w AS next_id, lag(pos) OVER w AS before
+          FROM parts WHERE NOT ended WINDOW w AS (PARTITION BY word ORDER BY pos)) q
+    LEFT JOIN merges m ON m.left_id = q.id AND m.right_id = q.next_id
   )
-  WHERE best IS NOT NULL AND (before IS NULL OR before <> best & 4294967295)
+  SELECT word, pos, CASE WHEN pos = best & 4294967295 THEN CAST(best >> 32 AS INTEGER) ELSE id END, best IS NULL
+  FROM p JOIN (SELECT word, min(merge) AS best FROM p GROUP BY word) USING (word)
+  WHERE best IS NULL OR before IS NULL OR before <> best & 4294967295)
 )
-SELECT word, pos, id FROM parts QUALIFY step = max(step) OVER (PARTITION BY word)
+SELECT word, pos, id FROM parts WHERE ended
 """
 # The same with every place of the least rank at once (of overlapping places every second one, from
 # the left), where that merge cannot make a pair of lower rank than its own.
