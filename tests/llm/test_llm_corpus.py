@@ -140,6 +140,33 @@ def test_lm_probabilities_of_next_words_sum_to_one(spark):
     assert 0 < one + sum(two) < 1 and 10 ** found[len(texts) + 4] < min(two)
 
 
+def test_lm_blocks_are_told_by_parts_of_their_pairs(spark):
+    """A block asks with a row for each part of its pairs, not for each pair, and is told what it does not know itself."""
+    r = np.random.default_rng(4)
+    docs = documents(spark, [" ".join(f"w{k}" for k in r.integers(0, 12, 30)) for _ in range(40)]).repartition(5, "doc_id").cache()
+    blocks = lm._blocks(docs, "doc_id", "text", F.col("doc_id") < 30)
+    pairs = [tuple(x) for x in lm._pairs(blocks).collect()]
+    counts = Counter()
+    for _, _, u, w, n in pairs:
+        counts[u, w] += n
+    seated = {x: c - 0.5 + (0.25 if c > 2 else 0) for x, c in counts.items() if c}
+    expected = {(b, number): seated[u, w] for b, number, u, w, n in pairs if (u, w) in seated and seated[u, w] != (n - 0.5 if n else 0.0)}
+    frame = spark.createDataFrame([(u, w, e) for (u, w), e in seated.items()], "u long, w long, e double")
+    n_blocks = blocks.count()
+    assert n_blocks > 1 and 0 < len(expected) < len(pairs)
+    for parts in (1, 7):
+        assert lm._packed_blocks(blocks, parts).count() <= n_blocks * parts < len(pairs)
+        found = {}
+        for row in lm._told(blocks, frame, parts, 0.5).collect():
+            for piece in row.x:
+                found |= {(row.block, k): e for k, e in zip(np.frombuffer(piece.numbers, dtype=np.int32).tolist(), np.frombuffer(piece.e), strict=True)}
+        assert found == pytest.approx(expected)
+    # Passes over the blocks give every row once.
+    rows = lm.score(docs.union(docs.where("doc_id < 10")), "doc_id", "text", F.col("doc_id") < 30).collect()
+    assert sorted(r.doc_id for r in rows) == sorted([*range(40), *range(10)])
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+
+
 def test_lm_columns_named_like_its_own_and_odd_keys(spark):
     rows = [(None, "x y", 1, "k"), (3, "x y", 2, "k"), (3, "x y", None, None), (4, None, 1, "k")]
     docs = spark.createDataFrame(rows, "id int, body string, block int, word string").withColumn("hash", F.lit(1)).withColumn("u", F.lit(2))
