@@ -249,6 +249,22 @@ def test_stretches_are_fetched_once(spark):
     assert found == {(0, 5, 60): 56, (0, 7, 20): 14} and passages._fetch(docs, texts, wanted, 5).count() == 2
 
 
+def test_passage_groups_are_compared_in_passes(spark, monkeypatch):
+    """Every group falls into one pass, whatever the sign of its hash; all pairs that share a second hash are met."""
+    r = np.random.default_rng(7)
+    hashes = [int(h) for h in r.integers(-(1 << 63), 1 << 63, 12)]
+    texts = [sorted(r.choice(12, 5, replace=False).tolist()) for _ in range(20)]
+    each = spark.createDataFrame([(row, hashes[k], k % 7, 0, 60) for row, own in enumerate(texts) for k in own], "row long, hash long, f int, l int, r int")
+    expected = []
+    for b in range(20):
+        for a in range(b):
+            both = set(texts[a]) & set(texts[b])
+            expected += [(a, b, k % 7, 0, 60, 0, 60) for k in both if any(j % 7 != k % 7 for j in both)]
+    for passes in (1, passages.PASSES):
+        monkeypatch.setattr(passages, "PASSES", passes)
+        assert sorted(tuple(x) for x in passages._collisions(each).collect()) == sorted(expected)
+
+
 def test_edited_passages_are_verified_wherever_the_edit_is():
     r = np.random.default_rng(3)
     for at in range(0, 50, 3):
