@@ -328,3 +328,48 @@ def test_windows_of_enough_functions_meet():
     """At a similarity of 0.8 and with one window in common, all but one pair in a thousand."""
     n = passages.FUNCTIONS
     assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(passages.ENOUGH)) < 1e-3
+
+
+def test_pairs_without_enough_in_common_are_not_searched(monkeypatch):
+    """Neither texts that share few shingles, nor parts whose common ones lie too far apart."""
+    searched = []
+    best = passages._best
+    monkeypatch.setattr(passages, "_best", lambda *args: searched.append(args) or best(*args))
+    rng = np.random.default_rng(4)
+    noise = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    common = noise(50)
+    few = [np.concatenate([noise(100), common[:20], noise(100)]) for _ in range(2)]
+    apart = [np.insert(noise(400), np.arange(0, 400, 8), common) for _ in range(2)]
+    linked = [np.concatenate([noise(100), common, noise(100)]) for _ in range(2)]
+    marks = [x.astype(np.uint16) for x in (*few, *apart, *linked)]
+    assert passages._promising(marks, np.array([0, 2, 4]), np.array([1, 3, 5]), 46 * 0.8).tolist() == [False, True, True]
+    assert passages.stretches(*apart, 46, 80) == [] and not searched
+    assert passages.stretches(*linked, 46, 80) and searched
+
+
+@pytest.mark.parametrize("deals", [1_000_000, 1])
+def test_verified_stretches_in_blocks(spark, monkeypatch, deals):
+    """Every pair is verified once, however stretches and pairs are dealt."""
+    monkeypatch.setattr(passages, "STRETCH_BYTES", 1000)
+    monkeypatch.setattr(passages, "STRETCH_BLOCKS", 3)
+    monkeypatch.setattr(passages, "GROUP_PAIRS", deals)
+    passage = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*(f"x{n}.{i}" for i in range(n)), *passage]) for n in range(6)]
+    docs = documents(spark, texts).selectExpr("doc_id AS key", "text", "xxhash64(text) AS mark")
+    rows = docs.selectExpr("key AS row", "key AS own", "mark AS own_mark")
+    pairs = [(m, n, 0, 55 + m, 0, 55 + n) for m in range(6) for n in range(m + 1, 6)]
+    frame = spark.createDataFrame(pairs, "a long, b long, a0 int, a1 int, b0 int, b1 int")
+    found = sorted(tuple(r) for r in passages._verified(frame, docs, rows, 5, 46, 80).collect())
+    assert found == [(m, n, m, m + 60, n, n + 60) for m, n, *_ in pairs]
+
+
+def test_windows_of_a_pair_are_brought_together_over_batches(spark, monkeypatch):
+    """Windows that overlap, of two functions, make one stretch; those apart or of one function none."""
+    rows = [(1, 2, 0, 0, 50, 5, 60), (1, 2, 1, 40, 99, 0, 70), (1, 2, 0, 100, 150, 0, 50), (1, 3, 0, 0, 50, 0, 50), (1, 3, 1, 60, 99, 0, 50), (2, 3, 4, 7, 60, 9, 60), (2, 3, 5, 7, 55, 8, 55)]
+    frame = spark.createDataFrame(rows, "a long, b long, f int, la int, ra int, lb int, rb int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        found = sorted(tuple(r) for r in passages._candidates(frame).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == [(1, 2, 0, 99, 0, 70), (2, 3, 7, 60, 8, 60)]
