@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,17 @@ def test_language_stage_keeps_columns_of_any_name_and_type(spark):
     kept = corpus_pipeline.identify_language(spark, docs, FOLDER)
     assert kept.columns == docs.columns
     assert {(r.doc_id, r.lang_pred, r.score, tuple(r["a b"]), r.m["a"]) for r in kept.collect()} == {(i, "mine", 0.5, (1, 2), 1) for i in range(3)}
+
+
+def test_blocks_come_to_a_worker_one_by_one(spark):
+    """Also those of one partition, while tables over blocks are stored; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["id"])
+
+    with lm._block_by_block(spark):
+        assert {r.id for r in spark.range(0, 5, 1, 1).mapInArrow(rows, "id long").collect()} == {1}
+    assert spark.conf.get(name) == before
