@@ -307,6 +307,34 @@ def test_keys_beyond_a_match_are_scored(spark):
     assert all(cleaned[len(texts) - i] == "take [secret] then" for i in (1, 2))
 
 
+def test_network_learns_from_every_labelled_window(spark, monkeypatch):
+    r = random.Random(5)
+    named, _ = secret_texts(r, 200)
+    bare, keys = secret_texts(r, 5, ("{}",))
+    long = "x7" + "q" * 90
+    texts = [*named, *bare, named[0], f"see {long} there"]
+    surveyed = secrets.survey(documents(spark, texts), "doc_id", "text")
+    # Each part of a long value has a window, and each window a label.
+    rows = [(y, w) for x in surveyed.collect() for y, w in zip(x.c_labels, x.c_windows, strict=True)]
+    assert sum("q" * 20 in w for _, w in rows) == 2
+    monkeypatch.setattr(secrets, "TRAINING", 110)
+    blocks = secrets._blocks(surveyed).collect()
+    assert len(blocks) > 1 and all(0 < sum(b.labels) < len(b.labels) for b in blocks)
+    dealt = [w for b in blocks for w, first in zip(zip(b.labels, b.shown, strict=True), b.firsts, strict=True) if first]
+    assert sorted(dealt) == sorted(set(rows))
+    # The network of all blocks, of a few hundred rows each, finds keys and takes few addresses for one.
+    network = secrets.train(surveyed)
+    shown = [(t[s:e] in keys, network.score(secrets.windows(t, s, e)).max() >= network.threshold) for t in texts[:205] for s, e in secrets.candidates(t) if secrets.base_spans(t) == [] or t[s:e][0].isdigit()]
+    assert sum(found for key, found in shown if key) >= 3
+    assert sum(found for key, found in shown if not key) < 0.1 * sum(not key for key, _ in shown)
+
+
+def test_threshold_is_a_rank_of_all_scores(spark):
+    scores = np.random.default_rng(3).random(3000).tolist() + [0.25] * 500
+    blocks = spark.createDataFrame([(i, scores[i::7]) for i in range(7)], "block long, scores array<double>")
+    assert [secrets._ranked(blocks, i) for i in (0, 900, 3499)] == [sorted(scores)[i] for i in (0, 900, 3499)]
+
+
 def test_secrets_without_labels(spark):
     docs = documents(spark, ["nothing here", None])
     assert all(r.starts == [] for r in secrets.scan(docs, "doc_id", "text").collect())
